@@ -28,7 +28,7 @@ def threshold_rank(threshold: str) -> int:
     return SEVERITIES.index(threshold)
 
 
-def _weight(severity: Column) -> Column:
+def severity_points(severity: Column) -> Column:
     points = F.lit(0)
     for name, value in WEIGHTS.items():
         points = F.when(severity == name, F.lit(value)).otherwise(points)
@@ -45,7 +45,7 @@ def scan_result(rows: DataFrame, threshold: str = DEFAULT_THRESHOLD) -> DataFram
         F.count_if(live).alias("findings_count"),
         F.count_if(found & F.col("suppressed")).alias("suppressed_count"),
         *[F.count_if(live & (severity == s)).alias(s) for s in reversed(SEVERITIES)],
-        F.coalesce(F.sum(F.when(live, _weight(severity))), F.lit(0)).alias("_points"),
+        F.coalesce(F.sum(F.when(live, severity_points(severity))), F.lit(0)).alias("_points"),
         F.coalesce(F.max(F.when(live, severity_rank(severity))), F.lit(-1)).alias("_worst"),
     )
     return totals.select(
