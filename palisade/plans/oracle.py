@@ -28,7 +28,10 @@ from palisade.operators.verdicts import (
     CONFIRMED, DEFAULT_SUMMARY, FAILED_ADVICE, FAILED_SUMMARY, FALSE_POSITIVE,
 )
 from palisade.plans import queries as registered
-from palisade.plans.reports import LEVELS, MAX_COMMENTS, TOOL, VERDICT_BADGES, OTHER_VERDICT_BADGE
+from palisade.plans.reports import (
+    BADGES, BANDS, LEVELS, MAX_COMMENTS, OTHER_VERDICT_BADGE, SARIF_ROOT, SARIF_SCHEMA,
+    SARIF_VERSION, TOOL, VERDICT_BADGES, VERSION,
+)
 from palisade.settings import DEFAULT_IGNORES, IGNORE_FILES, PREFIX, TEST_WORDS
 from palisade.sources.labelled import CASES
 from palisade.sources.planted import FOLDERS, PLANTED
@@ -667,12 +670,15 @@ TOKENS = [
 
 
 def positions_sql() -> str:
-    url = q(re2_regex(registered.URL))
+    regex = q(re2_regex(registered.NUMBERS_AND_TAGS))
     return with_(
         [
+            *FILES,
             PAGE_FILES,
-            f"""cut AS (SELECT file_path, content, regexp_extract_all(content, {url}) AS ms,
-                  string_split_regex(content, {url}) AS ss FROM page_files)""",
+            f"""cut AS (SELECT file_path, content, regexp_extract_all(content, {regex}) AS ms,
+                  string_split_regex(content, {regex}) AS ss FROM (
+                    SELECT * FROM page_files
+                    UNION ALL SELECT scan_id, file_path, content FROM files))""",
             """parts AS (SELECT file_path, content, unnest(ms) AS m, unnest(ss[1:len(ms)]) AS s,
                   unnest(range(0, len(ms))) AS nth FROM cut)""",
             """offs AS (SELECT *, substr(content, 1, CAST(sum(length(s)) OVER w
@@ -789,6 +795,96 @@ _TIER = (f"CASE WHEN NOT expected_vulnerability THEN {q(NEGATIVE_TIER)} "
          + " ".join(f"WHEN category = {q(c)} THEN {q(n)}" for c, n in TIERS.items())
          + f" ELSE {q(OTHER_TIER)} END")
 
+# At these sizes every scan fits one part of a report.
+_BADGE = case_of("severity", BADGES)
+_BAND = (f"CASE WHEN risk_score > {HIGH_RISK} THEN {q(BANDS['high'])} WHEN risk_score > "
+         f"{MODERATE_RISK} THEN {q(BANDS['moderate'])} ELSE {q(BANDS['safe'])} END")
+_TABLE_HEAD = (")</b></summary>\n\n| Severity | Rule | Line | Description | Suggested Remediation |\n"
+               "| :--- | :--- | :---: | :--- | :--- |\n")
+
+
+def markdown_sql() -> str:
+    cell = "'| ' || {} || ' | **' || title || '** | `' || line || '` | ' || {} || ' | ' || {} || ' |'"
+    row = cell.format(_BADGE, "replace(description, '|', '\\|')",
+                      "coalesce(replace(nullif(fix, ''), '|', '\\|'), 'None')")
+    head = q(f"## 🛡️ {TOOL} security report\n\n")
+    metrics = q("\n\n### 📊 Summary\n\n| Metric | Status |\n| :--- | :--- |\n| **Risk Score** | `")
+    return with_(
+        [*SCAN_TOTALS,
+         f"""sections AS (
+           SELECT scan_id, file, {q('<details open>' + chr(10) + '<summary><b>📄 ')} || file || ' ('
+             || count(*) || CASE WHEN count(*) > 1 THEN ' issues' ELSE ' issue' END
+             || {q(_TABLE_HEAD)} || string_agg({row}, {NL} ORDER BY ro, xo, k)
+             || {q(chr(10) * 2 + '</details>' + chr(10))} AS section
+           FROM found WHERE NOT suppressed GROUP BY scan_id, file)""",
+         f"""bodies AS (SELECT scan_id, string_agg(section, {NL} ORDER BY file) AS sections
+           FROM sections GROUP BY scan_id)"""],
+        f"""SELECT scan_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
+          {head} || CASE WHEN passed THEN '**PASSED**' ELSE '**ACTION REQUIRED**' END
+          || {metrics} || risk_score || '/100` (' || {_BAND} || ') |' || {NL}
+          || '| **Files Scanned** | ' || scanned_files || ' |' || {NL}
+          || '| **Findings Breakdown** | 🔴 ' || critical || ' Critical · 🟠 ' || high
+          || ' High · 🟡 ' || medium || ' Medium · 🔵 ' || low || {q(' Low |' + chr(10) * 2)}
+          || coalesce({q('### 🔍 Detailed Findings' + chr(10) * 2)} || sections
+               || {q(chr(10) + '---' + chr(10) + '💡 *Resolve critical and high findings before merging.*' + chr(10))},
+               {q('---' + chr(10) + '🎉 **No security vulnerabilities or secret leaks detected!**' + chr(10))})
+            AS markdown
+        FROM totals LEFT JOIN bodies USING (scan_id)""",
+    )
+
+
+def json_sql() -> str:
+    return with_(
+        [*SCAN_TOTALS,
+         """listed AS (
+           SELECT scan_id, list({'rule_id': rule_id, 'title': title, 'description': description,
+             'severity': severity, 'category': category, 'file': file, 'line': line,
+             'column': "column", 'snippet': snippet, 'suggested_fix': fix, 'reference_url': url,
+             'entropy': entropy, 'suppressed': suppressed, 'cwe_id': cwe,
+             'owasp_category': owasp} ORDER BY file, ro, xo, k) AS findings
+           FROM found WHERE NOT suppressed GROUP BY scan_id)"""],
+        """SELECT scan_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
+          regexp_replace(CAST(to_json({'scanId': scan_id, 'totalFiles': scanned_files,
+            'scannedFiles': scanned_files, 'findings': coalesce(findings, []),
+            'suppressedCount': suppressed_count, 'riskScore': risk_score,
+            'summary': {'critical': critical, 'high': high, 'medium': medium, 'low': low,
+                        'info': info}, 'passed': passed}) AS VARCHAR),
+            ',"(entropy|owasp_category)":null', '', 'g') AS document
+        FROM totals LEFT JOIN listed USING (scan_id)""",
+    )
+
+
+def sarif_sql() -> str:
+    return with_(
+        [*SCAN,
+         f"seen AS ({SARIF_RULES})",
+         """rule_docs AS (
+           SELECT scan_id, list({'id': rule_id, 'name': name, 'shortDescription': {'text': name},
+             'fullDescription': {'text': description},
+             'help': {'text': help_text, 'markdown': help_markdown}, 'helpUri': help_uri,
+             'defaultConfiguration': {'level': level},
+             'properties': {'tags': string_split(tags, ','), 'precision': 'high',
+                            'problem': {'severity': severity}}} ORDER BY rule_id) AS rules
+           FROM seen GROUP BY scan_id)""",
+         f"""result_docs AS (
+           SELECT scan_id, count(*) AS n, list({{'ruleId': rule_id,
+             'level': {case_of('severity', LEVELS)},
+             'message': {{'text': title || ': ' || description || CASE WHEN coalesce(fix, '') <> ''
+                THEN ' (Suggested Fix: ' || fix || ')' ELSE '' END}},
+             'locations': [{{'physicalLocation': {{
+               'artifactLocation': {{'uri': replace(file, '\\', '/'), 'uriBaseId': {q(SARIF_ROOT)}}},
+               'region': {{'startLine': line, 'startColumn': "column",
+                           'snippet': {{'text': snippet}}}}}}}}]}} ORDER BY file, ro, xo, k) AS results
+           FROM found WHERE NOT suppressed GROUP BY scan_id)"""],
+        f"""SELECT scan_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
+          CAST(n AS INTEGER) AS n_results,
+          CAST(to_json({{'$schema': {q(SARIF_SCHEMA)}, 'version': {q(SARIF_VERSION)},
+            'runs': [{{'tool': {{'driver': {{'name': {q(TOOL)}, 'version': {q(VERSION)},
+              'rules': rules}}}}, 'results': results}}]}}) AS VARCHAR) AS document
+        FROM result_docs JOIN rule_docs USING (scan_id)""",
+    )
+
+
 ORACLES: dict[str, str] = {
     "corpus_files": with_(FILES, f"""SELECT scan_id, file_path,
         CAST(len(string_split(content, {NL})) AS INTEGER) AS n_lines,
@@ -817,7 +913,7 @@ ORACLES: dict[str, str] = {
         new_start FROM hunk_lines WHERE start IS NOT NULL"""),
     "diff_lines": with_([*DIFFS, *parsed_diffs()], """SELECT scan_id,
         CAST(block_ord AS INTEGER) AS block_ord, file, CAST(hunk_ord AS INTEGER) AS hunk_ord,
-        CAST(line_ord AS INTEGER) AS line_ord, type, content, CAST(new_line AS BIGINT) AS new_line
+        CAST(line_ord AS INTEGER) AS line_ord, type, content, CAST(coalesce(new_line, 0) AS BIGINT) AS new_line
         FROM typed_lines"""),
     "hunk_text": with_([*DIFFS, *parsed_diffs()], """SELECT scan_id,
         CAST(block_ord AS INTEGER) AS block_ord, CAST(hunk_ord AS INTEGER) AS hunk_ord,
@@ -927,5 +1023,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file, ro, xo, k) AS nth
               FROM found WHERE NOT suppressed) WHERE nth <= {MAX_COMMENTS}"""),
     "verdict_report": verdict_report_sql(),
+    "json_report": json_sql(),
+    "markdown_report": markdown_sql(),
+    "sarif_report": sarif_sql(),
     "stream_scan_diffs": stream_sql(),
 }

@@ -28,7 +28,7 @@ from palisade.streaming import pushes as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-URL = r"https?://[^\s\"'<>]+"
+NUMBERS_AND_TAGS = r"""\b\d{3,}|<(?:h[1-6]|a\s+href)[^>]*>"""
 TOKEN = r"[A-Za-z0-9_]{20,}"
 GENERIC_TOKEN = Rule(
     rule_id="CUSTOM-001",
@@ -159,7 +159,8 @@ def diff_hunks(spark, folder):
 
 
 def diff_lines(spark, folder):
-    return diff.diff_lines(diff.diff_hunks(_diff_files(spark, folder)))
+    lines = diff.diff_lines(diff.diff_hunks(_diff_files(spark, folder)))
+    return lines.withColumn("new_line", F.coalesce("new_line", F.lit(0)))  # 0: not in the new file
 
 
 def hunk_text(spark, folder):
@@ -252,9 +253,9 @@ def enrich_cwe(spark, folder):
 
 
 def match_positions_query(spark, folder):
-    pages = derived.page_files(spark, folder)
-    hits = match_positions(F.col("content"), F.lit(java_regex(URL)))
-    return pages.select("file_path", F.posexplode(hits).alias("nth", "h")).select(
+    texts = derived.page_files(spark, folder).unionByName(derived.files(spark, folder))
+    hits = match_positions(F.col("content"), F.lit(java_regex(NUMBERS_AND_TAGS)))
+    return texts.select("file_path", F.posexplode(hits).alias("nth", "h")).select(
         "file_path", "nth", "h.line", "h.column", "h.text", F.md5("h.snippet").alias("snippet")
     )
 
@@ -418,7 +419,10 @@ def review_gate(spark, folder):
 
 
 def json_report(spark, folder):
-    return reports.json_documents(*_stored(spark, folder))
+    results, described = _stored(spark, folder)
+    return reports.json_documents(
+        results, described.withColumn("entropy", F.round("entropy", 6))
+    )
 
 
 def sarif_results(spark, folder):
