@@ -19,12 +19,12 @@ SECRET, PROMPT, CALL, VECTOR, ENV, PLAIN = "secret", "prompt", "call", "vector",
 @dataclass(frozen=True)
 class Pattern:
     """One regex. ``groups`` name the capture groups whose text is the finding's token;
-    ``mark`` is the replacement template placing ``@`` where the finding is located."""
+    ``mark`` is the replacement template: the finding lies between ``@`` and ``#``."""
 
     text: str
     ignore_case: bool = True
     groups: tuple[int, ...] = ()
-    mark: str = "@$0"
+    mark: str = "@$0#"
 
     @property
     def java(self) -> str:
@@ -356,7 +356,7 @@ TOOL_RULES = (
           "critical", 798, MCP_CREDENTIALS,
           "Let the server inherit the secret from the system environment.",
           "tools/debugging", ENV_PATH,
-          (Pattern(ENV_SECRET, groups=(2, 5), mark="$1$4@$2$5$3$6"),),
+          (Pattern(ENV_SECRET, mark="$1$4@$2$5#$3$6"),),
           kind=ENV, redact=True),
     _tool(4, "Tool server requests any URL",
           "A tool handler requests a URL argument without filtering private addresses.",

@@ -1,11 +1,12 @@
 """Position-true regex matching without UDFs.
 
-Every match start is marked with a noncharacter by one ``regexp_replace``; the
-marked text is split into lines next to the original ones, so the line number is
-the index of the line and the column follows from the lengths of the pieces
-before the marker. All work is linear in the text, row-local, and needs no
-shuffle. If the text itself holds the marker it is swapped for another
-noncharacter in the marked copy only; matches and snippets come from the original.
+One ``regexp_replace`` puts a noncharacter before and another after every match. The
+marked text is cut into lines, so a match's line is the index of its line and its column
+follows from the lengths before the marker; the matched text is what stands between the
+two. That is a single regex pass, linear in the text, row-local and without shuffle.
+
+Valid text holds no noncharacters. Should one of the two occur anyway, it appears as
+``STAND_IN`` in snippets and tokens; positions are not affected.
 """
 
 from __future__ import annotations
@@ -13,20 +14,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.text import lines_of, trim
+from palisade.functions.text import let, lines_of, trim
 
 MARK = "\uffff"
-STAND_IN = "\ufffe"
-START_MARK = MARK + "$0"
+END = "\ufffe"
+STAND_IN = "\ufdd0"
+TEMPLATE = "@$0#"
+
+
+def marker_template(template: str = TEMPLATE) -> str:
+    """Replacement text; ``@`` and ``#`` say where the located text starts and ends."""
+    return template.replace("@", MARK).replace("#", END)
 
 
 def mark_matches(content: Column, pattern: Column, template: Column | None = None) -> Column:
-    template = F.lit(START_MARK) if template is None else template
-    return F.regexp_replace(F.translate(content, MARK, STAND_IN), pattern, template)
+    template = F.lit(marker_template()) if template is None else template
+    taken = F.contains(content, F.lit(MARK)) | F.contains(content, F.lit(END))
+    safe = F.when(taken, F.translate(content, MARK + END, STAND_IN * 2)).otherwise(content)
+    return F.regexp_replace(safe, pattern, template)
+
+
+def _plain(marked: Column) -> Column:
+    return F.replace(marked, F.lit(END), F.lit(""))
 
 
 def _columns(marked_line: Column) -> Column:
-    pieces = F.split(marked_line, MARK, -1)
+    pieces = F.split(_plain(marked_line), MARK, -1)
     start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("cols"))
     return F.aggregate(
         F.slice(pieces, F.lit(1), F.size(pieces) - 1),
@@ -39,18 +52,29 @@ def _columns(marked_line: Column) -> Column:
     )
 
 
-def positions(content: Column, marked: Column) -> Column:
-    """``array<struct<line,column,snippet>>``, in text order, one per marker."""
-    paired = F.zip_with(
-        lines_of(marked), lines_of(content), lambda m, o: F.struct(m.alias("m"), o.alias("o"))
+def pieces_from_matches(marked: Column) -> Column:
+    """The text cut at every match start; the first piece precedes the first match."""
+    return F.split(_plain(marked), MARK, -1)
+
+
+def matched_texts(marked: Column) -> Column:
+    pieces = F.split(marked, MARK, -1)
+    return F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, END, 1)
     )
+
+
+def positions(marked: Column) -> Column:
+    """``array<struct<line,column,snippet>>``, in text order, one per match."""
     numbered = F.transform(
-        paired, lambda z, i: F.struct(z["m"].alias("m"), z["o"].alias("o"), (i + 1).alias("line"))
+        lines_of(marked), lambda m, i: F.struct(m.alias("m"), (i + 1).alias("line"))
     )
     hit_lines = F.transform(
         F.filter(numbered, lambda x: F.contains(x["m"], F.lit(MARK))),
         lambda x: F.struct(
-            x["line"].alias("line"), trim(x["o"]).alias("snippet"), _columns(x["m"]).alias("cols")
+            x["line"].alias("line"),
+            trim(F.replace(_plain(x["m"]), F.lit(MARK), F.lit(""))).alias("snippet"),
+            _columns(x["m"]).alias("cols"),
         ),
     )
     return F.flatten(
@@ -68,13 +92,16 @@ def positions(content: Column, marked: Column) -> Column:
 
 def match_positions(content: Column, pattern: Column, template: Column | None = None) -> Column:
     """``array<struct<line,column,snippet,text>>`` of all non-overlapping matches."""
-    return F.zip_with(
-        positions(content, mark_matches(content, pattern, template)),
-        F.regexp_extract_all(content, pattern, F.lit(0)),
-        lambda p, t: F.struct(
-            p["line"].alias("line"),
-            p["column"].alias("column"),
-            p["snippet"].alias("snippet"),
-            t.alias("text"),
+    return let(
+        mark_matches(content, pattern, template),
+        lambda marked: F.zip_with(
+            positions(marked),
+            matched_texts(marked),
+            lambda p, t: F.struct(
+                p["line"].alias("line"),
+                p["column"].alias("column"),
+                p["snippet"].alias("snippet"),
+                t.alias("text"),
+            ),
         ),
     )

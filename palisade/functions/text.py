@@ -69,7 +69,10 @@ def trim(text: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, LINE_BREAK, -1)
+    """Lines cut at ``\\r?\\n``; texts without ``\\r`` take the far faster literal split."""
+    return F.when(F.contains(text, F.lit("\r")), F.split(text, LINE_BREAK, -1)).otherwise(
+        F.split(text, "\n", -1)
+    )
 
 
 def forward_slashes(path: Column) -> Column:

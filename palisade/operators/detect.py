@@ -27,7 +27,9 @@ from palisade.catalogue import (
 from palisade.functions.calls import call_arguments
 from palisade.functions.entropy import is_high_entropy, token_entropy
 from palisade.functions.masking import mask, mask_first
-from palisade.functions.positions import MARK, mark_matches, positions
+from palisade.functions.positions import (
+    mark_matches, marker_template, matched_texts, pieces_from_matches, positions,
+)
 from palisade.functions.prompts import has_untrusted
 from palisade.operators.gate import fired_rules
 from palisade.functions.text import forward_slashes, java_regex, let, trim
@@ -56,7 +58,7 @@ _RULE_DDL = (
 
 def _pattern_rows(patterns: Sequence[Pattern]) -> list[dict]:
     return [
-        {"regex": p.java, "template": p.mark.replace("@", MARK), "groups": list(p.groups)}
+        {"regex": p.java, "template": marker_template(p.mark), "groups": list(p.groups)}
         for p in patterns
     ]
 
@@ -110,13 +112,13 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
     def located(pattern: Column, ord_: Column) -> Column:
         def zipped(b: Column) -> Column:
             arguments = F.when(
-                rule["kind"] == CALL, call_arguments(F.split(b["marked"], MARK, -1), b["texts"])
+                rule["kind"] == CALL, call_arguments(pieces_from_matches(b["marked"]), b["texts"])
             ).otherwise(F.transform(b["texts"], lambda _: F.lit(None).cast("string")))
             pairs = F.zip_with(
                 b["texts"], arguments, lambda t, a: F.struct(t.alias("text"), a.alias("arguments"))
             )
             return F.zip_with(
-                positions(content, b["marked"]),
+                positions(b["marked"]),
                 pairs,
                 lambda p, t: F.struct(
                     ord_.alias("regex_ord"),
@@ -129,11 +131,10 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
             )
 
         return let(
-            F.struct(
-                mark_matches(content, pattern["regex"], pattern["template"]).alias("marked"),
-                F.regexp_extract_all(content, pattern["regex"], F.lit(0)).alias("texts"),
+            mark_matches(content, pattern["regex"], pattern["template"]),
+            lambda marked: let(
+                F.struct(marked.alias("marked"), matched_texts(marked).alias("texts")), zipped
             ),
-            zipped,
         )
 
     def kept(h: Column) -> Column:
@@ -196,26 +197,40 @@ def detect(
     if not rules:
         raise ValueError("no active rules")
     c, p = F.col(content), F.col(path)
-    allowed = F.array(*[path_gate(r, p) for r in rules])
-    fired = texts.withColumn("_any", fired_rules(rules, c)).withColumn(
-        "_fired",
+    gates: dict[tuple, Column] = {}
+    for r in rules:
+        gates.setdefault((r.path_pattern, r.skip_suffixes), path_gate(r, p))
+    allowed = F.array(*gates.values())
+    gate_of = F.from_json(
+        F.lit(json.dumps([list(gates).index((r.path_pattern, r.skip_suffixes)) for r in rules])),
+        "array<int>",
+    )
+    carried = list(dict.fromkeys([*keep, content, path]))
+    candidates = texts.select(*carried, fired_rules(rules, c).alias("_any"))
+    fired = candidates.select(
+        *carried,
         F.when(
             F.size("_any") > 0,
-            let(allowed, lambda ok: F.filter("_any", lambda i: F.get(ok, i))),
-        ).otherwise(F.array().cast("array<int>")),
+            let(allowed, lambda ok: F.filter("_any", lambda i: F.get(ok, F.get(gate_of, i)))),
+        )
+        .otherwise(F.array().cast("array<int>"))
+        .alias("_fired"),
     )
-    for name, value in (per_text or {}).items():
-        fired = fired.withColumn(name, F.when(F.size("_fired") > 0, value))
-    keep = (*keep, *(per_text or {}))
+    extra = per_text or {}
+    if extra:
+        fired = fired.select(
+            "*", *[F.when(F.size("_fired") > 0, v).alias(k) for k, v in extra.items()]
+        )
+    keep = (*keep, *extra)
     # Outer explodes throughout: for an inner one the optimizer infers a size filter
     # and pushes it below the projection, where all gates would be evaluated again.
     carried = list(dict.fromkeys([*keep, content, path]))
     pairs = fired.select(*carried, F.posexplode_outer("_fired").alias("_nth_rule", "rule_ord"))
     if not keep_clean:
         pairs = pairs.where(F.col("rule_ord").isNotNull())
-    hits = pairs.withColumn("_rule", F.get(rule_parameters(rules), F.col("rule_ord"))).withColumn(
-        "_hits", hits_column(content, path, "_rule")
-    )
+    hits = pairs.select(
+        "*", F.get(rule_parameters(rules), F.col("rule_ord")).alias("_rule")
+    ).select("*", hits_column(content, path, "_rule").alias("_hits"))
     labels = ("rule_id", "severity", "category")
     rows = hits.select(
         *keep, "_nth_rule", "rule_ord", *[F.col(f"_rule.{n}").alias(n) for n in labels],

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.paths import is_ignored
-from palisade.functions.text import LINE_BREAK, let, trim
+from palisade.functions.text import LINE_BREAK, let, lines_of, trim
 from palisade.operators.detect import detect
 from palisade.operators.scan import FINDING_COLUMNS, filter_ignored
 from palisade.operators.suppress import directives, is_suppressed
@@ -25,9 +25,11 @@ LEAST_PARTIAL = 500
 TRUNCATED = "\n\n[... Remaining hunks truncated for token budget ...]"
 OMITTED = "\n\n[... Additional non-critical files omitted for token budget ...]"
 
-_BLOCK_START = r"(?:\A|(?<=[\n\r\x{2028}\x{2029}]))diff --git "
-_FILE_NAME = r"(?:\A|\n)\+\+\+ (?:b/)?([^\n]*?)\r?(?:\n|\z)"
-_HUNK_HEADER = r"(?:\A|(?<=\n))@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+# The first character comes before the test of what precedes it: the regex engine then
+# skips from candidate to candidate instead of looking behind at every position.
+_BLOCK_START = r"d(?<=\Ad|[\n\r\x{2028}\x{2029}]d)iff --git "
+_FILE_NAME = r"\+(?<=\A\+|\n\+)\+\+ (?:b/)?([^\n]*?)\r?(?:\n|\z)"
+_HUNK_HEADER = r"@(?<=\A@|\n@)@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
 def _block_array(diff_text: Column) -> Column:
@@ -78,7 +80,7 @@ def _hunk_array(block: Column) -> Column:
         lambda z, i: F.struct(
             (i + 1).alias("hunk_ord"),
             z["start"].cast("bigint").alias("new_start"),
-            F.split(z["body"], LINE_BREAK, -1).alias("lines"),
+            lines_of(z["body"]).alias("lines"),
         ),
     )
 

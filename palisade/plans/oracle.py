@@ -163,6 +163,9 @@ _PY_SHAPES = (
 
 
 def token_of(pattern, text: str) -> str:
+    if "$2$5" in pattern.mark:  # the located part of the environment pattern
+        return " || ".join(f"coalesce(regexp_extract({text}, {q(pattern.re2)}, {g}), '')"
+                           for g in (2, 5))
     if not pattern.groups:
         return text
     if len(pattern.groups) > 9:

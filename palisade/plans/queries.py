@@ -13,7 +13,9 @@ from palisade.functions.calls import call_arguments
 from palisade.functions.entropy import is_high_entropy, shannon_entropy, token_entropy
 from palisade.functions.masking import mask, mask_first
 from palisade.functions.paths import is_pruned
-from palisade.functions.positions import MARK, mark_matches, match_positions, positions
+from palisade.functions.positions import (
+    mark_matches, match_positions, matched_texts, pieces_from_matches, positions,
+)
 from palisade.functions.prompts import (
     is_safe_expression, is_untrusted_expression, placeholders,
 )
@@ -296,11 +298,10 @@ def call_args(spark, folder):
     files = derived.files(spark, folder).where(F.rlike("content", pattern)).withColumn(
         "marked", mark_matches(F.col("content"), pattern)
     )
-    arguments = call_arguments(
-        F.split("marked", MARK, -1), F.regexp_extract_all("content", pattern, F.lit(0))
-    )
+    marked = F.col("marked")
+    arguments = call_arguments(pieces_from_matches(marked), matched_texts(marked))
     zipped = F.zip_with(
-        positions(F.col("content"), F.col("marked")), arguments,
+        positions(marked), arguments,
         lambda p, a: F.struct(p["line"].alias("line"), p["column"].alias("column"),
                               a.alias("arguments")),
     )

@@ -6,6 +6,8 @@ texts come in through constant arrays, so no join is needed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _pick(values: list[str | None], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
+    return F.get(F.from_json(F.lit(json.dumps(values)), "array<string>"), index.cast("int"))
 
 
 def _entry(doc_id: Column) -> Column:
