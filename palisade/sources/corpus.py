@@ -25,7 +25,8 @@ def spread(frame: DataFrame, limit: int = SPREAD_LIMIT_BYTES) -> DataFrame:
 def read_tree(spark: SparkSession, root: str, scan_id: str, profile: str = "cli") -> DataFrame:
     """``files(scan_id, file_path, content)`` of a directory tree, pruned by path.
 
-    Unreadable files are skipped by the reader; the path filter runs before decoding.
+    Unreadable files are skipped by the reader; the path filter runs before decoding, and
+    bytes that are no UTF-8 become replacement characters.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -42,7 +43,7 @@ def read_tree(spark: SparkSession, root: str, scan_id: str, profile: str = "cli"
         .select(
             F.lit(scan_id).alias("scan_id"),
             "file_path",
-            F.decode(F.col("content"), "UTF-8").alias("content"),
+            F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         )
     )
 
