@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,39 +50,38 @@ def closing_offset(tail: Column) -> Column:
     return F.aggregate(F.split(tail, _DELIMITERS, -1), start, step, lambda acc: acc["end"])
 
 
-def call_arguments(pieces: Column, openings: Column) -> Column:
-    """Arguments for every call opening of a text.
+def call_arguments(
+    pieces: Column, openings: Column, then: Callable[[Column], Column] = lambda text: text
+) -> Column:
+    """``then(arguments)`` for every call opening of a text.
 
-    ``pieces`` is the text cut at each opening (first entry: what precedes the
-    first one), ``openings`` the matched text, ending in ``(``. The closing
-    parenthesis is looked for up to the next opening first; only when it is not
-    there (nested or unclosed call) is the whole rest of the text walked.
+    ``pieces`` is the text cut at each opening (first entry: what precedes the first one),
+    ``openings`` the matched text, ending in ``(``. The closing parenthesis is looked for
+    up to the next opening first; only when it is not there (nested or unclosed call) is
+    the whole rest of the text walked. ``then`` is applied call by call, so that a test on
+    the arguments never holds many long texts at once.
     """
 
+    def closed(text: Column, otherwise: Callable[[Column], Column]) -> Column:
+        return let(
+            text,
+            lambda t: let(
+                closing_offset(t),
+                lambda e: F.when(e < 0, otherwise(t)).otherwise(then(F.substr(t, F.lit(1), e))),
+            ),
+        )
+
     def arguments(cut: Column) -> Column:
         numbered = F.transform(
             cut["openings"], lambda o, k: F.struct(o.alias("o"), (k + 2).alias("k"))
         )
 
         def one(x: Column) -> Column:
-            near = F.substr(F.get(cut["pieces"], x["k"] - 1), F.length(x["o"]) + 1)
-
-            def far(_: Column) -> Column:
-                rest = F.array_join(F.slice(cut["pieces"], x["k"], F.size(cut["pieces"])), "")
-                return let(
-                    F.substr(rest, F.length(x["o"]) + 1),
-                    lambda r: let(
-                        closing_offset(r),
-                        lambda e: F.when(e < 0, r).otherwise(F.substr(r, F.lit(1), e)),
-                    ),
-                )
-
-            return let(
-                near,
-                lambda t: let(
-                    closing_offset(t),
-                    lambda e: F.when(e < 0, far(t)).otherwise(F.substr(t, F.lit(1), e)),
-                ),
+            after = F.length(x["o"]) + 1
+            rest = F.array_join(F.slice(cut["pieces"], x["k"], F.size(cut["pieces"])), "")
+            return closed(
+                F.substr(F.get(cut["pieces"], x["k"] - 1), after),
+                lambda _: closed(F.substr(rest, after), then),
             )
 
         return F.transform(numbered, one)

@@ -64,12 +64,12 @@ def matched_texts(marked: Column) -> Column:
     )
 
 
-def positions(marked: Column) -> Column:
-    """``array<struct<line,column,snippet>>``, in text order, one per match."""
+def hit_lines(marked: Column) -> Column:
+    """``array<struct<line,snippet,cols>>``: each line on which matches start, once."""
     numbered = F.transform(
         lines_of(marked), lambda m, i: F.struct(m.alias("m"), (i + 1).alias("line"))
     )
-    hit_lines = F.transform(
+    return F.transform(
         F.filter(numbered, lambda x: F.contains(x["m"], F.lit(MARK))),
         lambda x: F.struct(
             x["line"].alias("line"),
@@ -77,19 +77,40 @@ def positions(marked: Column) -> Column:
             _columns(x["m"]).alias("cols"),
         ),
     )
+
+
+def line_positions(lines: Column) -> Column:
+    """``array<struct<line,column,nth>>``, one per match; ``nth`` indexes ``hit_lines``.
+
+    The snippet stays out: a minified file may have thousands of matches on one line of
+    megabytes, and an array repeating that line would not fit a row.
+    """
     return F.flatten(
         F.transform(
-            hit_lines,
-            lambda x: F.transform(
+            lines,
+            lambda x, i: F.transform(
                 x["cols"],
-                lambda c: F.struct(
-                    x["line"].alias("line"), c.alias("column"), x["snippet"].alias("snippet")
-                ),
+                lambda c: F.struct(x["line"].alias("line"), c.alias("column"), i.alias("nth")),
             ),
         )
     )
 
 
+def positions(marked: Column) -> Column:
+    """``array<struct<line,column,snippet>>``, in text order, one per match."""
+    return let(
+        hit_lines(marked),
+        lambda lines: F.transform(
+            line_positions(lines),
+            lambda p: F.struct(
+                p["line"].alias("line"),
+                p["column"].alias("column"),
+                F.get(lines, p["nth"])["snippet"].alias("snippet"),
+            ),
+        ),
+    )
+
+
 def match_positions(content: Column, pattern: Column, template: Column | None = None) -> Column:
     """``array<struct<line,column,snippet,text>>`` of all non-overlapping matches."""
     return let(

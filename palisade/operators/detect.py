@@ -28,7 +28,7 @@ from palisade.functions.calls import call_arguments
 from palisade.functions.entropy import is_high_entropy, token_entropy
 from palisade.functions.masking import mask, mask_first
 from palisade.functions.positions import (
-    mark_matches, marker_template, matched_texts, pieces_from_matches, positions,
+    hit_lines, line_positions, mark_matches, marker_template, matched_texts, pieces_from_matches,
 )
 from palisade.functions.prompts import has_untrusted
 from palisade.operators.gate import fired_rules
@@ -48,6 +48,9 @@ def path_gate(rule: Rule, path: Column) -> Column:
     return gate
 
 
+# Characters of snippets one row may repeat; a row cannot exceed 2 GB.
+INLINE_LIMIT = 1 << 26
+
 _PATTERN_DDL = "struct<regex:string,template:string,groups:array<int>>"
 _RULE_DDL = (
     "struct<rule_id:string,severity:string,category:string,kind:string,redact:boolean,"
@@ -105,35 +108,67 @@ def hits_column(content: str, path: str, rule: str) -> Column:
 
 
 def rule_hits(content: Column, path: Column, rule: Column) -> Column:
-    """Hits of one rule in one text, in order, false ones removed."""
+    """Hits of one rule in one text, in order, false ones removed.
+
+    ``struct<snippets array<array<string>>, hits array<struct<...>>>``. Hits carry their
+    line, unless the lines of all hits add up to more than ``INLINE_LIMIT``: then each line
+    is stored once in ``snippets``, under the hits' ``regex_ord`` and ``nth``.
+    """
     python = is_python(path)
     patterns = F.when(python, rule["python_patterns"]).otherwise(rule["patterns"])
 
+    def is_bounded(arguments: Column) -> Column:
+        return F.rlike(arguments, F.lit(java_regex(TOKEN_LIMIT, False))) | F.rlike(
+            trim(arguments), F.lit(java_regex(SPREAD_OR_VARIABLE, False))
+        )
+
     def located(pattern: Column, ord_: Column) -> Column:
         def zipped(b: Column) -> Column:
-            arguments = F.when(
-                rule["kind"] == CALL, call_arguments(pieces_from_matches(b["marked"]), b["texts"])
-            ).otherwise(F.transform(b["texts"], lambda _: F.lit(None).cast("string")))
+            bounded = F.when(
+                rule["kind"] == CALL,
+                call_arguments(pieces_from_matches(b["marked"]), b["texts"], is_bounded),
+            ).otherwise(F.transform(b["texts"], lambda _: F.lit(False)))
             pairs = F.zip_with(
-                b["texts"], arguments, lambda t, a: F.struct(t.alias("text"), a.alias("arguments"))
+                b["texts"], bounded, lambda t, a: F.struct(t.alias("text"), a.alias("bounded"))
             )
-            return F.zip_with(
-                positions(b["marked"]),
+            by_reference = b["by_reference"]
+            hits = F.zip_with(
+                line_positions(b["lines"]),
                 pairs,
                 lambda p, t: F.struct(
+                    F.when(~by_reference, F.get(b["lines"], p["nth"])["snippet"])
+                    .alias("snippet"),
                     ord_.alias("regex_ord"),
                     p["line"].alias("line"),
                     p["column"].alias("column"),
-                    p["snippet"].alias("snippet"),
+                    p["nth"].alias("nth"),
                     _token(t["text"], pattern).alias("token"),
-                    t["arguments"].alias("arguments"),
+                    t["bounded"].alias("bounded"),
                 ),
             )
+            return F.struct(
+                F.when(by_reference, F.transform(b["lines"], lambda x: x["snippet"]))
+                .alias("snippets"),
+                hits.alias("hits"),
+            )
+
+        def bound(marked: Column, lines: Column) -> Column:
+            written = F.aggregate(
+                lines,
+                F.lit(0).cast("bigint"),
+                lambda n, x: n + F.length(x["snippet"]).cast("bigint") * F.size(x["cols"]),
+            )
+            return F.struct(
+                marked.alias("marked"),
+                matched_texts(marked).alias("texts"),
+                lines.alias("lines"),
+                (written > INLINE_LIMIT).alias("by_reference"),
+            )
 
         return let(
             mark_matches(content, pattern["regex"], pattern["template"]),
             lambda marked: let(
-                F.struct(marked.alias("marked"), matched_texts(marked).alias("texts")), zipped
+                hit_lines(marked), lambda lines: let(bound(marked, lines), zipped)
             ),
         )
 
@@ -143,39 +178,54 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
                 is_high_entropy(h["token"], rule["min_entropy"])
             )
         )
-        bounded = F.rlike(h["arguments"], F.lit(java_regex(TOKEN_LIMIT, False))) | F.rlike(
-            trim(h["arguments"]), F.lit(java_regex(SPREAD_OR_VARIABLE, False))
-        )
         repeated = F.startswith(h["token"], F.lit(PINECONE_TOKEN_PREFIX)) & (h["regex_ord"] > 0)
         return (
             F.when(rule["kind"] == SECRET, secret)
             .when(rule["kind"] == PROMPT, has_untrusted(h["token"], python))
-            .when(rule["kind"] == CALL, ~bounded)
+            .when(rule["kind"] == CALL, ~h["bounded"])
             .when(rule["kind"] == VECTOR, ~repeated)
             .otherwise(F.lit(True))
         )
 
     def first_per_line(hits: Column) -> Column:
-        return let(
-            F.struct(hits.alias("hits"), F.transform(hits, lambda h: h["line"]).alias("lines")),
+        # sorted by line, a hit is a repeat if the one before it has the same line
+        by_line = F.array_sort(
+            F.transform(
+                hits, lambda h, i: F.struct(h["line"].alias("line"), i.alias("i"), h.alias("h"))
+            )
+        )
+        firsts = let(
+            by_line,
             lambda b: F.filter(
-                b["hits"], lambda h, i: F.array_position(b["lines"], h["line"]) == i + 1
+                b, lambda x, i: (i == 0) | (F.get(b, i - 1)["line"] != x["line"])
             ),
         )
+        in_order = F.array_sort(
+            F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h")))
+        )
+        return F.transform(in_order, lambda x: x["h"])
+
+    def finished(found: Column) -> Column:
+        hits = F.filter(F.flatten(F.transform(found, lambda x: x["hits"])), kept)
+        hits = let(hits, lambda h: F.when(rule["one_per_line"], first_per_line(h)).otherwise(h))
+        return F.struct(
+            F.transform(found, lambda x: x["snippets"]).alias("snippets"),
+            F.transform(
+                hits,
+                lambda h: F.struct(
+                    h["regex_ord"].alias("regex_ord"),
+                    h["line"].alias("line"),
+                    h["column"].alias("column"),
+                    h["nth"].alias("nth"),
+                    h["snippet"].alias("snippet"),
+                    F.when(rule["redact"], h["token"]).alias("secret"),
+                    F.when(rule["min_entropy"].isNotNull(), token_entropy(h["token"]))
+                    .alias("entropy"),
+                ),
+            ).alias("hits"),
+        )
 
-    hits = F.filter(F.flatten(F.transform(patterns, located)), kept)
-    hits = let(hits, lambda h: F.when(rule["one_per_line"], first_per_line(h)).otherwise(h))
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            h["line"].alias("line"),
-            h["column"].alias("column"),
-            F.when(rule["redact"], mask_first(h["snippet"], h["token"], mask(h["token"])))
-            .otherwise(h["snippet"])
-            .alias("snippet"),
-            F.when(rule["min_entropy"].isNotNull(), token_entropy(h["token"])).alias("entropy"),
-        ),
-    )
+    return let(F.transform(patterns, located), finished)
 
 
 def detect(
@@ -232,15 +282,26 @@ def detect(
         "*", F.get(rule_parameters(rules), F.col("rule_ord")).alias("_rule")
     ).select("*", hits_column(content, path, "_rule").alias("_hits"))
     labels = ("rule_id", "severity", "category")
-    rows = hits.select(
+    # the list is a column of its own, so that exploding does not carry it along
+    lists = hits.select(
         *keep, "_nth_rule", "rule_ord", *[F.col(f"_rule.{n}").alias(n) for n in labels],
-        F.posexplode_outer("_hits").alias("match_ord", "_hit"),
+        F.col("_hits.snippets").alias("_snippets"), F.col("_hits.hits").alias("_list"),
+    )
+    rows = lists.select(
+        *keep, "_nth_rule", "rule_ord", *labels, "_snippets",
+        F.posexplode_outer("_list").alias("match_ord", "_hit"),
     )
     if not keep_clean:
         rows = rows.where(F.col("match_ord").isNotNull())
+    line = F.coalesce(
+        "_hit.snippet", F.get(F.get("_snippets", F.col("_hit.regex_ord")), F.col("_hit.nth"))
+    )
+    secret = F.col("_hit.secret")
     found = [
         F.col("rule_ord"), F.col("match_ord"), F.col("_hit.line"), F.col("_hit.column"),
-        F.col("_hit.snippet"), F.col("_hit.entropy"),
+        F.when(secret.isNotNull(), mask_first(line, secret, mask(secret))).otherwise(line)
+        .alias("snippet"),
+        F.col("_hit.entropy"),
         *[F.when(F.col("_hit").isNotNull(), F.col(n)).alias(n) for n in labels],
     ]
     if keep_clean:
