@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palisade.functions.paths import is_ignored
 from palisade.functions.text import LINE_BREAK, let, lines_of, trim
 from palisade.operators.detect import detect
-from palisade.operators.scan import FINDING_COLUMNS, filter_ignored
+from palisade.operators.scan import FINDING_COLUMNS
 from palisade.operators.suppress import directives, is_suppressed
 from palisade.settings import ScanConfig
 
@@ -135,27 +135,45 @@ def hunk_text(hunks: DataFrame, outer: bool = False) -> DataFrame:
     )
 
 
-def raw_diff_findings(diffs: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+def raw_diff_findings(
+    diffs: DataFrame, config: ScanConfig | None = None, keep_clean: bool = False
+) -> DataFrame:
     """Findings on added lines, before de-duplication.
 
     Directives are read per hunk. A match counts if the line it starts on was added.
+    ``keep_clean`` keeps a null row for what yields nothing (a diff, a file, a hunk), so
+    that files and clean diffs can be counted in the same pass.
     """
     config = config or ScanConfig()
-    named = filter_ignored(diff_files(diffs.select("scan_id", "diff_text")), config, "file")
-    texts = hunk_text(diff_hunks(named))
+    blocks = diff_blocks(diffs.select("scan_id", "diff_text"), outer=keep_clean).withColumn(
+        "file", F.regexp_extract("block", _FILE_NAME, 1)
+    )
+    scanned = _named(F.col("file")) & ~is_ignored(F.col("file"), config.ignore_paths)
+    if keep_clean:
+        named = blocks.select(
+            "scan_id",
+            "block_ord",
+            F.when(scanned, F.col("file")).alias("file"),
+            F.when(scanned, F.col("block")).alias("block"),
+        )
+    else:
+        named = blocks.where(scanned)
+    texts = hunk_text(diff_hunks(named, outer=keep_clean), outer=keep_clean)
     found = directives(F.col("content"), config.directive_prefix, config.strict_ids)
     keep = ("scan_id", "file", "block_ord", "hunk_ord", "new_start", "added")
     hits = detect(
-        texts, config.rules, "content", "file", keep, per_text={"_found": found}
-    )
-    return (
-        hits.where(F.get("added", F.col("line") - 1))
-        .withColumn(
-            "suppressed", is_suppressed(F.col("_found"), F.col("line"), F.col("rule_id"))
-        )
-        .withColumn("line", (F.col("new_start") + F.col("line") - 1).cast("int"))
-        .select("block_ord", "hunk_ord", *FINDING_COLUMNS)
-    )
+        texts, config.rules, "content", "file", keep, keep_clean, per_text={"_found": found}
+    ).withColumn("_on_added", F.coalesce(F.get("added", F.col("line") - 1), F.lit(False)))
+    if not keep_clean:
+        hits = hits.where(F.col("_on_added"))
+    flags = hits.withColumn(
+        "suppressed", is_suppressed(F.col("_found"), F.col("line"), F.col("rule_id"))
+    ).withColumn("line", (F.col("new_start") + F.col("line") - 1).cast("int"))
+    kept = ("scan_id", "file", "block_ord", "hunk_ord")
+    rest = [c for c in FINDING_COLUMNS if c not in kept]
+    return flags.select(
+        *kept, *[F.when(F.col("_on_added"), F.col(c)).alias(c) for c in rest]
+    ).select("block_ord", "hunk_ord", *FINDING_COLUMNS)
 
 
 def dedupe_findings(found: DataFrame) -> DataFrame:
@@ -171,25 +189,11 @@ def dedupe_findings(found: DataFrame) -> DataFrame:
     return first.select(*keys, "first.*")
 
 
-def scan_diff(diffs: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+def scan_diff(
+    diffs: DataFrame, config: ScanConfig | None = None, keep_clean: bool = False
+) -> DataFrame:
     """Findings a diff introduces; ``line`` is the line in the new file."""
-    return dedupe_findings(raw_diff_findings(diffs, config))
-
-
-def file_counts(diffs: DataFrame, config: ScanConfig | None = None) -> DataFrame:
-    """Number of distinct scanned files per diff (row-local; texts are not shuffled)."""
-    config = config or ScanConfig()
-    names = F.array_distinct(
-        F.filter(
-            F.transform(
-                _block_array(F.col("diff_text")),
-                lambda x: F.regexp_extract(x["block"], _FILE_NAME, 1),
-            ),
-            _named,
-        )
-    )
-    kept = F.filter(names, lambda n: ~is_ignored(n, config.ignore_paths))
-    return diffs.select("scan_id", F.size(kept).cast("bigint").alias("scanned_files"))
+    return dedupe_findings(raw_diff_findings(diffs, config, keep_clean))
 
 
 def _budgeted(diff_text: Column, targets: Column, limit: int) -> Column:

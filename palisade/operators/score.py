@@ -35,13 +35,17 @@ def severity_points(severity: Column) -> Column:
     return points
 
 
-def scan_result(rows: DataFrame, threshold: str = DEFAULT_THRESHOLD) -> DataFrame:
+def scan_result(
+    rows: DataFrame, threshold: str = DEFAULT_THRESHOLD, scanned_files: Column | None = None
+) -> DataFrame:
     """One row per scan from findings that include clean files (``keep_clean=True``)."""
+    if scanned_files is None:
+        scanned_files = F.count_if(F.col("first_row"))
     found = F.col("rule_id").isNotNull()
     live = found & ~F.col("suppressed")
     severity = F.col("severity")
     totals = rows.groupBy("scan_id").agg(
-        F.count_if(F.col("first_row")).alias("scanned_files"),
+        scanned_files.alias("scanned_files"),
         F.count_if(live).alias("findings_count"),
         F.count_if(found & F.col("suppressed")).alias("suppressed_count"),
         *[F.count_if(live & (severity == s)).alias(s) for s in reversed(SEVERITIES)],
@@ -59,26 +63,9 @@ def scan_result(rows: DataFrame, threshold: str = DEFAULT_THRESHOLD) -> DataFram
     )
 
 
-def diff_rows(diffs_scanned: DataFrame, findings: DataFrame) -> DataFrame:
-    """Combine per-diff file counts with findings into the input of ``scan_result``."""
-    columns = ("scan_id", "rule_id", "severity", "suppressed")
-    return findings.select(*columns, F.lit(False).alias("first_row")).unionByName(
-        diffs_scanned.select(
-            "scan_id",
-            F.lit(None).cast("string").alias("rule_id"),
-            F.lit(None).cast("string").alias("severity"),
-            F.lit(None).cast("boolean").alias("suppressed"),
-            F.lit(False).alias("first_row"),
-        )
-    )
-
-
-def diff_result(
-    file_counts: DataFrame, findings: DataFrame, threshold: str = DEFAULT_THRESHOLD
-) -> DataFrame:
-    """``scan_result`` for diffs; ``scanned_files`` is the number of files in the diff."""
-    totals = scan_result(diff_rows(file_counts, findings), threshold).drop("scanned_files")
-    return file_counts.join(totals, "scan_id")
+def diff_result(rows: DataFrame, threshold: str = DEFAULT_THRESHOLD) -> DataFrame:
+    """``scan_result`` for ``scan_diff(..., keep_clean=True)``: the files of each diff count."""
+    return scan_result(rows, threshold, F.count_distinct("file"))
 
 
 def risk_band(score: Column) -> Column:

@@ -384,13 +384,11 @@ def scan_result(spark, folder):
 
 
 def scan_result_diff(spark, folder):
-    diffs = derived.diffs(spark, folder)
-    return score.diff_result(diff.file_counts(diffs), diff.scan_diff(diffs))
+    return score.diff_result(diff.scan_diff(derived.diffs(spark, folder), keep_clean=True))
 
 
 def risk_band(spark, folder):
-    diffs = derived.diffs(spark, folder)
-    totals = score.diff_result(diff.file_counts(diffs), diff.scan_diff(diffs))
+    totals = scan_result_diff(spark, folder)
     return totals.select("scan_id", "risk_score", score.risk_band(F.col("risk_score")).alias("band"))
 
 
@@ -411,9 +409,7 @@ def detector_metrics(spark, folder):
 
 
 def review_gate(spark, folder):
-    diffs = derived.diffs(spark, folder)
-    results = score.diff_result(diff.file_counts(diffs), diff.scan_diff(diffs))
-    return verdicts.review_gate(_reviews(spark, folder), results)
+    return verdicts.review_gate(_reviews(spark, folder), scan_result_diff(spark, folder))
 
 
 # --- reports ------------------------------------------------------------------

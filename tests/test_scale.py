@@ -56,6 +56,11 @@ def test_diff_scan_shuffles_findings_not_texts(spark):
     assert "Exchange" not in raw
 
 
+def test_diff_result_reads_the_diffs_once(spark):
+    text = plan(QUERIES["scan_result_diff"](spark, SF))
+    assert text.count("FileScan") == 1 and text.count("ArrowEvalPython") == 1
+
+
 def test_comment_limit_is_applied_before_the_shuffle(files):
     found = scan_files(files).where(~F.col("suppressed"))
     text = plan(reports.top_comments(found, ["file", "rule_ord", "match_ord"]))
