@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.text import SPACE_CHARS, forward_slashes
+from palisade.functions.text import SPACE_CHARS, forward_slashes, let
 
 # Directories never walked, by profile, and binary-like extensions.
 CI_DIRS = (
@@ -35,26 +36,35 @@ def clean_patterns(patterns: Iterable[str]) -> list[str]:
     return cleaned
 
 
+def _texts(values: Iterable[str]) -> Column:
+    """A constant array as one literal, so that long lists do not grow the plan."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
 def is_ignored(path: Column, patterns: Iterable[str]) -> Column:
-    """OR-chain over a (small, driver-side) pattern list; no join.
+    """Whether a (driver-side) pattern list covers the path; no join.
 
     ``*.ext`` tests the suffix; otherwise a trailing ``/**`` and ``/`` go and the
     rest must be the path, a leading, inner or last run of segments. Other globs
     and ``!`` are literal text.
     """
-    norm = normalise_path(path)
-    rooted = F.concat(F.lit("/"), norm, F.lit("/"))
-    verdict = F.lit(False)
-    for pattern in clean_patterns(patterns):
-        if pattern.startswith("*."):
-            verdict = verdict | F.endswith(norm, F.lit(pattern[1:]))
-        folder = pattern.removesuffix("/**").removesuffix("/")
-        if folder:
-            verdict = verdict | F.contains(rooted, F.lit(f"/{folder}/"))
-        else:
-            verdict = verdict | (norm == "") | F.contains(norm, F.lit("//"))
-            verdict = verdict | F.startswith(norm, F.lit("/")) | F.endswith(norm, F.lit("/"))
-    return verdict
+    cleaned = clean_patterns(patterns)
+    suffixes = dict.fromkeys(p[1:] for p in cleaned if p.startswith("*."))
+    folders = dict.fromkeys(p.removesuffix("/**").removesuffix("/") for p in cleaned)
+    if not folders:
+        return F.lit(False)
+
+    def covered(norm: Column) -> Column:
+        rooted = F.concat(F.lit("/"), norm, F.lit("/"))
+        inner = _texts(f"/{folder}/" for folder in folders if folder)
+        verdict = let(rooted, lambda r: F.exists(inner, lambda f: F.contains(r, f)))
+        if suffixes:
+            verdict = verdict | F.exists(_texts(suffixes), lambda s: F.endswith(norm, s))
+        if "" in folders:  # a bare slash: only paths with an empty segment
+            verdict = verdict | (norm == "") | F.contains(rooted, F.lit("//"))
+        return verdict
+
+    return let(normalise_path(path), covered)
 
 
 def is_pruned(path: Column, profile: str = "cli") -> Column:

@@ -155,6 +155,34 @@ def test_ignore_patterns(spark):
     assert dict(zip(cases, got)) == cases
 
 
+def brute_ignored(path, patterns):
+    norm = path.replace("\\", "/")
+    norm = norm[2:] if norm.startswith("./") else norm
+    for pattern in patterns:
+        clean = pattern.replace("\\", "/")
+        clean = (clean[2:] if clean.startswith("./") else clean).strip()
+        if not clean:
+            continue
+        if clean.startswith("*.") and norm.endswith(clean[1:]):
+            return True
+        clean = re.sub(r"/$", "", re.sub(r"/\*\*$", "", clean))
+        if (norm == clean or norm.startswith(clean + "/") or f"/{clean}/" in norm
+                or norm.endswith("/" + clean)):
+            return True
+    return False
+
+
+def test_ignore_patterns_match_brute_force(spark):
+    rng = random.Random(11)
+    parts = ["a", "b", "ab", "/", "/", ".", "*", "**", "\\", " ", "a.b"]
+    for _ in range(12):
+        patterns = ["".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(4)]
+        paths = ["".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(60)] + ["", "/", "a//b"]
+        rows = spark.createDataFrame([(p,) for p in paths], "p string")
+        got = [r[0] for r in rows.select(is_ignored(F.col("p"), patterns)).collect()]
+        assert got == [brute_ignored(p, patterns) for p in paths], patterns
+
+
 def test_pruning(spark):
     cases = {
         "src/a.ts": (False, False), "node_modules/a.ts": (True, True), ".hidden/a": (True, True),
