@@ -53,13 +53,13 @@ def start_push_scan(
 
 
 def daily_risk(findings: DataFrame) -> DataFrame:
-    """Active findings, points and capped risk score per day of the events."""
+    """Active findings, points and capped risk score per (session time zone) day."""
     return (
         findings.where(~F.col("suppressed"))
-        .groupBy(F.window("ts", "1 day").alias("day"))
+        .groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
         .agg(F.count("*").alias("findings"), F.sum(severity_points(F.col("severity"))).alias("points"))
         .select(
-            F.date_format("day.start", "yyyy-MM-dd").alias("day"),
+            "day",
             "findings",
             "points",
             F.least(F.lit(MAX_SCORE), "points").cast("int").alias("risk_score"),
