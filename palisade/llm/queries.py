@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, chat, langid, shards, token_counts, urls
+from palisade.llm import bpe, chat, jaccard, langid, shards, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op2_bpe_round_trip(spark, folder):
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_ngram_jaccard(spark, folder):
+    return jaccard.similarity_classes(table(spark, folder, "documents"))
+
+
 def op4_chat_format(spark, folder):
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
@@ -85,6 +89,7 @@ def op10_token_counts(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op6_url_filter": op6_url_filter,
     "op8_byte_shards": op8_byte_shards,
