@@ -25,7 +25,7 @@ id is null in the result where it is the only one. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ PERCENT = 75
 SKETCH = 1 << 20
 BLOOM_BITS = 1 << 23
 SUFFIX_PARTS = 16
+Units = Callable[[bytes], list[np.ndarray]]
 PROFILE = "doc_id long, n_shingles long, node long, part int, piece binary"
 
 
@@ -148,10 +149,10 @@ def ordered_pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def nearest_pairs(shared: DataFrame) -> DataFrame:
+def nearest_pairs(shared: DataFrame, first_by: tuple[str, ...] = ("place", "n")) -> DataFrame:
     """Each node of a shingle group with the first and the previous one of about its length."""
     about = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
-    group = Window.partitionBy("shingle", "about").orderBy("place", "n", "node")
+    group = Window.partitionBy("shingle", "about").orderBy(*first_by, "node")
     row = F.struct("node", "n", "place")
     found = shared.withColumn("about", about).select(
         "node", "n", "place", F.first(row).over(group).alias("best"), F.lag(row).over(group).alias("prev")
@@ -194,7 +195,11 @@ def node_filter(pairs: DataFrame) -> np.ndarray:
     return blocks.merged(pairs.select("a", "b").mapInArrow(bits, blocks.SCHEMA), BLOOM_BITS // 8, "u1", "bitwise_or")
 
 
-def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def whole_text(text: bytes) -> list[np.ndarray]:
+    return [shingle_set(word_hashes(text))]
+
+
+def sets_of(docs: DataFrame, wanted: np.ndarray, units: Units) -> DataFrame:
     """(node, shingles) of nodes that may be wanted; the filter lets some others through."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -203,8 +208,7 @@ def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         bits = shared.value
         for batch in slices(batches):
             nodes, sets = [], []
-            for text in byte_texts(batch.column(0)):
-                s = shingle_set(word_hashes(text))
+            for s in (s for text in byte_texts(batch.column(0)) for s in units(text)):
                 node = node_of(s) if len(s) else None
                 if node is None or node in seen:
                     continue
@@ -237,9 +241,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) that link."""
-    sets = sets_of(docs, node_filter(pairs))
+def verified(pairs: DataFrame, docs: DataFrame, units: Units = whole_text) -> DataFrame:
+    """The pairs (u, v) that link; ``units`` gives the sets that a text holds."""
+    sets = sets_of(docs, node_filter(pairs), units)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -207,6 +207,18 @@ def best_paths(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndar
     return labels
 
 
+def texts_in_strips(texts: list[list[str]]) -> Iterator[slice]:
+    """Runs of texts of about ``STRIP_WORDS`` words."""
+    at = words = 0
+    for i, text in enumerate(texts):
+        words += len(text)
+        if words >= STRIP_WORDS:
+            yield slice(at, i + 1)
+            at, words = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 class Labeller:
     """Scores of the words a worker has seen, in a table of bounded size."""
 
@@ -243,6 +255,23 @@ class Labeller:
         return labels, scores, np.fromiter(map(len, words), np.int64, len(words))
 
 
+    def verdicts(self, texts: list[str]) -> Iterator[tuple[str, float, np.ndarray]]:
+        """(language, score, labels of words) of each text."""
+        langs = self.model.langs
+        words = [letter_words(t) if langs else [] for t in texts]
+        for strip in texts_in_strips(words):
+            labels, table, lengths = self.label(words[strip])
+            at = 0
+            for own in words[strip]:
+                part = slice(at, at + len(own))
+                at += len(own)
+                if own:
+                    best, score = verdict(labels[part], table[part], lengths[part])
+                    yield langs[best], score, labels[part]
+                else:
+                    yield UNKNOWN, 0.0, labels[part]
+
+
 def verdict(labels: np.ndarray, scores: np.ndarray, lengths: np.ndarray) -> tuple[int, float]:
     letters = np.bincount(labels, lengths, scores.shape[1])
     best = int(letters.argmax())
@@ -251,18 +280,6 @@ def verdict(labels: np.ndarray, scores: np.ndarray, lengths: np.ndarray) -> tupl
     return best, float(letters[best] / letters.sum() * chance)
 
 
-def texts_in_strips(texts: list[list[str]]) -> Iterator[slice]:
-    """Runs of texts of about ``STRIP_WORDS`` words."""
-    at = words = 0
-    for i, text in enumerate(texts):
-        words += len(text)
-        if words >= STRIP_WORDS:
-            yield slice(at, i + 1)
-            at, words = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def fit(labelled: DataFrame) -> Model:
     """Fit on all rows of ``labelled`` (lang, text); languages x slots counts reach the driver."""
     return Model([tuple(r) for r in gram_counts(labelled).collect()])
@@ -282,28 +299,15 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
         langs = shared.value.langs
         for batch in slices(batches):
             texts = [t.decode("utf-8") for t in byte_texts(batch.column(1))]
-            words = [letter_words(t) for t in texts] if langs else [[] for _ in texts]
-            preds, scores, found = [], [], []
-            for strip in texts_in_strips(words):
-                labels, table, lengths = labeller.label(words[strip])
-                at = 0
-                for text, own in zip(texts[strip], words[strip]):
-                    part = slice(at, at + len(own))
-                    at += len(own)
-                    if not own:
-                        preds.append(UNKNOWN)
-                        scores.append(0.0)
-                        found.append([])
-                        continue
-                    best, score = verdict(labels[part], table[part], lengths[part])
-                    preds.append(langs[best])
-                    scores.append(score)
-                    if spans:
-                        found.append(merged(text, labels[part], langs))
-            columns = [batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            found = list(labeller.verdicts(texts))
+            columns = [
+                batch.column(0),
+                pa.array([f[0] for f in found], pa.string()),
+                pa.array([f[1] for f in found], pa.float64()),
+            ]
             names = ["doc_id", "lang_pred", "score"]
             if spans:
-                columns.append(pa.array(found, span_type))
+                columns.append(pa.array([merged(t, f[2], langs) for t, f in zip(texts, found)], span_type))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -322,3 +326,17 @@ def merged(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
         else:
             out.append({"lang": langs[label], "start": match.start(), "end": match.end()})
     return out
+
+
+def kept(docs: DataFrame, model: Model, least: float, penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value, penalty)
+        for batch in slices(batches):
+            texts = byte_texts(batch.column(batch.schema.get_field_index("text")))
+            scores = [score for _, score, _ in labeller.verdicts([t.decode("utf-8") for t in texts])]
+            yield batch.filter(pa.array([score >= least for score in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, chat, jaccard, langid, shards, token_counts, urls
+from palisade.llm import (
+    bpe, chat, contamination, fingerprints, jaccard, langid, paragraphs, shards, token_counts, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark, folder):
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_bpe_round_trip(spark, folder):
     encoded = bpe.encode_documents(table(spark, folder, "documents"))
     decoded = bpe.decode_documents(encoded)
@@ -58,11 +64,19 @@ def op4_chat_format(spark, folder):
     return digests
 
 
+def op5_fingerprints(spark, folder):
+    return fingerprints.fingerprint_pairs(table(spark, folder, "documents"))
+
+
 def op6_url_filter(spark, folder):
     judged = urls.judge_urls(table(spark, folder, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op7_paragraph_dedup(spark, folder):
+    return paragraphs.repeats(table(spark, folder, "documents"))
+
+
 def op8_byte_shards(spark, folder):
     placed = shards.byte_shards(table(spark, folder, "documents"), SHARDS)
     return placed.select(
@@ -88,10 +102,13 @@ def op10_token_counts(spark, folder):
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
+    "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_byte_shards": op8_byte_shards,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
