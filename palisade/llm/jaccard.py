@@ -181,6 +181,25 @@ def crossing_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return ordered_pairs(met)
 
 
+def prefix_keys(shared: DataFrame) -> DataFrame:
+    """(node, n, keys): the shared shingles of each node's prefix."""
+    return saved(shared.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("shingle").alias("keys")))
+
+
+def plausible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Positional filter at the prefix ends, for the whole pair.
+
+    Common shingles are either in both prefixes, where they are counted, or behind the prefix of
+    the set whose prefix ends first; so there are at most as many as those and the longer rest.
+    """
+    one = keys.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    two = keys.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    rest = F.expr(f"({PERCENT} * greatest(na, nb) + 99) div 100 - 1")
+    met = pairs.join(one, "a").join(two, "b")
+    most = F.size(F.array_intersect("ka", "kb")) + rest
+    return saved(met.where(7 * most >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
+
+
 def node_filter(pairs: DataFrame) -> np.ndarray:
     """Bits of the nodes of ``pairs``, ``BLOOM_BITS`` in all; nodes are hashes already."""
 
@@ -222,7 +241,7 @@ def sets_of(docs: DataFrame, wanted: np.ndarray, units: Units) -> DataFrame:
             )
 
     found = docs.select("text").mapInArrow(fetch, "node long, shingles binary")
-    return saved(found.dropDuplicates(["node"]))
+    return found.dropDuplicates(["node"])  # its one shuffle serves both sides of the pairs
 
 
 def suffixes_allow(a: np.ndarray, b: np.ndarray, least: int) -> bool:
@@ -262,10 +281,11 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Units = whole_text) -> Da
 def node_classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(node, root) of every node with a link."""
     shared = shared_prefixes(prefix_rows(docs, levels))
+    keys = prefix_keys(shared)
     near = saved(nearest_pairs(shared))
-    links = verified(near, docs)
-    crossing = saved(crossing_pairs(shared, components(links)).join(near, ["a", "b"], "left_anti"))
-    return components(links.union(verified(crossing, docs)))
+    links = verified(plausible(near, keys), docs)
+    crossing = crossing_pairs(shared, components(links)).join(near, ["a", "b"], "left_anti")
+    return components(links.union(verified(plausible(crossing, keys), docs)))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
