@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -44,6 +44,7 @@ SKETCH = 1 << 20
 BLOOM_BITS = 1 << 23
 SUFFIX_PARTS = 16
 Units = Callable[[bytes], list[np.ndarray]]
+Rule = Callable[[str, str], Column]
 PROFILE = "doc_id long, n_shingles long, node long, part int, piece binary"
 
 
@@ -138,45 +139,60 @@ def shared_prefixes(prefixes: DataFrame) -> DataFrame:
     return saved(again.where("prev IS NOT NULL OR next IS NOT NULL").drop("prev", "next"))
 
 
-def may_link(n_a: str, place_a: str, n_b: str, place_b: str):
-    """Length and positional filters."""
-    a, b = F.col(n_a), F.col(n_b)
-    left = F.least(a - F.col(place_a), b - F.col(place_b))
-    return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (7 * left >= 3 * (a + b))
+def with_after(shared: DataFrame) -> DataFrame:
+    """``after``: how many shared shingles a node's prefix has behind each."""
+    behind = Window.partitionBy("node").orderBy(F.desc("place"))
+    return saved(shared.withColumn("after", F.row_number().over(behind) - 1))
+
+
+def may_link(one: str, two: str) -> Column:
+    """Length and positional filters for rows ``one`` and ``two`` that share a shingle.
+
+    At the first shingle that a pair shares, no more can be common than what either set has from
+    there on; nor than this shingle, the shared ones behind it in both prefixes, and what is behind
+    the prefixes. A row that fails later in the order does not matter: the first one brought the pair.
+    """
+    n_a, n_b = F.col(f"{one}.n"), F.col(f"{two}.n")
+    left = F.least(n_a - F.col(f"{one}.place"), n_b - F.col(f"{two}.place"))
+    rest = F.expr(f"({PERCENT} * greatest({one}.n, {two}.n) + 99) div 100")
+    shared = F.least(F.col(f"{one}.after"), F.col(f"{two}.after")) + rest
+    needed = 3 * (n_a + n_b)
+    return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * left >= needed) & (7 * shared >= needed)
+
+
+def same_length(one: str, two: str) -> Column:
+    n_a, n_b = F.col(f"{one}.n"), F.col(f"{two}.n")
+    return 4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)
 
 
 def ordered_pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rows.select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    ).distinct()
 
 
-def nearest_pairs(shared: DataFrame, first_by: tuple[str, ...] = ("place", "n")) -> DataFrame:
+def nearest_pairs(shared: DataFrame, first_by: tuple[str, ...] = ("place", "n"), rule: Rule = may_link) -> DataFrame:
     """Each node of a shingle group with the first and the previous one of about its length."""
     about = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
     group = Window.partitionBy("shingle", "about").orderBy(*first_by, "node")
-    row = F.struct("node", "n", "place")
+    row = F.struct(*(c for c in shared.columns if c != "shingle"))
     found = shared.withColumn("about", about).select(
-        "node", "n", "place", F.first(row).over(group).alias("best"), F.lag(row).over(group).alias("prev")
+        row.alias("x"), F.first(row).over(group).alias("best"), F.lag(row).over(group).alias("prev")
     )
-    flat = found.select("*", F.explode(F.array("best", "prev")).alias("o")).select(
-        F.col("node").alias("x"), "n", "place", F.col("o.node").alias("y"), F.col("o.n").alias("n2"), F.col("o.place").alias("place2")
-    )
-    return ordered_pairs(flat.where("y IS NOT NULL AND x <> y").where(may_link("n", "place", "n2", "place2")))
+    flat = found.select("x", F.explode(F.array("best", "prev")).alias("y"))
+    return ordered_pairs(flat.where("y IS NOT NULL AND x.node <> y.node").where(rule("x", "y")))
 
 
-def crossing_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def crossing_pairs(shared: DataFrame, classes: DataFrame, rule: Rule = may_link) -> DataFrame:
     """Pairs that share a prefix shingle, pass the filters, and are in different classes."""
     labelled = shared.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     rows = saved(labelled.join(spread.select("shingle"), "shingle"))
-    left = rows.select("shingle", F.col("node").alias("x"), "n", "place", "root")
-    right = rows.select(
-        "shingle", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("root").alias("root2")
-    )
-    # the side with the shorter set (ties: lesser node) comes first, so that a pair meets once
-    met = left.join(right, "shingle").where(
-        (F.col("root") != F.col("root2"))
-        & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("x") < F.col("y"))))
-        & may_link("n", "place", "n2", "place2")
+    # the shorter set (ties: the lesser node) comes first, so that a pair meets once
+    met = rows.alias("x").join(rows.alias("y"), F.col("x.shingle") == F.col("y.shingle")).where(
+        (F.col("x.root") != F.col("y.root"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
+        & rule("x", "y")
     )
     return ordered_pairs(met)
 
@@ -280,7 +296,7 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Units = whole_text) -> Da
 
 def node_classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(node, root) of every node with a link."""
-    shared = shared_prefixes(prefix_rows(docs, levels))
+    shared = with_after(shared_prefixes(prefix_rows(docs, levels)))
     keys = prefix_keys(shared)
     near = saved(nearest_pairs(shared))
     links = verified(plausible(near, keys), docs)

@@ -31,7 +31,9 @@ from xxhash import xxh3_64_intdigest
 
 from palisade.llm.batches import slices
 from palisade.llm.components import components
-from palisade.llm.jaccard import crossing_pairs, nearest_pairs, node_of, shared_prefixes, verified
+from palisade.llm.jaccard import (
+    crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified,
+)
 from palisade.llm.store import saved
 from palisade.llm.words import mixed, shingle_set, word_hashes
 
@@ -138,9 +140,9 @@ def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(node, root) of the paragraphs that have a near one."""
     shared = shared_prefixes(band_rows(docs))
     times = paragraphs.groupBy(F.col("hash").alias("node")).agg((-F.count("*")).alias("rank"))
-    near = saved(nearest_pairs(shared.join(times, "node"), ("rank", "n")))
+    near = saved(nearest_pairs(shared.join(times, "node"), ("rank", "n"), same_length))
     links = verified(near, docs, paragraph_sets)
-    crossing = saved(crossing_pairs(shared, components(links)).join(near, ["a", "b"], "left_anti"))
+    crossing = saved(crossing_pairs(shared, components(links), same_length).join(near, ["a", "b"], "left_anti"))
     return components(links.union(verified(crossing, docs, paragraph_sets)))
 
 
