@@ -123,14 +123,14 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for lang, table in slots.items():
             used = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(used)), pa.nulls(len(used), pa.string()), pa.array(used), pa.array(table[used])],
+                [pa.array([lang] * len(used), pa.string()), pa.nulls(len(used), pa.string()), pa.array(used), pa.array(table[used])],
                 ["lang", "script", "slot", "n"],
             )
         if letters:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k[0] for k in letters]),
-                    pa.array([k[1] for k in letters]),
+                    pa.array([k[0] for k in letters], pa.string()),
+                    pa.array([k[1] for k in letters], pa.string()),
                     pa.array([-1] * len(letters), pa.int64()),
                     pa.array(list(letters.values()), pa.int64()),
                 ],
@@ -258,7 +258,10 @@ class Labeller:
     def verdicts(self, texts: list[str]) -> Iterator[tuple[str, float, np.ndarray]]:
         """(language, score, labels of words) of each text."""
         langs = self.model.langs
-        words = [letter_words(t) if langs else [] for t in texts]
+        if not langs:
+            yield from ((UNKNOWN, 0.0, np.zeros(0, dtype=np.int64)) for _ in texts)
+            return
+        words = [letter_words(t) for t in texts]
         for strip in texts_in_strips(words):
             labels, table, lengths = self.label(words[strip])
             at = 0
