@@ -11,6 +11,7 @@ DuckDB oracle. Two differences matter:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -27,6 +28,10 @@ SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(
 LINE_BREAK = r"\r?\n"
 
 
+#: A literal word character that no quantifier makes optional.
+BEFORE_WORD = re.compile(r"\w(?![?*{])", re.ASCII)
+
+
 def _render(pattern: str, ignore_case: bool, boundary: Callable[[bool], str]) -> str:
     out: list[str] = []
     in_class = False
@@ -40,7 +45,7 @@ def _render(pattern: str, ignore_case: bool, boundary: Callable[[bool], str]) ->
         if two == r"\s":
             out.append(SPACE_CLASS if in_class else f"[{SPACE_CLASS}]")
         elif two == r"\b" and not in_class:
-            out.append(boundary(i + 2 < len(pattern) and pattern[i + 2] != "|"))
+            out.append(boundary(bool(BEFORE_WORD.match(pattern, i + 2))))
         elif two[0] == "\\":
             out.append(two)
         else:
@@ -55,7 +60,7 @@ def _render(pattern: str, ignore_case: bool, boundary: Callable[[bool], str]) ->
 
 
 def java_regex(pattern: str, ignore_case: bool = True) -> str:
-    # every \b in the rules stands before a word character or at the very end
+    # where a word character must follow, looking back is enough
     both = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
     return _render(pattern, ignore_case, lambda leading: r"(?<!\w)" if leading else both)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.catalogue import (
-    CALL, PINECONE_TOKEN_PREFIX, PROMPT, PYTHON_PATH, SECRET, SPREAD_OR_VARIABLE, TOKEN_LIMIT,
+    CALL, ENV, PINECONE_TOKEN_PREFIX, PROMPT, PYTHON_PATH, SECRET, SPREAD_OR_VARIABLE, TOKEN_LIMIT,
     VECTOR, Pattern, Rule,
 )
 from palisade.functions.calls import call_arguments
@@ -184,6 +184,7 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
             .when(rule["kind"] == PROMPT, has_untrusted(h["token"], python))
             .when(rule["kind"] == CALL, ~h["bounded"])
             .when(rule["kind"] == VECTOR, ~repeated)
+            .when(rule["kind"] == ENV, ~F.contains(h["token"], F.lit("process.env")))
             .otherwise(F.lit(True))
         )
 

@@ -256,6 +256,8 @@ def kept(rule: Rule) -> str:
                 f"trim(arguments, {SPACES}), {q(SPREAD_OR_VARIABLE)})")
     if rule.kind == VECTOR:
         return f"NOT (starts_with(token, {q(PINECONE_TOKEN_PREFIX)}) AND xo > 0)"
+    if rule.kind == ENV:
+        return "NOT contains(token, 'process.env')"
     return "TRUE"
 
 
@@ -305,7 +307,7 @@ def finding_ctes(rules: Sequence[Rule] = RULES) -> list[str]:
     """``found``: one row per finding in ``texts``, with its suppression flag."""
     calls = ", ".join(str(i) for i, r in enumerate(rules) if r.kind == CALL)
     keep = " ".join(f"WHEN {i} THEN {kept(r)}" for i, r in enumerate(rules)
-                    if r.kind in (SECRET, PROMPT, CALL, VECTOR))
+                    if r.kind in (SECRET, PROMPT, CALL, VECTOR, ENV))
     entropies = ", ".join(str(i) for i, r in enumerate(rules) if r.min_entropy is not None) or "-1"
     redacted = ", ".join(str(i) for i, r in enumerate(rules) if r.redact) or "-1"
     single = ", ".join(str(i) for i, r in enumerate(rules) if r.one_per_line) or "-1"

@@ -194,3 +194,10 @@ def test_pruning(spark):
     assert {p: tuple(r) for p, r in zip(cases, got)} == cases
     with pytest.raises(ValueError):
         is_pruned(F.col("p"), "other")
+
+
+def test_word_boundaries_hold_before_any_character(spark):
+    frame = spark.createDataFrame([("let password = 1;",), ("passwords = 1",), ("a.b",)], "t string")
+    for pattern, want in ((r"\bpassword\b\s*=", [True, False, False]), (r"(\bpassword\b)\s*=", [True, False, False]),
+                          (r"a\b\.\bb\b", [False, False, True])):
+        assert [r[0] for r in frame.select(frame.t.rlike(java_regex(pattern))).collect()] == want

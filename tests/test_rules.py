@@ -48,6 +48,7 @@ TEXTS = [
     ("mcp_list.yaml", "allowedDirectories:\n" + "  - /home\n" * 3000, {"MCP-001": 1}),
     ("mcp_config.json", f'{{\n"env": {{\n  "GITHUB_TOKEN": "{GH}"\n}}}}',
      {"MCP-003": 1, "SEC-004": 1}),
+    ("agent_config.json", '{"env": {"API_KEY": "process.env.GITHUB_ACCESS_NAME"}}', {}),
     ("src/mcp/server.ts", 'server.tool("a", {\n inputSchema: {\n  type: "object"\n }\n});',
      {"MCP-005": 1}),
     ("src/mcp/admin_tool.ts", 'server.tool("p", (args) => { fs.rmSync(args.dir); });',
