@@ -91,18 +91,21 @@ def next_blocks(blocks: DataFrame) -> DataFrame:
 def with_next(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, text, hashes) with next_text and next_hashes, in descending order of id."""
     placed = rows.where("doc_id IS NOT NULL").withColumn("block", F.floor(F.col("doc_id") / BLOCK))
-    inside = Window.partitionBy("block").orderBy(F.desc("doc_id"), F.asc("text"))
+    order = (F.desc("doc_id"), F.asc("text"))
+    inside = Window.partitionBy("block").orderBy(*order)
     own = F.struct("text", "hashes")
-    stepped = placed.select(
-        "*", F.lead(own).over(inside).alias("following"), F.row_number().over(inside).alias("place")
+    stepped = placed.withColumn("following", F.lead(own).over(inside))
+    # one text of each block: the group limit is applied before the shuffle
+    heads = placed.select("doc_id", "text", "block", F.row_number().over(inside).alias("place")).where("place = 1")
+    heads = heads.withColumn("hashes", fingerprint(F.col("text"))).select(
+        F.col("block").alias("next_block"), own.alias("head")
     )
-    heads = stepped.where("place = 1").select(F.col("block").alias("next_block"), own.alias("head"))
-    ends = stepped.where("following IS NULL").drop("following").join(next_blocks(placed), "block")
-    crossed = ends.join(heads, "next_block").withColumnRenamed("head", "following")
+    after = next_blocks(placed).join(heads, "next_block").select("block", "head")
+    # rows lie by block already, so the join moves none of them again
+    whole = stepped.join(after, "block", "left").withColumn("following", F.coalesce("following", "head"))
     lost = rows.where("doc_id IS NULL").withColumn("following", F.lit(None).cast(stepped.schema["following"].dataType))
     columns = ["doc_id", "text", "hashes", "following"]
-    whole = stepped.where("following IS NOT NULL").select(columns)
-    whole = whole.unionByName(crossed.select(columns)).unionByName(lost.select(columns))
+    whole = whole.select(columns).unionByName(lost.select(columns))
     return whole.select(
         "doc_id", "text", "hashes",
         F.coalesce("following.text", F.lit("")).alias("next_text"),
