@@ -43,6 +43,8 @@ PERCENT = 75
 SKETCH = 1 << 20
 BLOOM_BITS = 1 << 23
 SUFFIX_PARTS = 16
+#: How many shared shingles before its own a prefix row knows, to tell a pair's first one.
+BEFORE = 3
 Units = Callable[[bytes], list[np.ndarray]]
 Rule = Callable[[str, str], Column]
 PROFILE = "doc_id long, n_shingles long, node long, part int, piece binary"
@@ -134,15 +136,17 @@ def shared_prefixes(prefixes: DataFrame) -> DataFrame:
     group = Window.partitionBy("shingle").orderBy("node")
     kept = prefixes.select("*", F.lag("node").over(group).alias("prev"), F.lead("node").over(group).alias("next"))
     # copies of a node from several tasks stand side by side: one of them stays
-    kept = saved(kept.where("(prev IS NOT NULL AND prev <> node) OR (prev IS NULL AND next IS NOT NULL)").drop("prev", "next"))
+    kept = kept.where("(prev IS NOT NULL AND prev <> node) OR (prev IS NULL AND next IS NOT NULL)").drop("prev", "next")
     again = kept.select("*", F.lag("node").over(group).alias("prev"), F.lead("node").over(group).alias("next"))
-    return saved(again.where("prev IS NOT NULL OR next IS NOT NULL").drop("prev", "next"))
+    return again.where("prev IS NOT NULL OR next IS NOT NULL").drop("prev", "next")
 
 
-def with_after(shared: DataFrame) -> DataFrame:
-    """``after``: how many shared shingles a node's prefix has behind each."""
-    behind = Window.partitionBy("node").orderBy(F.desc("place"))
-    return saved(shared.withColumn("after", F.row_number().over(behind) - 1))
+def with_neighbours(shared: DataFrame) -> DataFrame:
+    """``after``: how many shared shingles a node's prefix has behind each; ``before``: the last few in front."""
+    along = Window.partitionBy("node").orderBy("place")
+    whole = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    last = F.collect_list("shingle").over(along.rowsBetween(-BEFORE, -1))
+    return saved(shared.select("*", (F.count("*").over(whole) - 1).cast("int").alias("after"), last.alias("before")))
 
 
 def may_link(one: str, two: str) -> Column:
@@ -160,6 +164,14 @@ def may_link(one: str, two: str) -> Column:
     return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * left >= needed) & (7 * shared >= needed)
 
 
+def first_met(one: str, two: str) -> Column:
+    """``may_link`` at the first shingle of a pair: one that both have just before shows a later one.
+
+    The order is common to all sets, and the earlier row of both is there too, so it brings the pair.
+    """
+    return may_link(one, two) & ~F.arrays_overlap(f"{one}.before", f"{two}.before")
+
+
 def same_length(one: str, two: str) -> Column:
     n_a, n_b = F.col(f"{one}.n"), F.col(f"{two}.n")
     return 4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)
@@ -175,7 +187,7 @@ def nearest_pairs(shared: DataFrame, first_by: tuple[str, ...] = ("place", "n"),
     """Each node of a shingle group with the first and the previous one of about its length."""
     about = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
     group = Window.partitionBy("shingle", "about").orderBy(*first_by, "node")
-    row = F.struct(*(c for c in shared.columns if c != "shingle"))
+    row = F.struct(*(c for c in shared.columns if c not in ("shingle", "before")))
     found = shared.withColumn("about", about).select(
         row.alias("x"), F.first(row).over(group).alias("best"), F.lag(row).over(group).alias("prev")
     )
@@ -183,7 +195,7 @@ def nearest_pairs(shared: DataFrame, first_by: tuple[str, ...] = ("place", "n"),
     return ordered_pairs(flat.where("y IS NOT NULL AND x.node <> y.node").where(rule("x", "y")))
 
 
-def crossing_pairs(shared: DataFrame, classes: DataFrame, rule: Rule = may_link) -> DataFrame:
+def crossing_pairs(shared: DataFrame, classes: DataFrame, rule: Rule = first_met) -> DataFrame:
     """Pairs that share a prefix shingle, pass the filters, and are in different classes."""
     labelled = shared.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
@@ -296,7 +308,7 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Units = whole_text) -> Da
 
 def node_classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(node, root) of every node with a link."""
-    shared = with_after(shared_prefixes(prefix_rows(docs, levels)))
+    shared = with_neighbours(shared_prefixes(prefix_rows(docs, levels)))
     keys = prefix_keys(shared)
     near = saved(nearest_pairs(shared))
     links = verified(plausible(near, keys), docs)
