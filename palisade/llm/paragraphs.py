@@ -3,7 +3,10 @@
 Near paragraphs. A paragraph is what stands between newlines; those of at least ``MIN_WORDS`` words
 are reduced to a set of 5-word shingles and a MinHash of ``BANDS`` x ``ROWS`` values. Paragraphs
 that agree in a band are joined and verified by exact Jaccard (0.75 or more): a pair at the
-threshold meets in some band with a chance of 99.6 %. As in the n-gram join, every paragraph of a
+threshold meets in some band with a chance of 99.6 %. Colliding pairs are first held against a
+lower bound of their difference: where the parities of two sets, counted over ``64 * PARITIES``
+buckets, differ, at least one shingle is in one set only; so pairs with more differing buckets than
+the threshold allows are out, exactly, before any set is fetched. As in the n-gram join, every paragraph of a
 band group is first held against the most frequent one and its neighbour, then all those of
 different classes against each other, so that no colliding pair is left out and large groups take
 linear work. Components of the links are the clusters; in each, the paragraphs of the first
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +35,24 @@ from xxhash import xxh3_64_intdigest
 
 from palisade.llm.batches import slices
 from palisade.llm.components import components
-from palisade.llm.jaccard import (
-    crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified,
-)
+from palisade.llm.jaccard import crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified
 from palisade.llm.store import saved
-from palisade.llm.words import mixed, shingle_set, word_hashes
+from palisade.llm.words import CACHE, SHINGLE, distinct, mixed, windows
 
 MIN_WORDS = 25
 BANDS, ROWS = 10, 3
 NO_ID = (1 << 63) - 1
 LATER = f"doc > first AND doc < {NO_ID}"
+#: Words of 64 bits in which a paragraph's bucket parities are kept.
+PARITIES = 8
+PARITY = [f"parity{k}" for k in range(PARITIES)]
 SENTENCE_END = re.compile(r"(?<=[.!?])[^\S\n]+")
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-UNIT = "doc long, paragraph int, sentence int, start int, end int, n_words int, hash long, n int"
+UNIT = "doc long, paragraph int, sentence int, start int, end int, n_words int, hash long, n int, " + ", ".join(
+    f"{c} long" for c in PARITY
+)
 
 
 def lines(text: str) -> Iterator[tuple[int, str]]:
@@ -65,10 +72,34 @@ def sentences(line: str) -> Iterator[tuple[int, int]]:
         yield at, len(line)
 
 
+def line_sets(text: bytes) -> Iterator[tuple[int, np.ndarray | None]]:
+    """(words, shingle set) of each line; no set for one of fewer than ``MIN_WORDS`` words."""
+    words = [line.split() for line in text.lower().split(b"\n")]
+    hashes = np.fromiter(map(CACHE.__getitem__, chain.from_iterable(words)), np.uint64)
+    shingles = windows(hashes, SHINGLE)
+    at = 0
+    for line in words:
+        n = len(line)
+        yield n, distinct(shingles[at : at + n - SHINGLE + 1]) if n >= MIN_WORDS else None
+        at += n
+
+
 def paragraph_sets(text: bytes) -> list[np.ndarray]:
     """Shingle sets of the paragraphs of at least ``MIN_WORDS`` words."""
-    hashes = (word_hashes(line) for line in text.split(b"\n"))
-    return [shingle_set(h) for h in hashes if len(h) >= MIN_WORDS]
+    return [s for _, s in line_sets(text) if s is not None]
+
+
+def parities(shingles: np.ndarray) -> list[int]:
+    """Whether each bucket of hashes holds an odd number of shingles, as bits."""
+    buckets = (shingles & np.uint64(64 * PARITIES - 1)).astype(np.int64)
+    odd = np.bincount(buckets, minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_repeat(one: str, two: str) -> Column:
+    """Length filter, and as few differing parities as 4 * intersection >= 3 * union allows."""
+    differ = sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in PARITY), F.lit(0))
+    return same_length(one, two) & (7 * differ <= F.col(f"{one}.n") + F.col(f"{two}.n"))
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -87,17 +118,17 @@ def units(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for p, (at, line) in enumerate(lines(text or "")):
-                    words = line.encode().lower().split()
-                    if len(words) >= MIN_WORDS:
-                        s = shingle_set(word_hashes(line.encode()))
-                        out.append((doc, p, None, at, at + len(line), len(words), node_of(s), len(s)))
+                sets = line_sets((text or "").encode())
+                for p, ((at, line), (n_words, s)) in enumerate(zip(lines(text or ""), sets)):
+                    if s is not None:
+                        found = (at, at + len(line), n_words, node_of(s), len(s), *parities(s))
+                        out.append((doc, p, None, *found))
                     for k, (start, end) in enumerate(sentences(line)):
                         own = line[start:end].encode().lower().split()
                         if own:
                             value = xxh3_64_intdigest(b" ".join(own)) - (1 << 63)
-                            out.append((doc, p, k, at + start, at + end, len(own), value, None))
-            columns = list(zip(*out)) or [()] * 8
+                            out.append((doc, p, k, at + start, at + end, len(own), value, None, *NO_PARITY))
+            columns = list(zip(*out)) or [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
 
     return docs.select(doc_key().alias("doc"), "text").mapInArrow(cut, UNIT)
@@ -138,11 +169,13 @@ def band_rows(docs: DataFrame) -> DataFrame:
 
 def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(node, root) of the paragraphs that have a near one."""
-    shared = shared_prefixes(band_rows(docs))
-    times = paragraphs.groupBy(F.col("hash").alias("node")).agg((-F.count("*")).alias("rank"))
-    near = saved(nearest_pairs(shared.join(times, "node"), ("rank", "n"), same_length))
+    nodes = paragraphs.groupBy(F.col("hash").alias("node")).agg(
+        (-F.count("*")).alias("rank"), *(F.max(c).alias(c) for c in PARITY)
+    )
+    shared = saved(shared_prefixes(band_rows(docs)).join(nodes, "node"))
+    near = saved(nearest_pairs(shared, ("rank", "n"), may_repeat))
     links = verified(near, docs, paragraph_sets)
-    crossing = saved(crossing_pairs(shared, components(links), same_length).join(near, ["a", "b"], "left_anti"))
+    crossing = saved(crossing_pairs(shared, components(links), may_repeat).join(near, ["a", "b"], "left_anti"))
     return components(links.union(verified(crossing, docs, paragraph_sets)))
 
 
@@ -150,7 +183,7 @@ def repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Paragraph rows of clusters that lie in more than one document, with ``first`` of them."""
     classes = paragraph_classes(docs, paragraphs)
     labelled = saved(
-        paragraphs.join(classes.withColumnRenamed("node", "hash"), "hash", "left")
+        paragraphs.drop(*PARITY).join(classes.withColumnRenamed("node", "hash"), "hash", "left")
         .withColumn("root", F.coalesce("root", "hash"))
     )
     clusters = labelled.groupBy("root").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
@@ -229,9 +262,11 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     return edited.select(docs.columns)
 
 
+NO_PARITY = (None,) * PARITIES
 FIELDS = pa.schema(
     [
         ("doc", pa.int64()), ("paragraph", pa.int32()), ("sentence", pa.int32()), ("start", pa.int32()),
         ("end", pa.int32()), ("n_words", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()),
+        *((c, pa.int64()) for c in PARITY),
     ]
 )

@@ -53,8 +53,14 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(value)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each value once; less of a fixed cost than ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Distinct shingles in order of hash; fewer words than ``size``: the whole sequence as one."""
     if not len(hashes):
         return hashes
-    return np.unique(windows(hashes, min(size, len(hashes))))
+    return distinct(windows(hashes, min(size, len(hashes))))

@@ -316,3 +316,29 @@ def test_viterbi_matches_brute_force():
 
         best = max(itertools.product(range(3), repeat=len(own)), key=value)
         assert list(best) == got[part].tolist()
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 400, 4000):
+        whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.1, 0.5, 0.9):
+            a, b = (whole[rng.random(len(whole)) < share] for _ in range(2))
+            pairs = zip(paragraphs.parities(a), paragraphs.parities(b))
+            differ = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in pairs)
+            assert differ <= len(np.setxor1d(a, b))
+
+
+def test_near_paragraphs_of_a_large_group(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for at in rng.choice(60, rng.integers(0, 4), replace=False):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'")
+    roots = brute_classes(dict(rows))
+    near = {i for i, root in roots.items() if list(roots.values()).count(root) > 1}
+    assert {r.doc_id: r.first_doc_id for r in found.collect()} == {i: roots[i] for i in near}
