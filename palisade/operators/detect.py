@@ -48,9 +48,6 @@ def path_gate(rule: Rule, path: Column) -> Column:
     return gate
 
 
-# Characters of snippets one row may repeat; a row cannot exceed 2 GB.
-INLINE_LIMIT = 1 << 26
-
 _PATTERN_DDL = "struct<regex:string,template:string,groups:array<int>>"
 _RULE_DDL = (
     "struct<rule_id:string,severity:string,category:string,kind:string,redact:boolean,"
@@ -98,21 +95,20 @@ def _token(text: Column, pattern: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=64)
-def _named_hits(gateway: int, content: str, path: str, rule: str) -> Column:
+def _named_hits(gateway: object, content: str, path: str, rule: str) -> Column:
     return rule_hits(F.col(content), F.col(path), F.col(rule))
 
 
 def hits_column(content: str, path: str, rule: str) -> Column:
     """``rule_hits`` for named columns; the large expression is built once per JVM."""
-    return _named_hits(id(SparkContext._gateway), content, path, rule)
+    return _named_hits(SparkContext._gateway, content, path, rule)
 
 
 def rule_hits(content: Column, path: Column, rule: Column) -> Column:
     """Hits of one rule in one text, in order, false ones removed.
 
-    ``struct<snippets array<array<string>>, hits array<struct<...>>>``. Hits carry their
-    line, unless the lines of all hits add up to more than ``INLINE_LIMIT``: then each line
-    is stored once in ``snippets``, under the hits' ``regex_ord`` and ``nth``.
+    ``struct<snippets array<array<string>>, hits array<struct<...>>>``. Each line
+    with hits is stored once in ``snippets``, under the hits' ``regex_ord`` and ``nth``.
     """
     python = is_python(path)
     patterns = F.when(python, rule["python_patterns"]).otherwise(rule["patterns"])
@@ -131,13 +127,10 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
             pairs = F.zip_with(
                 b["texts"], bounded, lambda t, a: F.struct(t.alias("text"), a.alias("bounded"))
             )
-            by_reference = b["by_reference"]
             hits = F.zip_with(
                 line_positions(b["lines"]),
                 pairs,
                 lambda p, t: F.struct(
-                    F.when(~by_reference, F.get(b["lines"], p["nth"])["snippet"])
-                    .alias("snippet"),
                     ord_.alias("regex_ord"),
                     p["line"].alias("line"),
                     p["column"].alias("column"),
@@ -147,22 +140,15 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
                 ),
             )
             return F.struct(
-                F.when(by_reference, F.transform(b["lines"], lambda x: x["snippet"]))
-                .alias("snippets"),
+                F.transform(b["lines"], lambda x: x["snippet"]).alias("snippets"),
                 hits.alias("hits"),
             )
 
         def bound(marked: Column, lines: Column) -> Column:
-            written = F.aggregate(
-                lines,
-                F.lit(0).cast("bigint"),
-                lambda n, x: n + F.length(x["snippet"]).cast("bigint") * F.size(x["cols"]),
-            )
             return F.struct(
                 marked.alias("marked"),
                 matched_texts(marked).alias("texts"),
                 lines.alias("lines"),
-                (written > INLINE_LIMIT).alias("by_reference"),
             )
 
         return let(
@@ -218,7 +204,6 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
                     h["line"].alias("line"),
                     h["column"].alias("column"),
                     h["nth"].alias("nth"),
-                    h["snippet"].alias("snippet"),
                     F.when(rule["redact"], h["token"]).alias("secret"),
                     F.when(rule["min_entropy"].isNotNull(), token_entropy(h["token"]))
                     .alias("entropy"),
@@ -294,9 +279,7 @@ def detect(
     )
     if not keep_clean:
         rows = rows.where(F.col("match_ord").isNotNull())
-    line = F.coalesce(
-        "_hit.snippet", F.get(F.get("_snippets", F.col("_hit.regex_ord")), F.col("_hit.nth"))
-    )
+    line = F.get(F.get("_snippets", F.col("_hit.regex_ord")), F.col("_hit.nth"))
     secret = F.col("_hit.secret")
     found = [
         F.col("rule_ord"), F.col("match_ord"), F.col("_hit.line"), F.col("_hit.column"),

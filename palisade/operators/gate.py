@@ -48,17 +48,26 @@ def _all_patterns(rule: Rule) -> tuple[Pattern, ...]:
     return (*rule.patterns, *rule.python_patterns)
 
 
-def _arrow_gate(tests: list[tuple[int, str, str | None]], overall: str | None):
+def _prefilters(regexes: list[str]) -> list[str]:
+    """Unions that tell texts without any match; halved until the engine takes each of them."""
+    overall = "|".join(f"(?:{regex})" for regex in regexes)
+    if len(regexes) == 1 or _compiles(overall):
+        return [overall]
+    half = len(regexes) // 2
+    return _prefilters(regexes[:half]) + _prefilters(regexes[half:])
+
+
+def _arrow_gate(tests: list[tuple[int, str, str | None]], prefilters: list[str]):
     """UDF over texts returning the ascending positions of the rules that match."""
 
     @F.arrow_udf("array<int>")
     def fired(texts: pa.Array) -> pa.Array:
         n = len(texts)
-        if overall is None:
-            candidates = np.arange(n)
-        else:
-            passed = pc.fill_null(pc.match_substring_regex(texts, overall), False)
-            candidates = np.flatnonzero(passed.to_numpy(zero_copy_only=False))
+        passed = np.zeros(n, dtype=bool)
+        for union in prefilters:
+            found = pc.fill_null(pc.match_substring_regex(texts, union), False)
+            passed |= found.to_numpy(zero_copy_only=False)
+        candidates = np.flatnonzero(passed)
         chosen = texts.take(pa.array(candidates, pa.int64()))
         matrix = np.zeros((len(candidates), len(tests)), dtype=bool)
         for column, (_, regex, context) in enumerate(tests):
@@ -87,9 +96,8 @@ def fired_rules(rules: Sequence[Rule], content: Column) -> Column:
             tests.append((position, regex, context))
         else:
             native.append(position)
-    overall = "|".join(f"(?:{regex})" for _, regex, _ in tests)
     fired = (
-        _arrow_gate(tests, overall if _compiles(overall) else None)(content)
+        _arrow_gate(tests, _prefilters([regex for _, regex, _ in tests]))(content)
         if tests
         else F.array().cast("array<int>")
     )

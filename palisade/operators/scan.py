@@ -72,7 +72,7 @@ def describe(findings: DataFrame, config: ScanConfig | None = None) -> DataFrame
     """Add title, description, fix, reference and weakness ids by rule id."""
     rules = (config or ScanConfig()).rules
     texts = catalogue_frame(findings, rules)
-    return findings.join(F.broadcast(texts), "rule_id", "left")
+    return findings.join(texts, "rule_id", "left")
 
 
 def scan_with_columns(

@@ -933,16 +933,14 @@ ORACLES: dict[str, str] = {
                             + ignored("file_path", registered.IGNORES)),
     "include_tests": with_(FILES, "SELECT scan_id, file_path FROM files WHERE NOT "
                            + ignored("file_path", _WITHOUT_TESTS)),
-    "disable_rules": with_(SCAN, f"""SELECT rule_id, count(*) AS n FROM found
-        WHERE rule_id NOT IN ({_DISABLED}) GROUP BY rule_id"""),
+    "disable_rules": with_(SCAN, f"SELECT {FINDING} FROM found WHERE rule_id NOT IN ({_DISABLED})"),
     "scan_files": with_(SCAN, f"SELECT {FINDING}, entropy, suppressed FROM found"),
     "active_findings": with_(SCAN, f"SELECT {FINDING} FROM found WHERE NOT suppressed"),
-    "apply_suppressions": with_(SCAN, """SELECT file, rule_id, suppressed, count(*) AS n
-        FROM found GROUP BY ALL"""),
+    "apply_suppressions": with_(SCAN, 'SELECT scan_id, file, rule_id, line, "column", suppressed FROM found'),
     "join_verdicts": with_([*DIFF_SCAN, *REVIEWS, JUDGED], """SELECT scan_id, file, line, rule_id,
         verdict, round(confidence, 6) AS confidence, reasoning, suggested_patch FROM judged"""),
-    "severity_overrides": with_(SCAN, f"""SELECT rule_id, {_OVERRIDES} AS severity, count(*) AS n
-        FROM found GROUP BY ALL"""),
+    "severity_overrides": with_(SCAN, f"""SELECT * EXCLUDE (severity), {_OVERRIDES} AS severity
+        FROM (SELECT {FINDING} FROM found)"""),
     "enrich_cwe": with_(SCAN, """SELECT scan_id, file, line, "column", rule_id, cwe AS cwe_id,
         owasp AS owasp_category FROM found"""),
     "match_positions": positions_sql(),

@@ -208,8 +208,7 @@ def include_tests(spark, folder):
 
 
 def disable_rules(spark, folder):
-    found = _findings(spark, folder, disabled_rules=DISABLED)
-    return found.groupBy("rule_id").agg(F.count("*").alias("n"))
+    return _findings(spark, folder, disabled_rules=DISABLED).select(*FINDING_COLUMNS)
 
 
 FINDING_COLUMNS = (
@@ -228,8 +227,8 @@ def active_findings(spark, folder):
 
 
 def apply_suppressions(spark, folder):
-    return _findings(spark, folder).groupBy("file", "rule_id", "suppressed").agg(
-        F.count("*").alias("n")
+    return _findings(spark, folder).select(
+        "scan_id", "file", "rule_id", "line", "column", "suppressed"
     )
 
 
@@ -241,8 +240,7 @@ def join_verdicts(spark, folder):
 
 
 def severity_overrides(spark, folder):
-    found = _findings(spark, folder, severity_overrides=OVERRIDES)
-    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    return _findings(spark, folder, severity_overrides=OVERRIDES).select(*FINDING_COLUMNS)
 
 
 def enrich_cwe(spark, folder):
@@ -472,9 +470,10 @@ def stream_scan_diffs(spark, folder):
     """Push events as a stream: redeliveries dropped, findings scored per day."""
     base = f"{shared_folder(spark)}/push-scan-{uuid.uuid4().hex}"
     derived.pushes(spark, folder).write.parquet(f"{base}/in")
+    diffs = derived.push_diffs(spark, folder)
     schema = spark.read.parquet(f"{base}/in").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/in")
-    streaming.start_push_scan(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    streaming.start_push_scan(stream, diffs, f"{base}/out", f"{base}/state").awaitTermination()
     return streaming.daily_risk(spark.read.parquet(f"{base}/out"))
 
 

@@ -196,18 +196,21 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pushes(spark: SparkSession, folder: str) -> DataFrame:
-    """Push events, each carrying the diff of one document; every tenth comes twice."""
+    """Push events, each naming the document whose diff it brings; every tenth comes twice."""
     events = table(spark, folder, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id"
     )
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    n_docs = table(spark, folder, "documents").agg(F.max("doc_id")).first()[0] + 1
-    keyed = events.withColumn("doc_id", F.col("event_id") % n_docs)
-    doc = F.col("doc_id")
-    joined = keyed.join(docs, "doc_id").select(
-        "event_id", "ts", "source", diff_text(doc, F.col("text")).alias("diff_text")
-    )
+    n_docs = table(spark, folder, "documents").agg((F.max("doc_id") + 1).alias("n_docs"))
+    keyed = events.withColumn("diff_id", F.col("event_id") % n_docs.scalar())
     copies = F.when(F.col("event_id") % 10 == 0, F.sequence(F.lit(1), F.lit(2))).otherwise(
         F.array(F.lit(1))
     )
-    return joined.withColumn("delivery", F.explode(copies))
+    return keyed.withColumn("delivery", F.explode(copies))
+
+
+def push_diffs(spark: SparkSession, folder: str) -> DataFrame:
+    """The diffs that ``pushes`` name: (diff_id, diff_text)."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return docs.select(
+        F.col("doc_id").alias("diff_id"), diff_text(F.col("doc_id"), F.col("text")).alias("diff_text")
+    )

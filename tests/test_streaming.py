@@ -3,25 +3,29 @@ from datetime import datetime
 from palisade.streaming.pushes import daily_risk, scan_pushes, start_push_scan
 
 DIFF = "diff --git a/a.ts b/a.ts\n+++ b/a.ts\n@@ -1 +1 @@\n+eval(aiOutput)\n"
-DDL = "event_id long, ts timestamp, diff_text string"
+DDL = "event_id long, ts timestamp, diff_id long"
 
 
 def test_stream_equals_batch_and_drops_redeliveries(spark, tmp_path):
-    rows = [(i, datetime(2024, 1, 1 + i % 3, 12), DIFF) for i in range(12)]
+    # the last event to come is a year older than the others, and stays
+    rows = [(i, datetime(2024 - (i == 11), 1, 1 + i % 3, 12), i % 2) for i in range(12)]
     batch = spark.createDataFrame(rows, DDL)
+    diffs = spark.createDataFrame([(0, DIFF), (1, DIFF), (2, DIFF)], "diff_id long, diff_text string")
     source = str(tmp_path / "in")
-    for part in (rows[:7], rows[5:], rows[:2]):  # overlapping deliveries, several files
+    for part in (rows[:7], rows[5:11], rows[:2], rows[11:]):  # overlapping deliveries, several files
         spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
-    start_push_scan(stream, out, str(tmp_path / "state")).awaitTermination()
+    start_push_scan(stream, diffs, out, str(tmp_path / "state")).awaitTermination()
     found = spark.read.parquet(out)
     key = ["event_id", "file", "line", "rule_id"]
     assert sorted(map(tuple, found.select(*key).collect())) == sorted(
-        map(tuple, scan_pushes(batch).select(*key).collect())
+        map(tuple, scan_pushes(batch, diffs).select(*key).collect())
     )
     days = {r.day: (r.findings, r.risk_score) for r in daily_risk(found).collect()}
-    assert days == {f"2024-01-0{d}": (4, 80) for d in (1, 2, 3)}
+    assert days == {
+        "2024-01-01": (4, 80), "2024-01-02": (4, 80), "2024-01-03": (3, 60), "2023-01-03": (1, 20)
+    }
     # a second run finds nothing new
-    start_push_scan(stream, out, str(tmp_path / "state")).awaitTermination()
+    start_push_scan(stream, diffs, out, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(out).count() == found.count()
