@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.store import saved
+from palisade.llm.store import release, saved
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -50,8 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = mark(stars)
         if now == seen or not now[0]:
             break
-        seen = now
-        stars = saved(small_star(large_star(stars)))
+        seen, last = now, stars
+        stars = saved(small_star(large_star(last)))
+        release(last)
     roots = stars.select(F.col("v").alias("node")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         roots.select("node", F.col("node").alias("root"))

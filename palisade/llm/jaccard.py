@@ -18,6 +18,7 @@ Texts with the same set are one node (64-bit hash of the set); everything below
    inside one class needs no check, as its link would change nothing; no pair is dropped otherwise.
 
 Texts are read whole and never shuffled; sets are fetched for nodes that have candidates only.
+Intermediate tables are deleted once nothing reads them.
 Null or empty text and text without words: no shingles, linked with nothing, its own class. Fewer
 than five words: the whole sequence is the only shingle. Rows with equal ids count as rows; a null
 id is null in the result where it is the only one. Other columns are ignored.
@@ -36,7 +37,7 @@ from xxhash import xxh3_64_intdigest
 from palisade.llm import blocks
 from palisade.llm.batches import byte_texts, slices
 from palisade.llm.components import components
-from palisade.llm.store import saved
+from palisade.llm.store import release, saved
 from palisade.llm.words import shingle_set, word_hashes
 
 PERCENT = 75
@@ -142,34 +143,36 @@ def shared_prefixes(prefixes: DataFrame) -> DataFrame:
 
 
 def with_neighbours(shared: DataFrame) -> DataFrame:
-    """``after``: how many shared shingles a node's prefix has behind each; ``before``: the last few in front."""
+    """``after``: how many shingles of ``shared`` a node's prefix has behind each; ``before``: the last few in front."""
     along = Window.partitionBy("node").orderBy("place")
     whole = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     last = F.collect_list("shingle").over(along.rowsBetween(-BEFORE, -1))
-    return saved(shared.select("*", (F.count("*").over(whole) - 1).cast("int").alias("after"), last.alias("before")))
+    return shared.select("*", (F.count("*").over(whole) - 1).cast("int").alias("after"), last.alias("before"))
 
 
 def may_link(one: str, two: str) -> Column:
     """Length and positional filters for rows ``one`` and ``two`` that share a shingle.
 
     At the first shingle that a pair shares, no more can be common than what either set has from
-    there on; nor than this shingle, the shared ones behind it in both prefixes, and what is behind
-    the prefixes. A row that fails later in the order does not matter: the first one brought the pair.
+    there on. A row that fails later in the order does not matter: the first one brought the pair.
     """
     n_a, n_b = F.col(f"{one}.n"), F.col(f"{two}.n")
     left = F.least(n_a - F.col(f"{one}.place"), n_b - F.col(f"{two}.place"))
-    rest = F.expr(f"({PERCENT} * greatest({one}.n, {two}.n) + 99) div 100")
-    shared = F.least(F.col(f"{one}.after"), F.col(f"{two}.after")) + rest
-    needed = 3 * (n_a + n_b)
-    return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * left >= needed) & (7 * shared >= needed)
+    return same_length(one, two) & (7 * left >= 3 * (n_a + n_b))
 
 
 def first_met(one: str, two: str) -> Column:
     """``may_link`` at the first shingle of a pair: one that both have just before shows a later one.
 
     The order is common to all sets, and the earlier row of both is there too, so it brings the pair.
+    No more can be common than this shingle, the shared ones behind it in both prefixes, and what
+    is behind the prefixes.
     """
-    return may_link(one, two) & ~F.arrays_overlap(f"{one}.before", f"{two}.before")
+    n_a, n_b = F.col(f"{one}.n"), F.col(f"{two}.n")
+    rest = F.expr(f"({PERCENT} * greatest({one}.n, {two}.n) + 99) div 100")
+    most = F.least(F.col(f"{one}.after"), F.col(f"{two}.after")) + rest
+    met = ~F.arrays_overlap(f"{one}.before", f"{two}.before")
+    return may_link(one, two) & (7 * most >= 3 * (n_a + n_b)) & met
 
 
 def same_length(one: str, two: str) -> Column:
@@ -187,7 +190,7 @@ def nearest_pairs(shared: DataFrame, first_by: tuple[str, ...] = ("place", "n"),
     """Each node of a shingle group with the first and the previous one of about its length."""
     about = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
     group = Window.partitionBy("shingle", "about").orderBy(*first_by, "node")
-    row = F.struct(*(c for c in shared.columns if c not in ("shingle", "before")))
+    row = F.struct(*(c for c in shared.columns if c != "shingle"))
     found = shared.withColumn("about", about).select(
         row.alias("x"), F.first(row).over(group).alias("best"), F.lag(row).over(group).alias("prev")
     )
@@ -195,18 +198,29 @@ def nearest_pairs(shared: DataFrame, first_by: tuple[str, ...] = ("place", "n"),
     return ordered_pairs(flat.where("y IS NOT NULL AND x.node <> y.node").where(rule("x", "y")))
 
 
-def crossing_pairs(shared: DataFrame, classes: DataFrame, rule: Rule = first_met) -> DataFrame:
-    """Pairs that share a prefix shingle, pass the filters, and are in different classes."""
+def crossing_pairs(
+    shared: DataFrame,
+    classes: DataFrame,
+    rule: Rule = first_met,
+    widened: Callable[[DataFrame], DataFrame] = with_neighbours,
+) -> DataFrame:
+    """Pairs that share a prefix shingle, pass the filters, and are in different classes.
+
+    Rows of groups that lie in one class go first; ``widened`` gives the others what ``rule`` reads.
+    All shingles that a pair of different classes shares are left, so counts over them still bound.
+    """
     labelled = shared.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    rows = saved(labelled.join(spread.select("shingle"), "shingle"))
+    rows = saved(widened(labelled.join(spread.select("shingle"), "shingle")))
     # the shorter set (ties: the lesser node) comes first, so that a pair meets once
     met = rows.alias("x").join(rows.alias("y"), F.col("x.shingle") == F.col("y.shingle")).where(
         (F.col("x.root") != F.col("y.root"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
         & rule("x", "y")
     )
-    return ordered_pairs(met)
+    pairs = saved(ordered_pairs(met))
+    release(rows)
+    return pairs
 
 
 def prefix_keys(shared: DataFrame) -> DataFrame:
@@ -303,17 +317,25 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Units = whole_text) -> Da
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     whole = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-    return saved(whole.mapInArrow(verify, "u long, v long"))
+    found = saved(whole.mapInArrow(verify, "u long, v long"))
+    release()
+    return found
 
 
 def node_classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(node, root) of every node with a link."""
-    shared = with_neighbours(shared_prefixes(prefix_rows(docs, levels)))
+    shared = saved(shared_prefixes(prefix_rows(docs, levels)))
+    release()
     keys = prefix_keys(shared)
     near = saved(nearest_pairs(shared))
-    links = verified(plausible(near, keys), docs)
-    crossing = crossing_pairs(shared, components(links)).join(near, ["a", "b"], "left_anti")
-    return components(links.union(verified(plausible(crossing, keys), docs)))
+    hopeful = plausible(near, keys)
+    release()
+    links = verified(hopeful, docs)
+    first = components(links)
+    met = crossing_pairs(shared, first)
+    crossing = plausible(met.join(near, ["a", "b"], "left_anti"), keys)
+    release(shared, keys, near, hopeful, met)
+    return components(links.union(verified(crossing, docs)))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,10 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(frame: DataFrame) -> DataFrame:
     """Write the rows once as Parquet and read them back: lineage ends here.
 
-    A lost executor costs only the tasks that were running; finished files stay. The folder is
-    left for the cluster's own clean-up, as checkpoints are.
+    A lost executor costs only the tasks that were running; finished files stay, until ``release``
+    or the cluster's own clean-up of the folder.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/palisade-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete ``saved`` tables that nothing reads any more, and the shuffles that made them.
+
+    Spark drops a shuffle's files once the driver has collected its plan, so a collection is asked for.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
