@@ -36,7 +36,7 @@ from xxhash import xxh3_64_intdigest
 from palisade.llm.batches import slices
 from palisade.llm.components import components
 from palisade.llm.jaccard import crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified
-from palisade.llm.store import saved
+from palisade.llm.store import release, saved
 from palisade.llm.words import CACHE, SHINGLE, distinct, mixed, windows
 
 MIN_WORDS = 25
@@ -167,15 +167,29 @@ def band_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(band, "shingle long, node long, n int, place int")
 
 
+def plausible(pairs: DataFrame, parity: DataFrame) -> DataFrame:
+    """The ``pairs`` that pass the parity bound."""
+    columns = [F.struct("n", *PARITY).alias(c) for c in "xy"]
+    one, two = (parity.select(F.col("node").alias(k), c) for k, c in zip("ab", columns))
+    return saved(pairs.join(one, "a").join(two, "b").where(may_repeat("x", "y")).select("a", "b"))
+
+
 def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(node, root) of the paragraphs that have a near one."""
-    nodes = paragraphs.groupBy(F.col("hash").alias("node")).agg(
-        (-F.count("*")).alias("rank"), *(F.max(c).alias(c) for c in PARITY)
+    nodes = saved(
+        paragraphs.groupBy(F.col("hash").alias("node")).agg(
+            (-F.count("*")).alias("rank"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in PARITY)
+        )
     )
-    shared = saved(shared_prefixes(band_rows(docs)).join(nodes, "node"))
-    near = saved(nearest_pairs(shared, ("rank", "n"), may_repeat))
-    links = verified(near, docs, paragraph_sets)
-    crossing = saved(crossing_pairs(shared, components(links), may_repeat).join(near, ["a", "b"], "left_anti"))
+    parity = nodes.drop("rank")
+    shared = saved(shared_prefixes(band_rows(docs)).join(nodes.select("node", "rank"), "node"))
+    release()
+    near = saved(nearest_pairs(shared, ("rank", "n"), same_length))
+    hopeful = plausible(near, parity)
+    links = verified(hopeful, docs, paragraph_sets)
+    met = crossing_pairs(shared, components(links), may_repeat, lambda rows: rows.join(parity.drop("n"), "node"))
+    crossing = saved(met.join(near, ["a", "b"], "left_anti"))
+    release(nodes, shared, near, hopeful, met)
     return components(links.union(verified(crossing, docs, paragraph_sets)))
 
 
