@@ -861,7 +861,7 @@ def json_sql() -> str:
 
 def sarif_sql() -> str:
     return with_(
-        [*SCAN,
+        [*SCAN_TOTALS,
          f"seen AS ({SARIF_RULES})",
          """rule_docs AS (
            SELECT scan_id, list({'id': rule_id, 'name': name, 'shortDescription': {'text': name},
@@ -882,11 +882,11 @@ def sarif_sql() -> str:
                            'snippet': {{'text': snippet}}}}}}}}]}} ORDER BY file, ro, xo, k) AS results
            FROM found WHERE NOT suppressed GROUP BY scan_id)"""],
         f"""SELECT scan_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
-          CAST(n AS INTEGER) AS n_results,
+          CAST(coalesce(n, 0) AS INTEGER) AS n_results,
           CAST(to_json({{'$schema': {q(SARIF_SCHEMA)}, 'version': {q(SARIF_VERSION)},
             'runs': [{{'tool': {{'driver': {{'name': {q(TOOL)}, 'version': {q(VERSION)},
-              'rules': rules}}}}, 'results': results}}]}}) AS VARCHAR) AS document
-        FROM result_docs JOIN rule_docs USING (scan_id)""",
+              'rules': coalesce(rules, [])}}}}, 'results': coalesce(results, [])}}]}}) AS VARCHAR) AS document
+        FROM totals LEFT JOIN result_docs USING (scan_id) LEFT JOIN rule_docs USING (scan_id)""",
     )
 
 
@@ -1025,6 +1025,14 @@ ORACLES: dict[str, str] = {
     "top_comments": with_(SCAN, f"""SELECT scan_id, CAST(nth AS INTEGER) AS nth, file, rule_id, line
         FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file, ro, xo, k) AS nth
               FROM found WHERE NOT suppressed) WHERE nth <= {MAX_COMMENTS}"""),
+    "top_verdict_comments": with_([*DIFF_SCAN, *REVIEWS, JUDGED], f"""SELECT scan_id,
+        CAST(nth AS INTEGER) AS nth, path, line, body
+        FROM (SELECT scan_id, replace(file, '\\', '/') AS path, line,
+                CASE WHEN verdict IS NULL THEN {COMMENT_BODY} ELSE {JUDGED_BODY} END AS body,
+                row_number() OVER (PARTITION BY scan_id
+                  ORDER BY replace(file, '\\', '/'), line, ro) AS nth
+              FROM judged WHERE NOT suppressed AND coalesce(verdict, '') <> {q(FALSE_POSITIVE)})
+        WHERE nth <= {MAX_COMMENTS}"""),
     "verdict_report": verdict_report_sql(),
     "json_report": json_sql(),
     "markdown_report": markdown_sql(),

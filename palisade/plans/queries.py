@@ -429,7 +429,7 @@ def sarif_rules(spark, folder):
 
 
 def sarif_report(spark, folder):
-    return reports.sarif_documents(_stored(spark, folder)[1])
+    return reports.sarif_documents(*_stored(spark, folder))
 
 
 def markdown_report(spark, folder):
@@ -459,6 +459,14 @@ def top_comments(spark, folder):
     )
 
 
+def top_verdict_comments(spark, folder):
+    """First ten comments per diff of those left once dismissed findings are dropped."""
+    comments = reports.verdict_comments(scan.describe(_reviewed(spark, folder)))
+    return reports.top_comments(comments, ["path", "line", "rule_ord"]).select(
+        "scan_id", "nth", "path", "line", "body"
+    )
+
+
 def verdict_report(spark, folder):
     return reports.verdict_documents(_reviews(spark, folder))
 
@@ -531,6 +539,7 @@ QUERIES: dict[str, Query] = {
     "review_comments": review_comments,
     "verdict_comments": verdict_comments,
     "top_comments": top_comments,
+    "top_verdict_comments": top_verdict_comments,
     "verdict_report": verdict_report,
     "stream_scan_diffs": stream_scan_diffs,
 }

@@ -24,9 +24,11 @@ def scanned(spark):
 
 
 def test_sarif(scanned):
-    docs = {r.scan_id: json.loads(r.document) for r in reports.sarif_documents(scanned[1]).collect()}
+    docs = {r.scan_id: json.loads(r.document) for r in reports.sarif_documents(*scanned).collect()}
     run = docs["s"]["runs"][0]
     assert docs["s"]["version"] == "2.1.0"
+    empty = docs["clean"]["runs"][0]
+    assert empty["results"] == [] and empty["tool"]["driver"]["rules"] == []
     results = [(r["ruleId"], r["level"]) for r in run["results"]]
     assert results == [("AIS-002", "error"), ("AIS-007", "error"), ("MCP-004", "error"),
                        ("AIS-004", "warning")]  # by uri, then rule
@@ -40,7 +42,7 @@ def test_sarif(scanned):
 
 
 def test_a_large_scan_is_dealt_to_whole_parts(scanned):
-    rows = [r for r in reports.sarif_documents(scanned[1], limit=20).collect() if r.scan_id == "big"]
+    rows = [r for r in reports.sarif_documents(*scanned, limit=20).collect() if r.scan_id == "big"]
     assert len(rows) == 3 == rows[0].n_parts and all(r.n_results < 60 for r in rows)
     uris = [x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"]
             for r in rows for x in json.loads(r.document)["runs"][0]["results"]]
