@@ -16,8 +16,17 @@ Passages inside paragraphs. What is left is cut at sentence ends; equal sentence
 which those of the first document stay. A run of neighbouring sentences that all came before, of
 at least ``MIN_WORDS`` words, goes; shorter runs (stock phrases, licence lines) stay.
 
-Repeats inside one document are left alone. Texts are never shuffled by the search; sentences are,
-as one hash each. Null or empty texts have no paragraphs. Rows with equal ids count as one
+Passages across layout. The words of a whole text, newlines ignored, are looked at in every run of
+``PASSAGE`` words; a run that an earlier document has goes, wherever its lines and sentences end, and
+runs that overlap or touch are one span. So every equal passage of at least ``PASSAGE`` words is
+found to its full length. To compare so many runs, each gets an *anchor*: of the 26 runs of
+``ANCHOR`` words inside it, the one with the least hash (neighbours mostly have the same one). Equal
+runs have equal anchors; so only runs whose anchor came in more than one document (by a bit filter,
+which may let others through) are compared, by 64-bit hash. A run that meets a paragraph cut as a
+near copy is not what stays of a passage.
+
+Repeats inside one document are left alone. Texts are never shuffled by the search; sentences,
+anchors and the runs of shared anchors are, as one hash each. Null or empty texts have no paragraphs. Rows with equal ids count as one
 document; rows without an id come last of all, and nothing is removed from them. Other columns are ignored.
 """
 
@@ -33,13 +42,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from palisade.llm.batches import slices
+from palisade.llm import blocks
+from palisade.llm.batches import byte_texts, slices
 from palisade.llm.components import components
 from palisade.llm.jaccard import crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified
 from palisade.llm.store import release, saved
-from palisade.llm.words import CACHE, SHINGLE, distinct, mixed, windows
+from palisade.llm.words import CACHE, SHINGLE, distinct, mixed, windows, word_hashes
 
 MIN_WORDS = 25
+#: Words of a passage that goes whatever its layout, and of the runs from which its anchors are taken.
+PASSAGE, ANCHOR = 50, 25
+#: Least and most bits of the filter of shared anchors; in between, eight for each.
+FILTER_BITS = 1 << 20, 1 << 27
 BANDS, ROWS = 10, 3
 NO_ID = (1 << 63) - 1
 LATER = f"doc > first AND doc < {NO_ID}"
@@ -89,6 +103,38 @@ def paragraph_sets(text: bytes) -> list[np.ndarray]:
     return [s for _, s in line_sets(text) if s is not None]
 
 
+def joined_runs(values: np.ndarray, step: int, times: int) -> np.ndarray:
+    """Hash of every ``times`` neighbouring runs of ``step`` words each, of which ``values`` has the hashes."""
+    value = np.full(max(len(values) - step * (times - 1), 0), times, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(times):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + values[k * step : k * step + len(value)]
+    return mixed(value)
+
+
+def anchor_runs(hashes: np.ndarray) -> np.ndarray:
+    return joined_runs(windows(hashes, SHINGLE), SHINGLE, ANCHOR // SHINGLE)
+
+
+def anchors(runs: np.ndarray) -> np.ndarray:
+    """For each run of ``PASSAGE`` words the place of its anchor, the least of the runs inside it."""
+    width = PASSAGE - ANCHOR + 1
+    if len(runs) < width:
+        return np.zeros(0, dtype=np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
+    return least + np.arange(len(least))
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, line) of each word; starts and ends in code points."""
+    raw = np.frombuffer(text, np.uint8)
+    blank = ((raw == 32) | ((raw >= 9) & (raw <= 13))).astype(np.int8)
+    edges = np.diff(blank, prepend=1, append=1)
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return points[starts], points[ends], np.cumsum(raw == 10)[starts]
+
+
 def parities(shingles: np.ndarray) -> list[int]:
     """Whether each bucket of hashes holds an odd number of shingles, as bits."""
     buckets = (shingles & np.uint64(64 * PARITIES - 1)).astype(np.int64)
@@ -112,7 +158,7 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Paragraphs (sentence null; hash: their node, n: shingles) and sentences (hash of words)."""
+    """Paragraphs (sentence null; hash: their node, n: shingles), sentences (hash of words), anchors (hash only)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -130,10 +176,21 @@ def units(docs: DataFrame) -> DataFrame:
                             out.append((doc, p, k, at + start, at + end, len(own), value, None, *NO_PARITY))
             columns = list(zip(*out)) or [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
+            yield anchor_rows(batch)
 
     return docs.select(doc_key().alias("doc"), "text").mapInArrow(cut, UNIT)
 
 
+def anchor_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The anchors of each text, each hash once."""
+    found = [distinct(runs[np.unique(anchors(runs))]) for runs in (anchor_runs(word_hashes(t)) for t in byte_texts(batch.column(1)))]
+    docs = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+    hashes = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+    given = {"doc": pa.array(docs), "hash": pa.array(hashes)}
+    columns = [given.get(f.name, pa.nulls(len(docs), f.type)) for f in FIELDS]
+    return pa.RecordBatch.from_arrays(columns, schema=FIELDS)
+
+
 def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
@@ -224,17 +281,94 @@ def repeated_sentences(rows: DataFrame) -> DataFrame:
     )
 
 
+def anchor_filter(shared: DataFrame) -> np.ndarray:
+    """Bits of the anchors in ``shared`` (hash)."""
+    least, most = FILTER_BITS
+    n_bits = min(max(1 << (8 * shared.count()).bit_length(), least), most)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(n_bits // 8, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (n_bits - 1)
+            np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield blocks.pieces(found)
+
+    return blocks.merged(shared.mapInArrow(bits, blocks.SCHEMA), n_bits // 8, "u1", "bitwise_or")
+
+
+def passage_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(doc, at, start, end, line, last_line, hash): runs of ``PASSAGE`` words whose anchor is in ``bits``."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in slices(batches):
+            for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+                runs = anchor_runs(word_hashes(text))
+                slot = (runs[anchors(runs)] & np.uint64(8 * len(wanted) - 1)).astype(np.int64)
+                at = np.flatnonzero(wanted[slot >> 3] >> (slot & 7) & 1)
+                if len(at):
+                    starts, ends, line = word_places(text)
+                    last = at + PASSAGE - 1
+                    columns = (
+                        np.full(len(at), doc), at, starts[at], ends[last], line[at], line[last],
+                        joined_runs(runs, ANCHOR, PASSAGE // ANCHOR)[at].view(np.int64),
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c).cast(f.type) for c, f in zip(columns, RUN_FIELDS)], schema=RUN_FIELDS
+                    )
+
+    return docs.select(doc_key().alias("doc"), "text").mapInArrow(search, RUN)
+
+
+def repeated_passages(docs: DataFrame, anchor: DataFrame, gone: DataFrame) -> DataFrame:
+    """Spans (doc, paragraph, start, end, n_words, first) of words that earlier documents have too.
+
+    ``gone`` has the paragraphs (doc, paragraph) that are cut as near copies.
+    """
+    groups = anchor.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    shared = saved(groups.where("first <> last").select("hash"))
+    lost = gone.groupBy("doc").agg(F.collect_list("paragraph").alias("lost"))
+    met = F.filter("lost", lambda p: p.between(F.col("line"), F.col("last_line")))
+    n_lost = F.when(F.col("lost").isNull(), 0).otherwise(F.size(met))
+    found = passage_runs(docs, anchor_filter(shared)).join(lost, "doc", "left").withColumn("n_lost", n_lost)
+    # what lies whole in paragraphs that go needs no second cut
+    rows = saved(found.where("n_lost < last_line - line + 1").drop("lost", "last_line"))
+    first = rows.where("n_lost = 0").groupBy("hash").agg(F.min("doc").alias("first"))
+    later = rows.join(first, "hash").where(LATER)
+    along = Window.partitionBy("doc").orderBy("at")
+    new = F.coalesce(F.col("at") - F.lag("at").over(along) > PASSAGE, F.lit(True)).cast("int")
+    runs = later.dropDuplicates(["doc", "at"]).withColumn("new", new).withColumn("island", F.sum("new").over(along))
+    return (
+        runs.groupBy("doc", "island")
+        .agg(
+            F.min("line").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
+            (F.max("at") - F.min("at") + PASSAGE).cast("int").alias("n_words"), F.min("first").alias("first"),
+        )
+        .drop("island")
+    )
+
+
+def outside(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """The spans of ``inner`` that lie in none of ``outer``'s."""
+    spans = outer.select(F.col("doc").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
+    inside = (F.col("doc") == F.col("d")) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))
+    return inner.join(spans, inside, "left_anti")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, end, n_words, first_doc_id, kind, removed) of repeated passages.
 
     ``removed`` is false for the paragraphs of a cluster's first document. Spans are in code points.
     """
     found = saved(units(docs))
-    paragraphs = found.where("sentence IS NULL").drop("sentence")
+    paragraphs = found.where("paragraph IS NOT NULL AND sentence IS NULL").drop("sentence")
     near = saved(repeated_paragraphs(docs, paragraphs))
     gone = near.where(LATER).select("doc", "paragraph").distinct()
     left = found.where("sentence IS NOT NULL").join(gone, ["doc", "paragraph"], "left_anti")
-    runs = repeated_sentences(left)
+    anchor = found.where("paragraph IS NULL").select("doc", "hash")
+    passages = saved(repeated_passages(docs, anchor, gone))
+    runs = outside(repeated_sentences(left), passages).select(passages.columns).union(passages)
     key = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     columns = [
         key("doc").alias("doc_id"), "paragraph", "start", "end", "n_words", key("first").alias("first_doc_id"),
@@ -284,3 +418,10 @@ FIELDS = pa.schema(
         *((c, pa.int64()) for c in PARITY),
     ]
 )
+RUN = "doc long, at int, start int, end int, line int, last_line int, hash long"
+RUN_FIELDS = pa.schema(
+    [
+        ("doc", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("line", pa.int32()),
+        ("last_line", pa.int32()), ("hash", pa.int64()),
+    ]
+)

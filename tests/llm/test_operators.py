@@ -264,6 +264,49 @@ def test_repeats(odd, empty):
     assert left[4] is None and paragraphs.repeats(empty).count() == 0
 
 
+def test_passages_are_cut_whatever_their_layout(spark):
+    rng = np.random.default_rng(6)
+
+    def own(n):
+        return [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    short, middle, bare, ends = (own(60) for _ in range(4))
+    lines = ["\n".join(" ".join(short[k : k + 6]) for k in range(0, 60, 6))]
+    halves = " ".join(own(40) + ends[:30]) + "\n" + " ".join(ends[30:] + own(40))
+    rows = [
+        (1, "\n".join(["Début é."] + lines)),
+        (2, " ".join(own(30) + middle + own(30)) + "."),
+        (3, " ".join(bare)),
+        (4, halves),
+        (5, "\n".join([" ".join(own(5))] + lines + [" ".join(own(5))])),
+        (6, "Ünü. " + " ".join(own(90) + middle + own(20)) + ". End it here."),
+        (7, " ".join(own(200) + bare + own(9))),
+        (8, " ".join(own(40) + ends[:30]) + "\n" + " ".join(ends[30:] + own(40))),
+        (9, " ".join(own(40) + bare[:49] + own(40))),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = paragraphs.repeats(docs)
+    cut = {(r.doc_id, r.n_words, r.first_doc_id) for r in found.collect() if r.removed}
+    assert cut == {(5, 60, 1), (6, 60, 2), (7, 60, 3), (8, 60, 4)}
+    left = {r.doc_id: r.text for r in paragraphs.without_repeats(docs, found).collect()}
+    for later, passage in ((5, short), (6, middle), (7, bare), (8, ends)):
+        assert words_of(left[later]) == [w for w in words_of(dict(rows)[later]) if w not in passage]
+    assert all(left[i] == t for i, t in rows if i not in (5, 6, 7, 8))
+
+
+def test_equal_passages_match_brute_force(spark):
+    table = texts()
+    found = paragraphs.repeats(spark.read.parquet(f"{SF}/documents.parquet"))
+    left = {r.doc_id: r.text for r in paragraphs.without_repeats(spark.read.parquet(f"{SF}/documents.parquet"), found).collect()}
+    first = {}
+    for i in sorted(left):
+        words = words_of(left[i])
+        for run in {tuple(words[k : k + 50]) for k in range(len(words) - 49)}:
+            # cuts may bring words side by side; only runs that the given text has count
+            if " ".join(run) in " ".join(words_of(table[i])):
+                assert first.setdefault(run, i) == i
+
+
 def test_shards(odd, empty, spark):
     rows = sorted(QUERIES["op8_byte_shards"](spark, SF).collect(), key=lambda r: r.doc_id)
     table = texts()
