@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import bpe, contamination, jaccard, langid, paragraphs
 from palisade.llm.queries import held_out
-from palisade.llm.store import saved
+from palisade.llm.store import saved, text_key
 
 #: A document goes when less than half of it, by letters and by chance, is in one language.
 MIN_LANGUAGE_SCORE = 0.5
@@ -26,11 +26,10 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates; rows without an id all stay."""
-    found = jaccard.similarity_classes(docs)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["first_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    """The first document of each class of near duplicates; rows without an id come last in it."""
+    first = jaccard.first_rows(docs).select(F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key() == F.col("first_row"))
+    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination.without_contaminated(docs, saved(contamination.contaminated(docs, items)))
+    return contamination.without_contaminated(docs, saved(contamination.contaminated_rows(docs, items)))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.batches import byte_texts, slices
-from palisade.llm.store import saved
+from palisade.llm.store import saved, text_key
 from palisade.llm.words import shingle_set, word_hashes
 
 PERCENT = 75
 SPREAD_BITS = 3
 BLOCK_SHINGLES = 1_000_000
-SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long"
+SCHEMA = "doc_id long, row long, item_id long, n_item_shingles long, n_shared long"
 
 
 def size_class(n: int) -> int:
@@ -119,9 +119,14 @@ def in_blocks(sets: DataFrame, limit: int) -> tuple[DataFrame, int]:
 
 def contaminated(docs: DataFrame, items: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared): every occurrence of an item in a document."""
+    return contaminated_rows(docs, items, block_shingles).drop("row")
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``contaminated`` with ``row``, the ``text_key`` of the document."""
     spark = docs.sparkSession
     dealt, n_blocks = in_blocks(item_sets(items), block_shingles)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("row"), "text")
 
     def scan(block: int) -> DataFrame:
         own = dealt.where(F.col("block") == block).select("item_id", "shingles").collect()
@@ -133,14 +138,14 @@ def contaminated(docs: DataFrame, items: DataFrame, block_shingles: int = BLOCK_
             block_items = shared.value
             for batch in slices(batches):
                 out = []
-                for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+                for doc, row, text in zip(*(c.to_pylist() for c in batch.columns[:2]), byte_texts(batch.column(2))):
                     shingles = shingle_set(word_hashes(text))
                     if len(shingles):
-                        out += [(doc, *f) for f in block_items.found(shingles)]
-                columns = list(zip(*out)) or [()] * 4
+                        out += [(doc, row, *f) for f in block_items.found(shingles)]
+                columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in columns],
-                    ["doc_id", "item_id", "n_item_shingles", "n_shared"],
+                    ["doc_id", "row", "item_id", "n_item_shingles", "n_shared"],
                 )
 
         return rows.mapInArrow(search, SCHEMA)
@@ -149,6 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, block_shingles: int = BLOCK_
 
 
 def without_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents in which no item was found; a hit without an id is told by its text's absence."""
-    hits = found.select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit"]), "left_anti")
+    """The documents in which no item was ``found`` (by ``contaminated_rows``); id and text tell rows apart."""
+    hits = found.select(F.col("doc_id").alias("hit"), F.col("row").alias("hit_row")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("hit")) & (text_key() == F.col("hit_row"))
+    return docs.join(hits, same, "left_anti")

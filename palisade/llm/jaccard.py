@@ -37,7 +37,7 @@ from xxhash import xxh3_64_intdigest
 from palisade.llm import blocks
 from palisade.llm.batches import byte_texts, slices
 from palisade.llm.components import components
-from palisade.llm.store import release, saved
+from palisade.llm.store import release, saved, text_key
 from palisade.llm.words import shingle_set, word_hashes
 
 PERCENT = 75
@@ -48,7 +48,7 @@ SUFFIX_PARTS = 16
 BEFORE = 3
 Units = Callable[[bytes], list[np.ndarray]]
 Rule = Callable[[str, str], Column]
-PROFILE = "doc_id long, n_shingles long, node long, part int, piece binary"
+PROFILE = "doc_id long, row long, n_shingles long, node long, part int, piece binary"
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -60,33 +60,35 @@ def slots(shingles: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, n_shingles, node); per task the pieces of its shingle counters."""
+    """Per document (doc_id, row, n_shingles, node); per task the pieces of its shingle counters."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.uint64)
         for batch in slices(batches):
-            sets = [shingle_set(word_hashes(t)) for t in byte_texts(batch.column(1))]
+            sets = [shingle_set(word_hashes(t)) for t in byte_texts(batch.column(2))]
             for s in sets:
                 np.add.at(counts, slots(s), 1)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "node", "part", "piece"],
+                ["doc_id", "row", "n_shingles", "node", "part", "piece"],
             )
         found = blocks.pieces(counts)
         n = found.num_rows
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), found.column(0), found.column(1)],
-            ["doc_id", "n_shingles", "node", "part", "piece"],
+            [*(pa.nulls(n, pa.int64()) for _ in range(4)), found.column(0), found.column(1)],
+            ["doc_id", "row", "n_shingles", "node", "part", "piece"],
         )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, PROFILE)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("row"), "text")
+    return rows.mapInArrow(profile, PROFILE)
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -340,12 +342,26 @@ def node_classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    return labelled_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row) of the first of each class: of its least id, null last, the least ``text_key``."""
+    found = saved(labelled_rows(docs))
+    own = found.where("root IS NOT NULL AND doc_id <=> component_id")
+    first = own.groupBy("root", "doc_id").agg(F.min("row").alias("row")).select("doc_id", "row")
+    return first.union(found.where("root IS NULL").select("doc_id", "row")).distinct()
+
+
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, root, component_id) for every row of ``docs`` (doc_id, text)."""
     found = saved(profiles(docs))
     counts = blocks.merged(found.where("part IS NOT NULL").select("part", "piece"), SKETCH, "u8", "add")
-    rows = found.where("part IS NULL").select("doc_id", "n_shingles", "node")
+    rows = found.where("part IS NULL").select("doc_id", "row", "n_shingles", "node")
     classes = node_classes(docs, rarity(counts))
     labelled = saved(rows.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = labelled.where("root IS NOT NULL").join(least, "root").select("doc_id", "n_shingles", "component_id")
-    alone = labelled.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    columns = ["doc_id", "row", "n_shingles", "root", "component_id"]
+    joined = labelled.where("root IS NOT NULL").join(least, "root").select(columns)
+    alone = labelled.where("root IS NULL").withColumn("component_id", F.col("doc_id")).select(columns)
     return joined.unionByName(alone)

@@ -26,8 +26,9 @@ which may let others through) are compared, by 64-bit hash. A run that meets a p
 near copy is not what stays of a passage.
 
 Repeats inside one document are left alone. Texts are never shuffled by the search; sentences,
-anchors and the runs of shared anchors are, as one hash each. Null or empty texts have no paragraphs. Rows with equal ids count as one
-document; rows without an id come last of all, and nothing is removed from them. Other columns are ignored.
+anchors and the runs of shared anchors are, as one hash each. Null or empty texts have no paragraphs. A document is an id with a
+text: equal rows count as one, rows of one id with different texts as several, in order of a hash of the
+text; rows without an id come last of all. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from palisade.llm import blocks
 from palisade.llm.batches import byte_texts, slices
 from palisade.llm.components import components
 from palisade.llm.jaccard import crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified
-from palisade.llm.store import release, saved
+from palisade.llm.store import release, saved, text_key
 from palisade.llm.words import CACHE, SHINGLE, distinct, mixed, windows, word_hashes
 
 MIN_WORDS = 25
@@ -56,7 +57,7 @@ PASSAGE, ANCHOR = 50, 25
 FILTER_BITS = 1 << 20, 1 << 27
 BANDS, ROWS = 10, 3
 NO_ID = (1 << 63) - 1
-LATER = f"doc > first AND doc < {NO_ID}"
+LATER = "(doc > first OR row <> first_row)"
 #: Words of 64 bits in which a paragraph's bucket parities are kept.
 PARITIES = 8
 PARITY = [f"parity{k}" for k in range(PARITIES)]
@@ -64,7 +65,7 @@ SENTENCE_END = re.compile(r"(?<=[.!?])[^\S\n]+")
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-UNIT = "doc long, paragraph int, sentence int, start int, end int, n_words int, hash long, n int, " + ", ".join(
+UNIT = "doc long, row long, paragraph int, sentence int, start int, end int, n_words int, hash long, n int, " + ", ".join(
     f"{c} long" for c in PARITY
 )
 
@@ -163,36 +164,46 @@ def units(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 sets = line_sets((text or "").encode())
                 for p, ((at, line), (n_words, s)) in enumerate(zip(lines(text or ""), sets)):
                     if s is not None:
                         found = (at, at + len(line), n_words, node_of(s), len(s), *parities(s))
-                        out.append((doc, p, None, *found))
+                        out.append((doc, row, p, None, *found))
                     for k, (start, end) in enumerate(sentences(line)):
                         own = line[start:end].encode().lower().split()
                         if own:
                             value = xxh3_64_intdigest(b" ".join(own)) - (1 << 63)
-                            out.append((doc, p, k, at + start, at + end, len(own), value, None, *NO_PARITY))
+                            out.append((doc, row, p, k, at + start, at + end, len(own), value, None, *NO_PARITY))
             columns = list(zip(*out)) or [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
             yield anchor_rows(batch)
 
-    return docs.select(doc_key().alias("doc"), "text").mapInArrow(cut, UNIT)
+    return keyed(docs).mapInArrow(cut, UNIT)
 
 
 def anchor_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The anchors of each text, each hash once."""
-    found = [distinct(runs[np.unique(anchors(runs))]) for runs in (anchor_runs(word_hashes(t)) for t in byte_texts(batch.column(1)))]
-    docs = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+    found = [distinct(runs[np.unique(anchors(runs))]) for runs in (anchor_runs(word_hashes(t)) for t in byte_texts(batch.column(2)))]
+    docs, rows = (np.repeat(batch.column(k).to_numpy(), [len(f) for f in found]) for k in (0, 1))
     hashes = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-    given = {"doc": pa.array(docs), "hash": pa.array(hashes)}
+    given = {"doc": pa.array(docs), "row": pa.array(rows), "hash": pa.array(hashes)}
     columns = [given.get(f.name, pa.nulls(len(docs), f.type)) for f in FIELDS]
     return pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
 
-def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, row, text): id and hash of the text together name a document."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_key().alias("row"), "text")
+
+
+def in_many(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows of groups that lie in more than one document, with the ``first`` and ``first_row`` of these."""
+    ends = [f(c).alias(f"{c}_{k}") for c in ("doc", "row") for k, f in (("lo", F.min), ("hi", F.max))]
+    groups = rows.groupBy(*keys).agg(*ends).where("doc_lo <> doc_hi OR row_lo <> row_hi")
+    met = rows.join(groups.select(*keys, F.col("doc_lo").alias("first")), [*keys])
+    least = met.where("doc = first").groupBy(*keys).agg(F.min("row").alias("first_row"))
+    return met.join(least, [*keys])
 
 
 def band_rows(docs: DataFrame) -> DataFrame:
@@ -257,21 +268,17 @@ def repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
         paragraphs.drop(*PARITY).join(classes.withColumnRenamed("node", "hash"), "hash", "left")
         .withColumn("root", F.coalesce("root", "hash"))
     )
-    clusters = labelled.groupBy("root").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    many = clusters.where("first <> last").select("root", "first")
-    return labelled.join(many, "root").select("doc", "paragraph", "start", "end", "n_words", "first")
+    return in_many(labelled, "root").select("doc", "row", "paragraph", "start", "end", "n_words", "first", "first_row")
 
 
 def repeated_sentences(rows: DataFrame) -> DataFrame:
-    """Runs (doc, paragraph, start, end, n_words, first) of sentences that earlier documents have."""
-    groups = rows.groupBy("hash", "n_words").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    many = groups.where("first <> last").select("hash", "n_words", "first")
-    later = rows.join(many, ["hash", "n_words"]).where(LATER)
+    """Runs (doc, row, paragraph, start, end, n_words, first) of sentences that earlier documents have."""
+    later = in_many(rows, "hash", "n_words").where(LATER)
     # a sentence's number in its paragraph tells its neighbours; runs do not cross paragraphs
-    island = F.col("sentence") - F.row_number().over(Window.partitionBy("doc", "paragraph").orderBy("sentence"))
-    runs = later.dropDuplicates(["doc", "start"]).withColumn("island", island)
+    island = F.col("sentence") - F.row_number().over(Window.partitionBy("doc", "row", "paragraph").orderBy("sentence"))
+    runs = later.dropDuplicates(["doc", "row", "start"]).withColumn("island", island)
     return (
-        runs.groupBy("doc", "paragraph", "island")
+        runs.groupBy("doc", "row", "paragraph", "island")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"),
             F.sum("n_words").cast("int").alias("n_words"), F.min("first").alias("first"),
@@ -297,13 +304,13 @@ def anchor_filter(shared: DataFrame) -> np.ndarray:
 
 
 def passage_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc, at, start, end, line, last_line, hash): runs of ``PASSAGE`` words whose anchor is in ``bits``."""
+    """(doc, row, at, start, end, line, last_line, hash): runs of ``PASSAGE`` words whose anchor is in ``bits``."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+            for doc, row, text in zip(*(c.to_pylist() for c in batch.columns[:2]), byte_texts(batch.column(2))):
                 runs = anchor_runs(word_hashes(text))
                 slot = (runs[anchors(runs)] & np.uint64(8 * len(wanted) - 1)).astype(np.int64)
                 at = np.flatnonzero(wanted[slot >> 3] >> (slot & 7) & 1)
@@ -311,36 +318,40 @@ def passage_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     starts, ends, line = word_places(text)
                     last = at + PASSAGE - 1
                     columns = (
-                        np.full(len(at), doc), at, starts[at], ends[last], line[at], line[last],
+                        np.full(len(at), doc), np.full(len(at), row), at, starts[at], ends[last], line[at], line[last],
                         joined_runs(runs, ANCHOR, PASSAGE // ANCHOR)[at].view(np.int64),
                     )
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c).cast(f.type) for c, f in zip(columns, RUN_FIELDS)], schema=RUN_FIELDS
                     )
 
-    return docs.select(doc_key().alias("doc"), "text").mapInArrow(search, RUN)
+    return keyed(docs).mapInArrow(search, RUN)
 
 
 def repeated_passages(docs: DataFrame, anchor: DataFrame, gone: DataFrame) -> DataFrame:
-    """Spans (doc, paragraph, start, end, n_words, first) of words that earlier documents have too.
+    """Spans (doc, row, paragraph, start, end, n_words, first) of words that earlier documents have too.
 
-    ``gone`` has the paragraphs (doc, paragraph) that are cut as near copies.
+    ``gone`` has the paragraphs (doc, row, paragraph) that are cut as near copies.
     """
-    groups = anchor.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    shared = saved(groups.where("first <> last").select("hash"))
-    lost = gone.groupBy("doc").agg(F.collect_list("paragraph").alias("lost"))
+    ends = [f(c).alias(f"{c}_{k}") for c in ("doc", "row") for k, f in (("lo", F.min), ("hi", F.max))]
+    groups = anchor.groupBy("hash").agg(*ends)
+    shared = saved(groups.where("doc_lo <> doc_hi OR row_lo <> row_hi").select("hash"))
+    lost = gone.groupBy("doc", "row").agg(F.collect_list("paragraph").alias("lost"))
     met = F.filter("lost", lambda p: p.between(F.col("line"), F.col("last_line")))
     n_lost = F.when(F.col("lost").isNull(), 0).otherwise(F.size(met))
-    found = passage_runs(docs, anchor_filter(shared)).join(lost, "doc", "left").withColumn("n_lost", n_lost)
+    found = passage_runs(docs, anchor_filter(shared)).join(lost, ["doc", "row"], "left").withColumn("n_lost", n_lost)
     # what lies whole in paragraphs that go needs no second cut
     rows = saved(found.where("n_lost < last_line - line + 1").drop("lost", "last_line"))
-    first = rows.where("n_lost = 0").groupBy("hash").agg(F.min("doc").alias("first"))
-    later = rows.join(first, "hash").where(LATER)
-    along = Window.partitionBy("doc").orderBy("at")
+    standing = rows.where("n_lost = 0")
+    first = standing.groupBy("hash").agg(F.min("doc").alias("first"))
+    least = standing.join(first, "hash").where("doc = first").groupBy("hash").agg(F.min("row").alias("first_row"))
+    # a run that does not stand may come before the first that does: it is not cut for a later one
+    later = rows.join(first, "hash").join(least, "hash").where("doc > first OR (doc = first AND row > first_row)")
+    along = Window.partitionBy("doc", "row").orderBy("at")
     new = F.coalesce(F.col("at") - F.lag("at").over(along) > PASSAGE, F.lit(True)).cast("int")
-    runs = later.dropDuplicates(["doc", "at"]).withColumn("new", new).withColumn("island", F.sum("new").over(along))
+    runs = later.dropDuplicates(["doc", "row", "at"]).withColumn("new", new).withColumn("island", F.sum("new").over(along))
     return (
-        runs.groupBy("doc", "island")
+        runs.groupBy("doc", "row", "island")
         .agg(
             F.min("line").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
             (F.max("at") - F.min("at") + PASSAGE).cast("int").alias("n_words"), F.min("first").alias("first"),
@@ -351,30 +362,32 @@ def repeated_passages(docs: DataFrame, anchor: DataFrame, gone: DataFrame) -> Da
 
 def outside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """The spans of ``inner`` that lie in none of ``outer``'s."""
-    spans = outer.select(F.col("doc").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = (F.col("doc") == F.col("d")) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))
+    spans = outer.select(F.col("doc").alias("d"), F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
+    same = (F.col("doc") == F.col("d")) & (F.col("row") == F.col("r"))
+    inside = same & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))
     return inner.join(spans, inside, "left_anti")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, start, end, n_words, first_doc_id, kind, removed) of repeated passages.
+    """(doc_id, paragraph, start, end, n_words, first_doc_id, kind, removed, row) of repeated passages.
 
     ``removed`` is false for the paragraphs of a cluster's first document. Spans are in code points.
+    ``row`` is the ``text_key`` of the text in which the span lies.
     """
     found = saved(units(docs))
     paragraphs = found.where("paragraph IS NOT NULL AND sentence IS NULL").drop("sentence")
     near = saved(repeated_paragraphs(docs, paragraphs))
-    gone = near.where(LATER).select("doc", "paragraph").distinct()
-    left = found.where("sentence IS NOT NULL").join(gone, ["doc", "paragraph"], "left_anti")
-    anchor = found.where("paragraph IS NULL").select("doc", "hash")
+    gone = near.where(LATER).select("doc", "row", "paragraph").distinct()
+    left = found.where("sentence IS NOT NULL").join(gone, ["doc", "row", "paragraph"], "left_anti")
+    anchor = found.where("paragraph IS NULL").select("doc", "row", "hash")
     passages = saved(repeated_passages(docs, anchor, gone))
     runs = outside(repeated_sentences(left), passages).select(passages.columns).union(passages)
     key = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     columns = [
         key("doc").alias("doc_id"), "paragraph", "start", "end", "n_words", key("first").alias("first_doc_id"),
     ]
-    return near.select(*columns, F.lit("paragraph").alias("kind"), F.expr(LATER).alias("removed")).union(
-        runs.select(*columns, F.lit("passage").alias("kind"), F.lit(True).alias("removed"))
+    return near.select(*columns, F.lit("paragraph").alias("kind"), F.expr(LATER).alias("removed"), "row").union(
+        runs.select(*columns, F.lit("passage").alias("kind"), F.lit(True).alias("removed"), "row")
     )
 
 
@@ -397,10 +410,11 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     spans = (
         found.where("removed")
-        .groupBy(F.col("doc_id").alias("cut_id"))
+        .groupBy(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row"))
         .agg(F.collect_set(F.struct("start", "end")).alias("cut_spans"))
     )
-    joined = docs.join(spans, docs["doc_id"] == spans["cut_id"], "left")
+    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (text_key() == F.col("cut_row"))
+    joined = docs.join(spans, same, "left")
     cut = F.udf(cut_text, "string", useArrow=True)
     text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cut("text", "cut_spans"))
     edited = joined.withColumn("text", text).where("cut_spans IS NULL OR text RLIKE '\\\\S'")
@@ -413,15 +427,15 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
 NO_PARITY = (None,) * PARITIES
 FIELDS = pa.schema(
     [
-        ("doc", pa.int64()), ("paragraph", pa.int32()), ("sentence", pa.int32()), ("start", pa.int32()),
+        ("doc", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("sentence", pa.int32()), ("start", pa.int32()),
         ("end", pa.int32()), ("n_words", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()),
         *((c, pa.int64()) for c in PARITY),
     ]
 )
-RUN = "doc long, at int, start int, end int, line int, last_line int, hash long"
+RUN = "doc long, row long, at int, start int, end int, line int, last_line int, hash long"
 RUN_FIELDS = pa.schema(
     [
-        ("doc", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("line", pa.int32()),
-        ("last_line", pa.int32()), ("hash", pa.int64()),
+        ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+        ("line", pa.int32()), ("last_line", pa.int32()), ("hash", pa.int64()),
     ]
 )

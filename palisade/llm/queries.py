@@ -74,7 +74,7 @@ def op6_url_filter(spark, folder):
 
 
 def op7_paragraph_dedup(spark, folder):
-    return paragraphs.repeats(table(spark, folder, "documents"))
+    return paragraphs.repeats(table(spark, folder, "documents")).drop("row")
 
 
 def op8_byte_shards(spark, folder):

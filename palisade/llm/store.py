@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,11 @@ def saved(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def text_key() -> Column:
+    """Hash of the text: with the id it tells rows apart, also where ids are null or repeat."""
+    return F.xxhash64("text")
+
+
 def release(*tables: DataFrame) -> None:
     """Delete ``saved`` tables that nothing reads any more, and the shuffles that made them.
 

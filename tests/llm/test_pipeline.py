@@ -39,6 +39,38 @@ def test_stages(spark):
     assert {r.doc_id for r in kept["bpe"]} == {r.doc_id for r in kept["decontamination"]}
 
 
+def test_rows_of_one_id_or_none_are_told_apart(spark, tmp_path):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    item, passage = words("item", 20), words("p", 60)
+    rows = [
+        (1, words("a", 90)),
+        (1, f"{words('b', 30)} {item}"),  # contaminated
+        (2, passage),
+        (3, f"{passage} {words('c', 90)}"),  # cut
+        (3, f"{words('d', 150)} end"),  # whole
+        (4, words("e", 80)),
+        (5, words("f", 80)),
+        (5, words("e", 80)),  # in the class of 4
+        (None, words("g", 80)),
+        (None, f"{words('g', 80)} more"),  # near copy
+        (None, f"{words('h', 30)} {item}"),  # contaminated
+        (None, f"{words('i', 40)} {passage} {words('j', 40)}"),  # cut
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (corpus_pipeline.distinct, corpus_pipeline.trimmed, corpus_pipeline.decontaminated):
+        docs = saved(stage(spark, docs, str(tmp_path)))
+    got = {(r.doc_id, " ".join(r.text.split())) for r in docs.collect()}
+    one_g = got & {(None, words("g", 80)), (None, f"{words('g', 80)} more")}
+    assert len(one_g) == 1  # the one of the lesser hash
+    assert got - one_g == {
+        (1, words("a", 90)), (2, passage), (3, words("c", 90)), (3, f"{words('d', 150)} end"), (4, words("e", 80)),
+        (5, words("f", 80)), (None, f"{words('i', 40)} {words('j', 40)}"),
+    }
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
