@@ -49,6 +49,31 @@ def test_a_large_scan_is_dealt_to_whole_parts(scanned):
     assert sorted(uris) == sorted(f"src/{i}.ts" for i in range(60))
 
 
+def test_a_file_beyond_the_limit_is_split_and_no_part_is_missing(spark):
+    code = "\n".join(["eval(aiOutput);"] * 25)
+    data = [("s", "src/a.ts", code), ("s", "src/b.ts", "eval(aiOutput);"), ("t", "src/a.ts", code)]
+    files = spark.createDataFrame(data, "scan_id string, file_path string, content string")
+    rows = scan_files(files, keep_clean=True).cache()
+    results = scan_result(rows)
+    found = describe(rows.where(F.col("rule_id").isNotNull()).drop("first_row")).cache()
+    want = sorted((r.scan_id, r.file, r.line, r.rule_id) for r in found.collect())
+    n = {s: sum(w[0] == s for w in want) for s in "st"}
+    assert min(n.values()) >= 25
+    parts = sorted((s, k, -(-n[s] // 10)) for s in "st" for k in range(-(-n[s] // 10)))
+
+    def placed(docs):
+        assert sorted((r.scan_id, r.part, r.n_parts) for r in docs) == parts
+        return sorted(docs, key=lambda r: (r.scan_id, r.part))
+
+    docs = placed(reports.json_documents(results, found, limit=10).collect())
+    listed = [[(r.scan_id, f["file"], f["line"], f["rule_id"]) for f in json.loads(r.document)["findings"]] for r in docs]
+    assert sorted(x for own in listed for x in own) == want and max(map(len, listed)) == 10
+    sarif = placed(reports.sarif_documents(results, found, limit=10).collect())
+    assert [r.n_results for r in sarif] == [len(own) for own in listed]
+    lines = [r.markdown.count("| **") for r in placed(reports.markdown_documents(results, found, limit=10).collect())]
+    assert sum(lines) - 3 * len(lines) == len(want)  # three rows of each summary begin so
+
+
 def test_json(scanned):
     docs = {r.scan_id: json.loads(r.document) for r in reports.json_documents(*scanned).collect()}
     assert docs["clean"]["findings"] == [] and docs["clean"]["passed"] is True
