@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import (
-    bpe, chat, contamination, fingerprints, jaccard, langid, paragraphs, shards, token_counts, urls,
+    bpe, byte_bpe, chat, contamination, fingerprints, hard_negatives, jaccard, langid, oracle, paragraphs,
+    prefix_trie, shards, token_counts, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +102,25 @@ def op10_token_counts(spark, folder):
     return counted.select("*", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_hard_negatives(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.valid_rows(table(spark, folder, "embeddings"), moved)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_prefix_trie(spark, folder):
+    """Every conversation opens with up to three turns of the first one of its twenty."""
+    sequences = prefix_trie.turn_sequences(table(spark, folder, "conversations"))
+    conv = F.col("conv_id")
+    opening = F.crc32(F.encode(conv.cast("string"), "UTF-8")) % 4
+    return prefix_trie.prefix_nodes(prefix_trie.with_shared_openings(sequences, conv - conv % 20, opening, 3))
+
+
+def op13_byte_bpe(spark, folder):
+    decoded = byte_bpe.decode_documents(byte_bpe.encode_documents(table(spark, folder, "documents")))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -112,5 +132,8 @@ QUERIES: dict[str, Query] = {
     "op8_byte_shards": op8_byte_shards,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracle.ORACLES
