@@ -6,10 +6,10 @@ the files, so built-in and user-supplied rules run in the same plan.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-from palisade.functions.text import java_regex, re2_regex
+from palisade.functions.text import java_regex, re2_regex, without_lookarounds
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 
@@ -18,8 +18,9 @@ SECRET, PROMPT, CALL, VECTOR, ENV, PLAIN = "secret", "prompt", "call", "vector",
 
 @dataclass(frozen=True)
 class Pattern:
-    """One regex. ``groups`` name the capture groups whose text is the finding's token;
-    ``mark`` is the replacement template: the finding lies between ``@`` and ``#``."""
+    """One regex. ``groups`` name the capture groups whose text is the finding's token, inside
+    lookarounds too; ``mark`` is the replacement template: the finding lies between ``@``
+    and ``#``."""
 
     text: str
     ignore_case: bool = True
@@ -34,6 +35,11 @@ class Pattern:
     def re2(self) -> str:
         return re2_regex(self.text, self.ignore_case)
 
+    @property
+    def gate(self) -> str:
+        """Matches in every text in which the pattern does, and RE2 takes it nearly always."""
+        return re2_regex(without_lookarounds(self.text), self.ignore_case)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,6 +71,32 @@ class Rule:
         return self.python_patterns if python and self.python_patterns else self.patterns
 
 
+@dataclass(frozen=True)
+class FunctionRule:
+    """A rule written in Python: ``match(content, path)`` gives ``(line, column, snippet)``s.
+
+    It takes part in a scan like any other rule: path gate, ignored files, suppressions,
+    disabled rules, severity overrides, diffs. Lines and columns count from 1.
+    """
+
+    rule_id: str
+    name: str
+    description: str
+    severity: str
+    category: str
+    match: Callable[[str, str], Iterable[tuple[int, int, str]]]
+    fix: str | None = None
+    url: str | None = None
+    cwe_id: str | None = None
+    owasp: str | None = None
+    path_pattern: str | None = None
+    skip_suffixes: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.severity not in SEVERITIES:
+            raise ValueError(f"{self.rule_id}: unknown severity {self.severity}")
+
+
 # --- Fixed values: path gates -------------------------------------------------
 PYTHON_PATH = r"\.py\z"
 AI_PATH = r"\.(ts|js|py|mjs|cjs|jsx|tsx)\z"
@@ -385,12 +417,12 @@ RULES: tuple[Rule, ...] = SECRET_RULES + AI_RULES + TOOL_RULES
 
 
 def active_rules(
-    rules: Iterable[Rule] = RULES,
-    custom: Iterable[Rule] = (),
+    rules: Iterable[Rule | FunctionRule] = RULES,
+    custom: Iterable[Rule | FunctionRule] = (),
     disabled: Iterable[str] = (),
     severities: dict[str, str] | None = None,
     min_entropy: float | None = None,
-) -> tuple[Rule, ...]:
+) -> tuple[Rule | FunctionRule, ...]:
     """Built-in then custom rules, less the disabled ones, with overrides applied."""
     off = set(disabled)
     chosen = []
@@ -399,7 +431,7 @@ def active_rules(
             continue
         if severities and severities.get(rule.rule_id):
             rule = replace(rule, severity=severities[rule.rule_id])
-        if min_entropy is not None and rule.min_entropy is not None:
+        if min_entropy is not None and getattr(rule, "min_entropy", None) is not None:
             rule = replace(rule, min_entropy=float(min_entropy))
         chosen.append(rule)
     return tuple(chosen)

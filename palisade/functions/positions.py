@@ -3,34 +3,44 @@
 One ``regexp_replace`` puts a noncharacter before and another after every match. The
 marked text is cut into lines, so a match's line is the index of its line and its column
 follows from the lengths before the marker; the matched text is what stands between the
-two. That is a single regex pass, linear in the text, row-local and without shuffle.
+two. Capture groups come out of the same replacement: their text is put behind the match,
+after a third noncharacter, so a group is what it was in the whole text, whatever lookahead
+or lookbehind stands around it. That is a single regex pass, linear in the text and in the
+number of matches, row-local and without shuffle.
 
-Valid text holds no noncharacters. Should one of the two occur anyway, it appears as
+Valid text holds no noncharacters. Should one of the three occur anyway, it appears as
 ``STAND_IN`` in snippets and tokens; positions are not affected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.text import let, lines_of, trim
+from palisade.functions.text import let, lines_of, running_sums, trim
 
 MARK = "\uffff"
 END = "\ufffe"
+GROUP = "\ufdd1"
 STAND_IN = "\ufdd0"
 TEMPLATE = "@$0#"
 
 
-def marker_template(template: str = TEMPLATE) -> str:
-    """Replacement text; ``@`` and ``#`` say where the located text starts and ends."""
-    return template.replace("@", MARK).replace("#", END)
+def marker_template(template: str = TEMPLATE, groups: Sequence[int] = ()) -> str:
+    """Replacement text; ``@`` and ``#`` say where the located text starts and ends.
+
+    The texts of ``groups``, in their order, follow the located text."""
+    behind = GROUP + "".join(f"${g}" for g in groups) if groups else ""
+    return template.replace("@", MARK).replace("#", behind + END)
 
 
 def mark_matches(content: Column, pattern: Column, template: Column | None = None) -> Column:
     template = F.lit(marker_template()) if template is None else template
-    taken = F.contains(content, F.lit(MARK)) | F.contains(content, F.lit(END))
-    safe = F.when(taken, F.translate(content, MARK + END, STAND_IN * 2)).otherwise(content)
+    used = (MARK, END, GROUP)
+    taken = F.exists(F.array(*[F.lit(c) for c in used]), lambda c: F.contains(content, c))
+    safe = F.when(taken, F.translate(content, "".join(used), STAND_IN * 3)).otherwise(content)
     return F.regexp_replace(safe, pattern, template)
 
 
@@ -40,15 +50,24 @@ def _plain(marked: Column) -> Column:
 
 def _columns(marked_line: Column) -> Column:
     pieces = F.split(_plain(marked_line), MARK, -1)
-    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("cols"))
-    return F.aggregate(
+    starts = running_sums(F.transform(pieces, lambda p: F.length(p)))
+    return F.transform(F.slice(starts, F.lit(2), F.size(starts)), lambda s: (s + 1).cast("int"))
+
+
+def without_groups(marked: Column) -> Column:
+    """The marked text less the group texts behind its matches."""
+    pieces = F.transform(F.split(marked, END, -1), lambda p: F.substring_index(p, GROUP, 1))
+    return F.when(F.contains(marked, F.lit(GROUP)), F.array_join(pieces, END)).otherwise(marked)
+
+
+def group_texts(marked: Column) -> Column:
+    """``array<string>``: the group texts of each match; its whole text where none are marked."""
+    pieces = F.split(marked, END, -1)
+    return F.transform(
         F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        start,
-        lambda acc, piece: F.struct(
-            (acc["seen"] + F.length(piece)).alias("seen"),
-            F.concat(acc["cols"], F.array(acc["seen"] + F.length(piece) + 1)).alias("cols"),
+        lambda p: F.when(F.contains(p, F.lit(GROUP)), F.substring_index(p, GROUP, -1)).otherwise(
+            F.substring_index(p, MARK, -1)
         ),
-        lambda acc: acc["cols"],
     )
 
 
@@ -96,33 +115,30 @@ def line_positions(lines: Column) -> Column:
     )
 
 
-def positions(marked: Column) -> Column:
-    """``array<struct<line,column,snippet>>``, in text order, one per match."""
-    return let(
-        hit_lines(marked),
-        lambda lines: F.transform(
-            line_positions(lines),
-            lambda p: F.struct(
-                p["line"].alias("line"),
-                p["column"].alias("column"),
-                F.get(lines, p["nth"])["snippet"].alias("snippet"),
-            ),
-        ),
-    )
+def match_positions(content: Column, pattern: Column, template: Column | None = None) -> Column:
+    """All non-overlapping matches, in text order, with the lines on which they start:
+    ``struct<lines array<struct<line,snippet>>, matches array<struct<line,column,nth,text>>>``.
+
+    A match's snippet is ``lines[nth].snippet``: each line is held once, however many matches
+    it has, so the column is linear in the text. Explode ``matches``, then look the line up.
+    """
 
+    def both(b: Column) -> Column:
+        return F.struct(
+            F.transform(b["lines"], lambda x: F.struct(x["line"], x["snippet"])).alias("lines"),
+            F.zip_with(
+                line_positions(b["lines"]),
+                matched_texts(b["marked"]),
+                lambda p, t: F.struct(
+                    p["line"].alias("line"), p["column"].alias("column"), p["nth"].alias("nth"),
+                    t.alias("text"),
+                ),
+            ).alias("matches"),
+        )
 
-def match_positions(content: Column, pattern: Column, template: Column | None = None) -> Column:
-    """``array<struct<line,column,snippet,text>>`` of all non-overlapping matches."""
     return let(
         mark_matches(content, pattern, template),
-        lambda marked: F.zip_with(
-            positions(marked),
-            matched_texts(marked),
-            lambda p, t: F.struct(
-                p["line"].alias("line"),
-                p["column"].alias("column"),
-                p["snippet"].alias("snippet"),
-                t.alias("text"),
-            ),
+        lambda marked: let(
+            F.struct(marked.alias("marked"), hit_lines(marked).alias("lines")), both
         ),
     )

@@ -28,7 +28,8 @@ from palisade.functions.calls import call_arguments
 from palisade.functions.entropy import is_high_entropy, token_entropy
 from palisade.functions.masking import mask, mask_first
 from palisade.functions.positions import (
-    hit_lines, line_positions, mark_matches, marker_template, matched_texts, pieces_from_matches,
+    group_texts, hit_lines, line_positions, mark_matches, marker_template, matched_texts,
+    pieces_from_matches, without_groups,
 )
 from palisade.functions.prompts import has_untrusted
 from palisade.operators.gate import fired_rules
@@ -48,7 +49,7 @@ def path_gate(rule: Rule, path: Column) -> Column:
     return gate
 
 
-_PATTERN_DDL = "struct<regex:string,template:string,groups:array<int>>"
+_PATTERN_DDL = "struct<regex:string,template:string>"
 _RULE_DDL = (
     "struct<rule_id:string,severity:string,category:string,kind:string,redact:boolean,"
     "one_per_line:boolean,min_entropy:double,not_prefix:string,"
@@ -58,8 +59,7 @@ _RULE_DDL = (
 
 def _pattern_rows(patterns: Sequence[Pattern]) -> list[dict]:
     return [
-        {"regex": p.java, "template": marker_template(p.mark), "groups": list(p.groups)}
-        for p in patterns
+        {"regex": p.java, "template": marker_template(p.mark, p.groups)} for p in patterns
     ]
 
 
@@ -87,13 +87,6 @@ def rule_parameters(rules: Sequence[Rule]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE_DDL}>")
 
 
-def _token(text: Column, pattern: Column) -> Column:
-    picked = F.array_join(
-        F.transform(pattern["groups"], lambda g: F.call_function("regexp_extract", text, pattern["regex"], g)), ""
-    )
-    return F.when(F.size(pattern["groups"]) == 0, text).otherwise(picked)
-
-
 @functools.lru_cache(maxsize=64)
 def _named_hits(gateway: object, content: str, path: str, rule: str) -> Column:
     return rule_hits(F.col(content), F.col(path), F.col(rule))
@@ -122,10 +115,12 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
         def zipped(b: Column) -> Column:
             bounded = F.when(
                 rule["kind"] == CALL,
-                call_arguments(pieces_from_matches(b["marked"]), b["texts"], is_bounded),
-            ).otherwise(F.transform(b["texts"], lambda _: F.lit(False)))
+                call_arguments(
+                    pieces_from_matches(b["marked"]), matched_texts(b["marked"]), is_bounded
+                ),
+            ).otherwise(F.transform(b["tokens"], lambda _: F.lit(False)))
             pairs = F.zip_with(
-                b["texts"], bounded, lambda t, a: F.struct(t.alias("text"), a.alias("bounded"))
+                b["tokens"], bounded, lambda t, a: F.struct(t.alias("token"), a.alias("bounded"))
             )
             hits = F.zip_with(
                 line_positions(b["lines"]),
@@ -135,7 +130,7 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
                     p["line"].alias("line"),
                     p["column"].alias("column"),
                     p["nth"].alias("nth"),
-                    _token(t["text"], pattern).alias("token"),
+                    t["token"].alias("token"),
                     t["bounded"].alias("bounded"),
                 ),
             )
@@ -144,17 +139,24 @@ def rule_hits(content: Column, path: Column, rule: Column) -> Column:
                 hits.alias("hits"),
             )
 
-        def bound(marked: Column, lines: Column) -> Column:
+        def bound(b: Column) -> Column:
             return F.struct(
-                marked.alias("marked"),
-                matched_texts(marked).alias("texts"),
-                lines.alias("lines"),
+                b["marked"].alias("marked"),
+                b["tokens"].alias("tokens"),
+                hit_lines(b["marked"]).alias("lines"),
             )
 
+        # the group texts are read off first and taken out: they may hold line breaks
         return let(
             mark_matches(content, pattern["regex"], pattern["template"]),
-            lambda marked: let(
-                hit_lines(marked), lambda lines: let(bound(marked, lines), zipped)
+            lambda full: let(
+                let(
+                    F.struct(
+                        without_groups(full).alias("marked"), group_texts(full).alias("tokens")
+                    ),
+                    bound,
+                ),
+                zipped,
             ),
         )
 
@@ -242,7 +244,9 @@ def detect(
         "array<int>",
     )
     carried = list(dict.fromkeys([*keep, content, path]))
-    candidates = texts.select(*carried, fired_rules(rules, c).alias("_any"))
+    # where every rule asks for a kind of path, texts of other paths are not even read
+    looked_at = c if any(g == (None, ()) for g in gates) else F.when(F.exists(allowed, lambda ok: ok), c)
+    candidates = texts.select(*carried, fired_rules(rules, looked_at).alias("_any"))
     fired = candidates.select(
         *carried,
         F.when(

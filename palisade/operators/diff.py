@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions.paths import is_ignored
 from palisade.functions.text import LINE_BREAK, let, lines_of, trim
-from palisade.operators.detect import detect
-from palisade.operators.scan import FINDING_COLUMNS
-from palisade.operators.suppress import directives, is_suppressed
+from palisade.operators.scan import FINDING_COLUMNS, all_hits
+from palisade.operators.suppress import is_suppressed
 from palisade.settings import ScanConfig
 
 # Unified diff syntax and the budgeting texts.
@@ -159,11 +158,8 @@ def raw_diff_findings(
     else:
         named = blocks.where(scanned)
     texts = hunk_text(diff_hunks(named, outer=keep_clean), outer=keep_clean)
-    found = directives(F.col("content"), config.directive_prefix, config.strict_ids)
     keep = ("scan_id", "file", "block_ord", "hunk_ord", "new_start", "added")
-    hits = detect(
-        texts, config.rules, "content", "file", keep, keep_clean, per_text={"_found": found}
-    ).withColumn("_on_added", F.coalesce(F.get("added", F.col("line") - 1), F.lit(False)))
+    hits = all_hits(texts, config, "content", "file", keep, keep_clean).withColumn("_on_added", F.coalesce(F.get("added", F.col("line") - 1), F.lit(False)))
     if not keep_clean:
         hits = hits.where(F.col("_on_added"))
     flags = hits.withColumn(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.catalogue import Rule
-from palisade.functions.paths import is_ignored
+from palisade.catalogue import FunctionRule, Rule
+from palisade.functions.paths import ignored_paths, is_ignored
+from palisade.operators.custom import function_hits
 from palisade.operators.detect import detect
 from palisade.operators.suppress import directives, is_suppressed
 from palisade.settings import ScanConfig
+from palisade.sources.corpus import ignore_patterns
 
 FINDING_COLUMNS = (
     "scan_id", "file", "rule_ord", "match_ord", "rule_id", "severity", "category", "line",
@@ -24,6 +26,41 @@ def filter_ignored(files: DataFrame, config: ScanConfig, path: str = "file_path"
     return files.where(~is_ignored(F.col(path), config.ignore_paths))
 
 
+def all_hits(
+    texts: DataFrame,
+    config: ScanConfig,
+    content: str,
+    path: str,
+    keep: Sequence[str],
+    keep_clean: bool = False,
+) -> DataFrame:
+    """Hits of all active rules, with the directives of their text as ``_found``.
+
+    Declared rules are one pass. Rules written in Python are a second one, over the texts that
+    their path gates let through; without such rules it is not there.
+    """
+    found = directives(F.col(content), config.directive_prefix, config.strict_ids)
+    rules, functions = config.rules, config.functions
+    if not rules and not functions:
+        raise ValueError("no active rules")
+    parts = []
+    if rules:
+        parts.append(
+            detect(texts, rules, content, path, keep, keep_clean, per_text={"_found": found})
+        )
+    if functions:
+        noted = texts.withColumn("_found", found)
+        by_function = function_hits(noted, functions, content, path, (*keep, "_found"), len(rules))
+        if keep_clean and not rules:  # a row per text all the same
+            new = [f for f in by_function.schema if f.name not in keep]
+            nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in new]
+            parts.append(texts.select(*keep, *nulls, F.lit(True).alias("first_row")))
+        if keep_clean:
+            by_function = by_function.withColumn("first_row", F.lit(False))
+        parts.append(by_function)
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def scan_files(
     files: DataFrame, config: ScanConfig | None = None, keep_clean: bool = False
 ) -> DataFrame:
@@ -36,11 +73,7 @@ def scan_files(
     prepared = filter_ignored(files, config).select(
         "scan_id", F.col("file_path").alias("file"), "content"
     )
-    found = directives(F.col("content"), config.directive_prefix, config.strict_ids)
-    hits = detect(
-        prepared, config.rules, "content", "file", ("scan_id", "file"), keep_clean,
-        per_text={"_found": found},
-    )
+    hits = all_hits(prepared, config, "content", "file", ("scan_id", "file"), keep_clean)
     flagged = hits.withColumn(
         "suppressed",
         F.when(
@@ -52,11 +85,29 @@ def scan_files(
     return flagged.select(*FINDING_COLUMNS, *extra)
 
 
+def scan_with_ignore_files(
+    files: DataFrame, config: ScanConfig | None = None, keep_clean: bool = False
+) -> DataFrame:
+    """``scan_files`` in which each scan's own ignore files count as well.
+
+    What is ignored for all scans is a column test before the scan. The lists of the scans are
+    joined to the *paths*, by equal keys, and the paths that they cover are taken out of the
+    findings: no text is shuffled, whatever the lists.
+    """
+    config = config or ScanConfig()
+    listed = ignore_patterns(files).where(F.col("ord.src") > 1).select("scan_id", "pattern")
+    paths = filter_ignored(files.select("scan_id", "file_path"), config)
+    covered = ignored_paths(paths, listed).withColumnRenamed("file_path", "file")
+    return scan_files(files, config, keep_clean).join(covered, ["scan_id", "file"], "left_anti")
+
+
 def active(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("rule_id").isNotNull() & ~F.col("suppressed"))
 
 
-def catalogue_frame(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def catalogue_frame(
+    findings: DataFrame, rules: Sequence[Rule | FunctionRule]
+) -> DataFrame:
     """The rule texts as a table: one row per rule, a size fixed by the rule list."""
     rows = [
         (r.rule_id, r.name, r.description, r.fix, r.url, r.cwe_id, r.owasp) for r in rules
@@ -70,8 +121,8 @@ def catalogue_frame(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def describe(findings: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """Add title, description, fix, reference and weakness ids by rule id."""
-    rules = (config or ScanConfig()).rules
-    texts = catalogue_frame(findings, rules)
+    config = config or ScanConfig()
+    texts = catalogue_frame(findings, (*config.rules, *config.functions))
     return findings.join(texts, "rule_id", "left")
 
 
@@ -82,43 +133,13 @@ def scan_with_columns(
     category: str,
     build: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """A rule given as a column: ``build(content, path)`` returns
-    ``array<struct<line:int,column:int,snippet:string>>``."""
+    """A rule given as a column: ``build(content, path)`` returns what ``match_positions`` does."""
     hits = build(F.col("content"), F.col("file_path"))
-    return files.select(
-        "scan_id", F.col("file_path").alias("file"), F.posexplode(hits).alias("match_ord", "hit")
-    ).select(
-        "scan_id", "file", "match_ord", F.lit(rule_id).alias("rule_id"),
-        F.lit(severity).alias("severity"), F.lit(category).alias("category"),
-        "hit.line", "hit.column", "hit.snippet",
-    )
-
-
-def scan_with_function(
-    files: DataFrame,
-    rule_id: str,
-    severity: str,
-    category: str,
-    match: Callable[[str, str], list[tuple[int, int, str]]],
-) -> DataFrame:
-    """Escape hatch: any Python ``match(content, path)``, in Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["scan_id", "file", "match_ord", "line", "column", "snippet"]
-        for batch in batches:
-            rows = [
-                (scan, path, nth, *hit)
-                for scan, path, text in zip(batch.scan_id, batch.file_path, batch.content)
-                if text is not None
-                for nth, hit in enumerate(match(text, path))
-            ]
-            yield pd.DataFrame(rows, columns=columns)
-
-    found = files.select("scan_id", "file_path", "content").mapInPandas(
-        run, "scan_id string, file string, match_ord int, line int, column int, snippet string"
-    )
-    return found.select(
+    placed = files.select(
+        "scan_id", F.col("file_path").alias("file"), hits.alias("hits")
+    ).select("scan_id", "file", "hits.lines", F.posexplode("hits.matches").alias("match_ord", "hit"))
+    return placed.select(
         "scan_id", "file", "match_ord", F.lit(rule_id).alias("rule_id"),
         F.lit(severity).alias("severity"), F.lit(category).alias("category"),
-        "line", "column", "snippet",
+        "hit.line", "hit.column", F.get("lines", F.col("hit.nth"))["snippet"].alias("snippet"),
     )

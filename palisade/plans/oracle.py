@@ -9,10 +9,11 @@ word lists, planted texts) are shared.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from palisade.catalogue import (
     CALL, ENV, PINECONE_TOKEN_PREFIX, PROMPT, RULES, SECRET, SEVERITIES, SPREAD_OR_VARIABLE,
-    TOKEN_LIMIT, VECTOR, Rule,
+    TOKEN_LIMIT, VECTOR, Pattern, Rule,
 )
 from palisade.functions.entropy import DEFAULT_THRESHOLD, TOKEN_PREFIXES
 from palisade.functions.paths import CI_DIRS, CLI_DIRS, CLI_EXTENSIONS, clean_patterns
@@ -597,21 +598,118 @@ def pruned(path: str, dirs: Sequence[str], extensions: Sequence[str]) -> str:
     return f"({tests})"
 
 
+def listed_patterns() -> str:
+    """CTE: the non-comment lines of each scan's ignore files, with where they stand."""
+    names = " ".join(f"WHEN {q(n)} THEN {i + 2}" for i, n in enumerate(IGNORE_FILES))
+    return f"""listed AS (
+      SELECT scan_id, trim(raw, {SPACES}) AS pattern, src, file_path AS origin, line_ord
+      FROM (SELECT scan_id, file_path,
+              CASE list_extract(string_split(file_path, '/'), -1) {names} END AS src,
+              unnest(string_split(content, {NL})) AS raw,
+              unnest(range(0, len(string_split(content, {NL})))) AS line_ord
+            FROM files) WHERE src IS NOT NULL)"""
+
+
+def ignore_files_sql() -> str:
+    """Each path against each pattern of its scan, as the test is worded."""
+    norm = "regexp_replace(replace(file_path, '\\', '/'), '^\\./', '')"
+    return with_(
+        [
+            *FILES,
+            listed_patterns(),
+            f"""worded AS (
+              SELECT scan_id, clean, regexp_replace(regexp_replace(clean, '/\\*\\*$', ''), '/$', '') AS folder
+              FROM (SELECT DISTINCT scan_id, trim(regexp_replace(replace(pattern, '\\', '/'), '^\\./', ''), {SPACES}) AS clean
+                    FROM listed WHERE pattern <> '' AND NOT starts_with(pattern, '#'))
+              WHERE clean <> '')""",
+            f"""covered AS (
+              SELECT DISTINCT scan_id, file_path
+              FROM (SELECT scan_id, file_path, {norm} AS norm FROM files) JOIN worded USING (scan_id)
+              WHERE starts_with(clean, '*.') AND ends_with(norm, substr(clean, 2))
+                OR norm = folder OR starts_with(norm, folder || '/')
+                OR contains(norm, '/' || folder || '/') OR ends_with(norm, '/' || folder))""",
+            "open_files AS (SELECT * FROM files ANTI JOIN covered USING (scan_id, file_path))",
+            texts_from("open_files"),
+            *finding_ctes(),
+        ],
+        f"SELECT {FINDING}, suppressed FROM found",
+    )
+
+
+# Fixed width patterns for the rules that look around: what they find must be the same.
+_LOOKED_AT = (
+    (r"""token\s*=\s*"([0-9a-f]{32,})["]""", (1,)),
+    (r"""token = "([0-9a-f]{32,})""", (1,)),
+    (r"""token\s*=\s*(?:"|&quot;)([0-9a-f]{32,})""", (1,)),
+    (r"""\btoken\s*=\s*"([0-9a-f]{32,})""", (1,)),
+)
+
+
+def lookaround_sql() -> str:
+    rules = tuple(
+        replace(rule, patterns=(Pattern(text, groups=groups),))
+        for rule, (text, groups) in zip(registered.LOOKAROUND, _LOOKED_AT)
+    )
+    behind = registered.LOOKAROUND[1].rule_id
+    return with_(
+        [*FILES, PAGE_FILES, texts_from(_CUSTOM_SOURCE), *finding_ctes(rules)],
+        f"""SELECT rule_id, scan_id, file, line,
+          CAST("column" + CASE WHEN rule_id = {q(behind)} THEN length('token = "') ELSE 0 END AS INTEGER)
+            AS "column", snippet, entropy FROM found""",
+    )
+
+
+def function_ctes() -> list[str]:
+    """Findings of the functions in ``texts``: the same tests on unnested lines."""
+    wide, called, _ = registered.FUNCTIONS
+    gate = f"regexp_matches(file, {q(re2_regex(called.path_pattern))}) AND NOT ends_with(replace(file, '\\', '/'), 'fixtures.ts')"
+    return [
+        *suppression_ctes(),
+        f"""lines AS MATERIALIZED (
+          SELECT tid, scan_id, file, unnest(string_split(content, {NL})) AS t,
+            CAST(unnest(range(1, len(string_split(content, {NL})) + 1)) AS INTEGER) AS line FROM texts)""",
+        f"""by_function AS (
+          SELECT *, EXISTS (SELECT 1 FROM suppressed_rows s WHERE s.tid = h.tid AND s.line = h.line
+              AND s.rule_id IN ('*', h.rule_id)) AS suppressed, 'code-quality' AS category
+          FROM (
+            SELECT tid, scan_id, file, line, {q(wide.rule_id)} AS rule_id, 'low' AS severity,
+              CAST({registered.WIDTH + 1} AS INTEGER) AS "column", left(t, 40) AS snippet
+            FROM lines WHERE length(t) > {registered.WIDTH}
+            UNION ALL
+            SELECT tid, scan_id, file, line, {q(called.rule_id)}, 'medium',
+              CAST(instr(t, 'eval(') AS INTEGER), trim(t, {SPACES})
+            FROM lines WHERE contains(t, 'eval(') AND {gate}) h)""",
+    ]
+
+
+def function_diff_sql() -> str:
+    return with_(
+        [
+            *DIFFS,
+            *parsed_diffs(),
+            f"""texts AS MATERIALIZED (
+              SELECT scan_id || '#' || block_ord || '#' || hunk_ord AS tid, scan_id, file, content,
+                     added, new_start, block_ord, hunk_ord
+              FROM hunks WHERE NOT {ignored('file', registered.IGNORES)})""",
+            *function_ctes(),
+        ],
+        """SELECT scan_id, file, CAST(new_start + f.line - 1 AS INTEGER) AS line, rule_id, severity,
+             "column", snippet, suppressed
+           FROM by_function f JOIN (SELECT tid, added, new_start, block_ord, hunk_ord FROM texts) USING (tid)
+           WHERE added[f.line]
+           QUALIFY row_number() OVER (PARTITION BY scan_id, file, new_start + f.line - 1, rule_id
+             ORDER BY block_ord, hunk_ord) = 1""",
+    )
+
+
 def ignore_patterns() -> str:
     fixed = [(p, 0, i) for i, p in enumerate(DEFAULT_IGNORES)]
     fixed += [(p, 1, i) for i, p in enumerate(("docs/", "dist/**"))]
-    names = " ".join(f"WHEN {q(n)} THEN {i + 2}" for i, n in enumerate(IGNORE_FILES))
     return with_(
         [
             *FILES,
             values("fixed", "pattern, src, line_ord", fixed),
-            f"""listed AS (
-              SELECT scan_id, trim(raw, {SPACES}) AS pattern, src, file_path AS origin, line_ord
-              FROM (SELECT scan_id, file_path,
-                      CASE list_extract(string_split(file_path, '/'), -1) {names} END AS src,
-                      unnest(string_split(content, {NL})) AS raw,
-                      unnest(range(0, len(string_split(content, {NL})))) AS line_ord
-                    FROM files) WHERE src IS NOT NULL)""",
+            listed_patterns(),
             """all_rows AS (
               SELECT scan_id, pattern, src, '' AS origin, line_ord
               FROM (SELECT DISTINCT scan_id FROM files), fixed
@@ -933,6 +1031,7 @@ ORACLES: dict[str, str] = {
                             + ignored("file_path", registered.IGNORES)),
     "include_tests": with_(FILES, "SELECT scan_id, file_path FROM files WHERE NOT "
                            + ignored("file_path", _WITHOUT_TESTS)),
+    "scan_with_ignore_files": ignore_files_sql(),
     "disable_rules": with_(SCAN, f"SELECT {FINDING} FROM found WHERE rule_id NOT IN ({_DISABLED})"),
     "scan_files": with_(SCAN, f"SELECT {FINDING}, entropy, suppressed FROM found"),
     "active_findings": with_(SCAN, f"SELECT {FINDING} FROM found WHERE NOT suppressed"),
@@ -979,6 +1078,12 @@ ORACLES: dict[str, str] = {
                                 """SELECT scan_id, file, CAST(line AS INTEGER) AS line, rule_id
                                 FROM block_rows"""),
     **{f"rule_{r.rule_id.lower().replace('-', '_')}": rule_sql(r) for r in RULES},
+    "custom_rule_lookaround": lookaround_sql(),
+    "custom_rule_function": with_(
+        [*FILES, texts_from("files", registered.IGNORES), *function_ctes()],
+        f"SELECT {FINDING}, suppressed FROM by_function",
+    ),
+    "custom_rule_diff": function_diff_sql(),
     "custom_rule_generic_token": with_(
         [*FILES, PAGE_FILES, texts_from(_CUSTOM_SOURCE),
          *finding_ctes((registered.GENERIC_TOKEN,))],

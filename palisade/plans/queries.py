@@ -8,18 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.catalogue import RULES, SECRET, Pattern, Rule
+from palisade.catalogue import AI_PATH, RULES, SECRET, FunctionRule, Pattern, Rule
 from palisade.functions.calls import call_arguments
 from palisade.functions.entropy import is_high_entropy, shannon_entropy, token_entropy
 from palisade.functions.masking import mask, mask_first
 from palisade.functions.paths import is_pruned
 from palisade.functions.positions import (
-    mark_matches, match_positions, matched_texts, pieces_from_matches, positions,
+    hit_lines, line_positions, mark_matches, match_positions, matched_texts, pieces_from_matches,
 )
 from palisade.functions.prompts import (
     is_safe_expression, is_untrusted_expression, placeholders,
 )
-from palisade.functions.text import java_regex, lines_of
+from palisade.functions.text import SPACE_CHARS, java_regex, lines_of
 from palisade.operators import diff, evaluate, scan, score, suppress, verdicts
 from palisade.operators.detect import is_python
 from palisade.plans import reports
@@ -44,10 +44,51 @@ GENERIC_TOKEN = Rule(
     min_entropy=3.0,
     redact=True,
 )
+
+
+def _token_rule(number: int, name: str, pattern: str, groups: tuple[int, ...]) -> Rule:
+    return Rule(
+        rule_id=f"CUSTOM-{number:03d}", name=name, description="A token that the pattern tells by what stands around it.",
+        severity="medium", category="secret", patterns=(Pattern(pattern, groups=groups),),
+        kind=SECRET, min_entropy=3.0, redact=True,
+    )
+
+
+LOOKAROUND = (
+    _token_rule(11, "Quote ahead", r"""token\s*=\s*"([0-9a-f]{32,})(?=")""", (1,)),
+    _token_rule(12, "Assignment behind", r"""(?<=token = ")[0-9a-f]{32,}""", ()),
+    _token_rule(13, "Nested", r"""((token)\s*=\s*(?:"|&quot;)(([0-9a-f]{8})[0-9a-f]{24,}))""", (3,)),
+    _token_rule(14, "Group ahead", r"""\btoken\b(?=\s*=\s*"([0-9a-f]{32,}))""", (1,)),
+)
+WIDTH = 160
+
+
+def wide_lines(text: str, path: str) -> list[tuple[int, int, str]]:
+    return [(n, WIDTH + 1, t[:40]) for n, t in enumerate(text.split("\n"), 1) if len(t) > WIDTH]
+
+
+def eval_calls(text: str, path: str) -> list[tuple[int, int, str]]:
+    lines = enumerate(text.split("\n"), 1)
+    return [(n, t.index("eval(") + 1, t.strip(SPACE_CHARS)) for n, t in lines if "eval(" in t]
+
+
+def _function(number, name, match, **extra) -> FunctionRule:
+    return FunctionRule(f"FUNCTION-{number}", name, name, "medium", "code-quality", match, **extra)
+
+
+FUNCTIONS = (
+    _function(1, "Wide line", wide_lines),
+    _function(2, "Call of eval", eval_calls, path_pattern=AI_PATH, skip_suffixes=("fixtures.ts",)),
+    _function(3, "Turned off", eval_calls),
+)
 IGNORES = ("dist/**", "vendor/", "*.yaml", "./tests", "docs", "*.min.js", "fixtures/**", "")
 IGNORING = ScanConfig(ignore_paths=IGNORES)
 DISABLED = ("AIS-002", "SEC-001", "MCP-004")
 OVERRIDES = {"SEC-005": "critical", "AIS-004": "low", "MCP-005": "info"}
+BY_FUNCTION = ScanConfig(
+    ignore_paths=IGNORES, builtin_rules=(), function_rules=FUNCTIONS, disabled_rules=("FUNCTION-3",),
+    severity_overrides={"FUNCTION-1": "low"},
+)
 BUDGET = 3000
 THRESHOLDS = ("info", "medium", "high", "critical")
 
@@ -202,6 +243,12 @@ def filter_ignored(spark, folder):
     return scan.filter_ignored(files, IGNORING).select("scan_id", "file_path")
 
 
+def scan_with_ignore_files(spark, folder):
+    """Findings outside the paths that the ignore files of their own scan cover."""
+    found = scan.scan_with_ignore_files(derived.files(spark, folder), ScanConfig())
+    return found.select(*FINDING_COLUMNS, "suppressed")
+
+
 def include_tests(spark, folder):
     files = derived.files(spark, folder)
     return scan.filter_ignored(files, IGNORING.including_tests()).select("scan_id", "file_path")
@@ -254,9 +301,12 @@ def enrich_cwe(spark, folder):
 
 def match_positions_query(spark, folder):
     texts = derived.page_files(spark, folder).unionByName(derived.files(spark, folder))
-    hits = match_positions(F.col("content"), F.lit(java_regex(NUMBERS_AND_TAGS)))
-    return texts.select("file_path", F.posexplode(hits).alias("nth", "h")).select(
-        "file_path", "nth", "h.line", "h.column", "h.text", F.md5("h.snippet").alias("snippet")
+    found = match_positions(F.col("content"), F.lit(java_regex(NUMBERS_AND_TAGS)))
+    placed = texts.select("file_path", found.alias("f")).select(
+        "file_path", F.transform("f.lines", lambda x: F.md5(x["snippet"])).alias("lines"), "f.matches"
+    )
+    return placed.select("file_path", "lines", F.posexplode("matches").alias("nth", "m")).select(
+        "file_path", "nth", "m.line", "m.column", "m.text", F.get("lines", F.col("m.nth")).alias("snippet")
     )
 
 
@@ -299,7 +349,7 @@ def call_args(spark, folder):
     marked = F.col("marked")
     arguments = call_arguments(pieces_from_matches(marked), matched_texts(marked))
     zipped = F.zip_with(
-        positions(marked), arguments,
+        line_positions(hit_lines(marked)), arguments,
         lambda p, a: F.struct(p["line"].alias("line"), p["column"].alias("column"),
                               a.alias("arguments")),
     )
@@ -349,6 +399,25 @@ def custom_rule_generic_token(spark, folder):
     )
 
 
+def custom_rule_lookaround(spark, folder):
+    """Tokens told by lookaheads, lookbehinds and nested groups."""
+    files = derived.files(spark, folder).unionByName(derived.page_files(spark, folder))
+    found = scan.scan_files(files, ScanConfig(builtin_rules=(), custom_rules=LOOKAROUND))
+    return found.select("rule_id", *RULE_COLUMNS, F.round("entropy", 6).alias("entropy"))
+
+
+def custom_rule_function(spark, folder):
+    """Rules written in Python, with ignored paths, suppressions, a disabled rule and an override."""
+    return scan.scan_files(derived.files(spark, folder), BY_FUNCTION).select(
+        *FINDING_COLUMNS, "suppressed"
+    )
+
+
+def custom_rule_diff(spark, folder):
+    """The same rules on the added lines of diffs."""
+    return diff.scan_diff(derived.diffs(spark, folder), BY_FUNCTION).select(*DIFF_COLUMNS)
+
+
 # --- aggregation --------------------------------------------------------------
 
 
@@ -501,6 +570,7 @@ QUERIES: dict[str, Query] = {
     "diff_dedupe": diff_dedupe,
     "budget_diff": budget_diff,
     "filter_ignored": filter_ignored,
+    "scan_with_ignore_files": scan_with_ignore_files,
     "include_tests": include_tests,
     "disable_rules": disable_rules,
     "scan_files": scan_files,
@@ -519,6 +589,9 @@ QUERIES: dict[str, Query] = {
     "block_suppressions": block_suppressions,
     **{f"rule_{r.rule_id.lower().replace('-', '_')}": rule_query(r) for r in RULES},
     "custom_rule_generic_token": custom_rule_generic_token,
+    "custom_rule_lookaround": custom_rule_lookaround,
+    "custom_rule_function": custom_rule_function,
+    "custom_rule_diff": custom_rule_diff,
     "severity_summary": severity_summary,
     "risk_score": risk_score,
     "threshold_gate": threshold_gate,

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
-from palisade.catalogue import RULES, SEVERITIES, Rule, active_rules
+from palisade.catalogue import RULES, SEVERITIES, FunctionRule, Rule, active_rules
 from palisade.functions.text import SPACE_CHARS
 
 # What is ignored by default, and the words marking test code.
@@ -33,6 +33,7 @@ class ScanConfig:
     strict_ids: bool = False
     custom_rules: tuple[Rule, ...] = ()
     builtin_rules: tuple[Rule, ...] = RULES
+    function_rules: tuple[FunctionRule, ...] = ()
 
     def __post_init__(self) -> None:
         for severity in (self.fail_threshold, *self.severity_overrides.values()):
@@ -46,6 +47,13 @@ class ScanConfig:
             self.min_entropy,
         )
 
+    @property
+    def functions(self) -> tuple[FunctionRule, ...]:
+        """Active rules written in Python; they come after all others."""
+        return active_rules(
+            self.function_rules, (), self.disabled_rules, self.severity_overrides, None
+        )
+
     def including_tests(self) -> ScanConfig:
         kept = tuple(p for p in self.ignore_paths if not any(w in p for w in TEST_WORDS))
         return replace(self, ignore_paths=kept)

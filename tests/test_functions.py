@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 from palisade.functions.calls import call_arguments
 from palisade.functions.entropy import is_high_entropy, shannon_entropy
 from palisade.functions.masking import mask, mask_first
-from palisade.functions.paths import is_ignored, is_pruned
+from palisade.functions.paths import clean_patterns, ignored_paths, is_ignored, is_pruned
 from palisade.functions.positions import (
-    END, MARK, mark_matches, match_positions, matched_texts, pieces_from_matches,
+    END, MARK, group_texts, mark_matches, marker_template, match_positions, matched_texts,
+    pieces_from_matches, without_groups,
 )
 from palisade.functions.prompts import is_safe_expression, is_untrusted_expression
-from palisade.functions.text import SPACE_CHARS, java_regex, re2_regex, trim
+from palisade.functions.text import (
+    CHUNK, SPACE_CHARS, java_regex, re2_regex, running_sums, trim, without_lookarounds,
+)
 
 
 def entropy(text):
@@ -55,6 +59,10 @@ def brute_positions(text, pattern):
     return out
 
 
+def flat(found):
+    return [(m.line, m.column, found.lines[m.nth].snippet, m.text) for m in found.matches]
+
+
 @pytest.mark.parametrize("pattern", [r"ab+", r"b\s*a", r"\n", r"[^c]{3}", r"a(b|\r?\n)?"])
 def test_positions_match_brute_force(spark, pattern):
     rng = random.Random(pattern)
@@ -63,7 +71,7 @@ def test_positions_match_brute_force(spark, pattern):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     # Python's \s knows no U+FEFF and the texts hold none, so the plain pattern serves both
     hits = match_positions(F.col("t"), F.lit(java_regex(pattern, ignore_case=False)))
-    got = {r.i: [tuple(h) for h in r.h] for r in rows.select("i", hits.alias("h")).collect()}
+    got = {r.i: flat(r.h) for r in rows.select("i", hits.alias("h")).collect()}
     for i, text in enumerate(texts):
         assert got[i] == brute_positions(text, pattern), repr(text)
 
@@ -72,7 +80,46 @@ def test_positions_survive_the_marker_characters(spark):
     text = f"x{MARK}\n{END}ab {MARK}ab"
     rows = spark.createDataFrame([(text,)], "t string")
     hits = rows.select(match_positions(F.col("t"), F.lit("ab"))).first()[0]
-    assert [(h.line, h.column, h.text) for h in hits] == [(2, 2, "ab"), (2, 6, "ab")]
+    assert [(h.line, h.column, h.text) for h in hits.matches] == [(2, 2, "ab"), (2, 6, "ab")]
+
+
+def test_very_many_matches_on_one_line(spark):
+    """Each line is held once and sums are taken in chunks: no growing array, no repeated line."""
+    n = 100_000
+    text = spark.range(1).select(F.repeat(F.lit("abc 12 "), n).alias("t"))
+    hits = match_positions(F.col("t"), F.lit(r"\d+"))
+    rows = text.select(F.posexplode(hits["matches"]).alias("nth", "m")).select(
+        "nth", "m.line", "m.column", "m.nth"
+    )
+    wrong = rows.toDF("nth", "line", "column", "at").where("line != 1 or at != 0 or column != nth * 7 + 5")
+    assert wrong.count() == 0
+    assert text.select(F.size(hits["matches"]), F.size(hits["lines"])).first() == (n, 1)
+
+
+def test_running_sums(spark):
+    sizes = [0, 1, 2, CHUNK, CHUNK + 1, 3 * CHUNK, CHUNK * CHUNK + 5]
+    rng = random.Random(1)
+    lists = [[rng.randrange(9) for _ in range(n)] for n in sizes]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, a array<int>")
+    got = {r.i: r.s for r in rows.select("i", running_sums(F.col("a")).alias("s")).collect()}
+    for i, values in enumerate(lists):
+        assert got[i] == [0, *accumulate(values)][: len(values)]
+
+
+def test_group_texts_in_lookarounds(spark):
+    text = "key=abc; key=def, <key=g\nh>"
+    cases = {
+        r"key=([a-z]+)(?=;)": ["abc"],
+        r"(?<=<key=)([a-z]\s[a-z])": ["g\nh"],
+        r"key(?==((\w)\w+))": ["abca", "defd"],
+        r"(key)=(?!abc)(\w)": ["keyd", "keyg"],
+    }
+    for pattern, tokens in cases.items():
+        groups = tuple(range(1, re.compile(pattern).groups + 1))
+        marked = mark_matches(F.lit(text), F.lit(java_regex(pattern)), F.lit(marker_template(groups=groups)))
+        row = spark.range(1).select(group_texts(marked), without_groups(marked)).first()
+        assert row[0] == tokens
+        assert row[1].replace(MARK, "").replace(END, "") == text
 
 
 def brute_arguments(text, start):
@@ -116,6 +163,19 @@ def test_dialects(spark):
     ).first()
     assert tuple(java) == (True, True)  # ASCII boundary and Unicode spaces, as in JavaScript
     assert re2_regex(r"(?:a)++[\s\S]\b", False) == r"(?:a)+[\s\S]\b"
+    java = rows.select(
+        F.rlike(F.lit("zq\u00a0x"), F.lit(java_regex(r"zq\Sx"))), F.rlike(F.lit("zq\u00e9x"), F.lit(java_regex(r"zq\Sx"))),
+        F.rlike(F.lit("\u00e9\u00e9"), F.lit(java_regex("\u00e9\\B\u00e9"))), F.rlike(F.lit("ab"), F.lit(java_regex(r"a\Bb"))),
+        F.rlike(F.lit("a\u00e9"), F.lit(java_regex("a\\B\u00e9"))),
+    ).first()
+    assert tuple(java) == (False, True, True, True, False)
+    with pytest.raises(ValueError, match="inside a character class"):
+        java_regex(r"[a\S]")
+    for word in (r"\d{3,}", r"[A-Z0-9_]+", r"(?:ab|\d)x", r"(a|(?:b|[c-e]))", r"\w"):
+        assert java_regex(r"\b" + word).startswith(r"(?i)(?<!\w)"), word
+    for other in (r"\d*", r"(?:a|<b)", r"[^a]", r"(?:a)?", r"(?=a)b", r"-", r"[a-z.]"):
+        assert java_regex(r"\b" + other).startswith(r"(?i)(?:(?<!\w)(?=\w)"), other
+    assert without_lookarounds(r"(?<=a[)])b(?=c(d|e))\(?!x(?!y)(z)") == r"b\(?!x(z)"
     assert rows.select(trim(F.lit("﻿  x \t"))).first()[0] == "x"
 
 
@@ -201,3 +261,33 @@ def test_word_boundaries_hold_before_any_character(spark):
     for pattern, want in ((r"\bpassword\b\s*=", [True, False, False]), (r"(\bpassword\b)\s*=", [True, False, False]),
                           (r"a\b\.\bb\b", [False, False, True])):
         assert [r[0] for r in frame.select(frame.t.rlike(java_regex(pattern))).collect()] == want
+
+
+def brute_ignored(path, patterns):
+    norm = path.replace("\\", "/").removeprefix("./")
+    for pattern in clean_patterns(patterns):
+        folder = pattern.removesuffix("/**").removesuffix("/")
+        if pattern.startswith("*.") and norm.endswith(pattern[1:]):
+            return True
+        if norm == folder or norm.startswith(folder + "/") or f"/{folder}/" in norm or norm.endswith("/" + folder):
+            return True
+    return False
+
+
+def test_ignored_paths_equal_the_column_and_brute_force(spark):
+    rng = random.Random(9)
+    names = ["a", "b", "src", "x.log", "a.min.js", "", ".", "*.log", "b/**", "..", "src "]
+    paths = sorted({"/".join(rng.choices(names, k=rng.randrange(1, 5))) for _ in range(300)} | {"./a\\b", "", "/", "a//b"})
+    lists = {
+        scan: rng.sample(["a", "b/", "src/**", "*.log", "*.js", "*.", "/a", "/", "/**", "a/b", "./src", "a\\b", " b ", "x.log", "*.log/", "b/**/", "//"], 3)
+        for scan in "pqrstuvw"
+    }
+    files = spark.createDataFrame([(s, p) for s in lists for p in paths], "scan_id string, file_path string")
+    patterns = spark.createDataFrame([(s, p) for s, own in lists.items() for p in own], "scan_id string, pattern string")
+    got = {tuple(r) for r in ignored_paths(files, patterns).collect()}
+    assert got == {(s, p) for s, own in lists.items() for p in paths if brute_ignored(p, own)}
+    for scan, own in lists.items():
+        column = files.where(F.col("scan_id") == scan).where(is_ignored(F.col("file_path"), own))
+        assert {r.file_path for r in column.collect()} == {p for s, p in got if s == scan}
+    empty = patterns.where("false")
+    assert ignored_paths(files, empty).count() == 0

@@ -2,10 +2,13 @@
 
 import pytest
 
-from palisade.catalogue import RULES, SECRET, Pattern, Rule, active_rules
+from palisade.catalogue import RULES, SECRET, FunctionRule, Pattern, Rule, active_rules
 from palisade.operators import evaluate
-from palisade.operators.scan import describe, scan_files, scan_with_columns, scan_with_function
-from palisade.settings import ScanConfig
+from palisade.operators.scan import (
+    describe, scan_files, scan_with_columns, scan_with_ignore_files,
+)
+from palisade.operators.score import scan_result
+from palisade.settings import PREFIX, ScanConfig
 from palisade.sources.labelled import CASES, labelled_cases
 from palisade.sources.planted import AWS, HUGGING_FACE
 
@@ -145,7 +148,7 @@ def test_custom_rules(files_of):
                     ScanConfig(custom_rules=(custom,))).first().title == "word"
 
 
-def test_column_and_function_rules(files_of):
+def test_column_rules(files_of):
     from pyspark.sql import functions as F
 
     from palisade.functions.positions import match_positions
@@ -155,9 +158,69 @@ def test_column_and_function_rules(files_of):
         files, "C-1", "low", "code-quality", lambda c, p: match_positions(c, F.lit("foo"))
     )
 
-    def match(text, path):
+    rows = by_column.orderBy("match_ord").collect()
+    assert [(r.line, r.column, r.snippet) for r in rows] == [(2, 2, "foo foo"), (2, 6, "foo foo")]
+
+
+def function_rule(rule_id, **extra):
+    def foo_lines(text, path):  # local, so that it travels to the workers by value
         return [(n + 1, 1, line.strip()) for n, line in enumerate(text.split("\n")) if "foo" in line]
 
-    by_function = scan_with_function(files, "F-1", "low", "code-quality", match)
-    assert [(r.line, r.column) for r in by_column.orderBy("match_ord").collect()] == [(2, 2), (2, 6)]
-    assert [(r.line, r.snippet) for r in by_function.collect()] == [(2, "foo foo")]
+    return FunctionRule(rule_id, "foo", "a foo", "low", "code-quality", foo_lines, **extra)
+
+
+def test_function_rules_are_rules_like_others(files_of):
+    files = files_of([
+        ("a.ts", f"eval(msg);\n foo foo\nfoo // {PREFIX}-ignore F-1\nfoo // {PREFIX}-ignore F-2"), ("b.txt", None),
+        ("dist/c.ts", "foo"), ("d.py", "foo"), ("e.txt", "none"),
+    ])
+    config = ScanConfig(
+        function_rules=(function_rule("F-1", path_pattern=r"\.ts\z"), function_rule("F-2")),
+        disabled_rules=("F-2", "AIS-003"), severity_overrides={"F-1": "high"},
+    )
+    rows = scan_files(files, config)
+    got = sorted((r.file, r.rule_id, r.line, r.severity, r.suppressed) for r in rows.collect())
+    assert got == [
+        ("a.ts", "AIS-002", 1, "high", False), ("a.ts", "F-1", 2, "high", False),
+        ("a.ts", "F-1", 3, "high", True), ("a.ts", "F-1", 4, "high", False),
+    ]
+    assert len({(r.file, r.rule_ord) for r in rows.collect()}) == 2
+    assert {r.title for r in describe(rows, config).collect()} >= {"foo"}
+
+
+def test_function_rules_alone_and_clean_files(files_of):
+    files = files_of([("a.ts", "foo\nfoo"), ("b.ts", "x")])
+    config = ScanConfig(builtin_rules=(), function_rules=(function_rule("F-1"),))
+    totals = {r.scan_id: r for r in scan_result(scan_files(files, config, keep_clean=True)).collect()}
+    assert totals["a.ts"].low == 2 and totals["b.ts"].low == 0
+    assert [t.scanned_files for t in totals.values()] == [1, 1]
+    with pytest.raises(ValueError, match="no active rules"):
+        scan_files(files, ScanConfig(builtin_rules=()))
+
+
+def test_groups_beside_lookarounds(files_of):
+    rules = tuple(
+        Rule(f"X-{i}", "n", "d", "low", "secret", (Pattern(text, groups=(1,)),), kind=SECRET, redact=True)
+        for i, text in enumerate([r"key=([A-Za-z0-9]{20,})(?=;)", r"(?<=key=)([A-Za-z0-9]{20,})", r"key(?==(\w{20,}))"])
+    )
+    token = "a1B2c3D4e5F6g7H8i9J0"
+    files = files_of([("a.txt", f"key={token};\nkey={token},")])
+    rows = scan_files(files, ScanConfig(builtin_rules=(), custom_rules=rules)).collect()
+    got = sorted((r.rule_id, r.line, r.column, r.snippet) for r in rows)
+    assert got == [
+        ("X-0", 1, 1, "key=a1B2...i9J0;"), ("X-1", 1, 5, "key=a1B2...i9J0;"), ("X-1", 2, 5, "key=a1B2...i9J0,"),
+        ("X-2", 1, 1, "key=a1B2...i9J0;"), ("X-2", 2, 1, "key=a1B2...i9J0,"),
+    ]
+
+
+def test_ignore_files_hold_for_their_own_scan(spark):
+    rows = [
+        ("s", ".gitignore", "# no\ngen/\n*.snap\n"), ("s", "gen/a.ts", "eval(msg)"), ("s", "src/gen/a.ts", "eval(msg)"),
+        ("s", "b.snap", "key"), ("s", "src/b.ts", "eval(msg)"), ("t", "gen/a.ts", "eval(msg)"), ("t", "dist/x.ts", "eval(msg)"),
+    ]
+    files = spark.createDataFrame(rows, "scan_id string, file_path string, content string")
+    found = scan_with_ignore_files(files, keep_clean=True)
+    got = sorted((r.scan_id, r.file, r.rule_id) for r in found.collect() if r.rule_id)
+    assert got == [("s", "src/b.ts", "AIS-002"), ("t", "gen/a.ts", "AIS-002")]
+    counts = {r.scan_id: r.scanned_files for r in scan_result(found).collect()}
+    assert counts == {"s": 2, "t": 1}
