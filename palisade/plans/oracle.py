@@ -30,8 +30,11 @@ from palisade.operators.verdicts import (
 )
 from palisade.plans import queries as registered
 from palisade.plans.reports import (
-    BADGES, BANDS, LEVELS, MAX_COMMENTS, OTHER_VERDICT_BADGE, SARIF_ROOT, SARIF_SCHEMA,
-    SARIF_VERSION, TOOL, VERDICT_BADGES, VERSION,
+    ADVICE_TITLE, BADGES, BANDS, CLEAN_END, COMMENT_END, COMMENT_FIX, COMMENT_PATCH,
+    COMMENT_REASON, COMMENT_TITLE, COUNTS_TEXT, FILE_HEAD, FILES_TEXT, FINDINGS_TITLE, FOUND_END,
+    GATE_TEXT, INFORMATION_URI, LEVELS, MAX_COMMENTS, NO_FIX, NOTES_TITLE, OTHER_VERDICT_BADGE,
+    PATCHES_TITLE, REPORT_TITLE, REVIEW_TITLE, SARIF_ROOT, SARIF_SCHEMA, SARIF_VERSION, SCORE_TEXT,
+    TABLE_HEAD, TOOL, VERDICT_BADGES, VERDICTS_HEAD, VERDICTS_TITLE, VERSION,
 )
 from palisade.settings import DEFAULT_IGNORES, IGNORE_FILES, PREFIX, TEST_WORDS
 from palisade.sources.labelled import CASES
@@ -554,22 +557,26 @@ def case_of(column: str, table: dict[str, str], default: str = "NULL") -> str:
     return f"CASE {column} {arms} ELSE {default} END"
 
 
+def filled(text: str, *values: str) -> str:
+    """SQL for ``text`` with its ``{}`` filled by expressions."""
+    parts = [q(part) for part in text.split("{}")]
+    return " || ".join([parts[0], *(f"{value} || {part}" for value, part in zip(values, parts[1:]))])
+
+
 COMMENT_HEAD = (
-    f"{q('### ' + TOOL + ': `[')} || rule_id || ']` ' || title || "
-    f"{q(chr(10) * 2 + '**Severity:** `')} || upper(severity) || '` | **Category:** `' || category "
-    f"|| {q('`' + chr(10) * 2)} || description || {q(chr(10) * 2)}"
+    f"{filled(COMMENT_TITLE, 'rule_id', 'title')} || {q(chr(10) * 2)} || severity || ', ' || category "
+    f"|| {q(chr(10) * 2)} || description || {q(chr(10) * 2)}"
 )
 COMMENT_BODY = (
-    f"{COMMENT_HEAD} || CASE WHEN coalesce(fix, '') <> '' THEN '**Recommended Remediation:** ' "
-    f"|| fix || {NL} ELSE '' END || {NL} || {q(f'> _Automated guardrail via {TOOL} (Rule `')} "
-    "|| rule_id || '`)_'"
+    f"{COMMENT_HEAD} || CASE WHEN coalesce(fix, '') <> '' THEN {q(COMMENT_FIX)} "
+    f"|| fix || {q(chr(10) * 2)} ELSE '' END || {filled(COMMENT_END, 'rule_id')}"
 )
 JUDGED_BODY = (
-    f"{COMMENT_HEAD} || CASE WHEN coalesce(reasoning, '') <> '' THEN '> **Model assessment:** ' "
+    f"{COMMENT_HEAD} || CASE WHEN coalesce(reasoning, '') <> '' THEN {q(COMMENT_REASON)} "
     f"|| reasoning || {q(chr(10) * 2)} ELSE '' END || CASE WHEN coalesce(suggested_patch, '') <> '' "
-    f"THEN {q('**Suggested remediation (1-click apply):**' + chr(10) + '```suggestion' + chr(10))} "
+    f"THEN {q(COMMENT_PATCH + chr(10) + '```suggestion' + chr(10))} "
     f"|| suggested_patch || {q(chr(10) + '```' + chr(10))} "
-    f"WHEN coalesce(fix, '') <> '' THEN '**Recommended remediation:** ' || fix || {NL} ELSE '' END"
+    f"WHEN coalesce(fix, '') <> '' THEN {q(COMMENT_FIX)} || fix || {NL} ELSE '' END"
 )
 
 FINDING = 'scan_id, file, rule_id, severity, category, line, "column", snippet'
@@ -801,12 +808,12 @@ CALL_RULE = next(r for r in RULES if r.kind == CALL)
 
 SARIF_RULES = f"""
 SELECT DISTINCT scan_id, rule_id, title AS name, description,
-  description || CASE WHEN coalesce(fix, '') <> '' THEN {q(chr(10) + 'Suggested Remediation: ')} || fix
+  description || CASE WHEN coalesce(fix, '') <> '' THEN {q(chr(10) + 'How to fix it: ')} || fix
     ELSE '' END AS help_text,
   '### ' || title || {q(chr(10) * 2)} || description || {q(chr(10) * 2)}
-    || CASE WHEN coalesce(fix, '') <> '' THEN {q('**Remediation:**' + chr(10))} || fix
+    || CASE WHEN coalesce(fix, '') <> '' THEN {q('**How to fix it**' + chr(10))} || fix
        || {q(chr(10) * 2)} ELSE '' END
-    || CASE WHEN coalesce(url, '') <> '' THEN '[Reference Documentation](' || url || ')' ELSE '' END
+    || CASE WHEN coalesce(url, '') <> '' THEN '[More on this](' || url || ')' ELSE '' END
     AS help_markdown,
   url AS help_uri, {case_of('severity', LEVELS)} AS level, severity,
   'security,ai-safety' || coalesce(',external/cwe/' || lower(cwe), '')
@@ -848,23 +855,21 @@ def verdict_report_sql() -> str:
     row = (f"'| `' || (v ->> 'ruleId') || '` | `' || (v ->> 'line') || '` | ' || {badge} || ' | ' "
            "|| CAST(floor(CAST(v ->> 'confidence' AS DOUBLE) * 100 + 0.5) AS BIGINT) || '% | ' "
            "|| replace(v ->> 'reasoning', '|', '\\|') || ' |'")
-    patch = (f"'**Rule `' || (v ->> 'ruleId') || '` (Line ' || (v ->> 'line') "
-             f"|| {q('):**' + chr(10) + '```suggestion' + chr(10))} || (v ->> 'suggestedPatch') "
+    patch = (f"'`' || (v ->> 'ruleId') || '`, line ' || (v ->> 'line') "
+             f"|| {q(chr(10) + '```suggestion' + chr(10))} || (v ->> 'suggestedPatch') "
              f"|| {q(chr(10) + '```' + chr(10))}")
     patched = "list_filter(analysis, lambda v: (v ->> 'suggestedPatch') <> '')"
-    table_head = ("#### 🔬 Finding verification\n\n| Rule | Line | Verdict | Confidence | Assessment |"
-                  "\n| :--- | :---: | :---: | :---: | :--- |\n")
+    table_head = f"{VERDICTS_TITLE}\n\n{VERDICTS_HEAD}\n"
     return with_(
         REVIEWS,
         f"""SELECT scan_id, concat_ws({NL},
-          {q('### 🤖 Semantic review' + chr(10) * 2 + '> ')} || summary || {NL},
+          {q(REVIEW_TITLE + chr(10) * 2)} || summary || {NL},
           CASE WHEN len(analysis) > 0 THEN {q(table_head)}
             || array_to_string(list_transform(analysis, lambda v: {row}), {NL}) || {NL} END,
           CASE WHEN len({patched}) > 0 THEN
-            {q('<details><summary><b>🛠️ Suggested code fixes</b></summary>' + chr(10) * 2)}
-            || array_to_string(list_transform({patched}, lambda v: {patch}), {NL})
-            || {q(chr(10) + '</details>' + chr(10))} END,
-          CASE WHEN len(recommendations) > 0 THEN {q('#### 🏛️ Recommendations' + chr(10) * 2)}
+            {q(PATCHES_TITLE + chr(10) * 2)}
+            || array_to_string(list_transform({patched}, lambda v: {patch}), {NL}) END,
+          CASE WHEN len(recommendations) > 0 THEN {q(ADVICE_TITLE + chr(10) * 2)}
             || array_to_string(list_transform(recommendations, lambda a: '* ' || a), {NL})
             || {NL} END) AS markdown
         FROM reviews""",
@@ -898,94 +903,99 @@ _TIER = (f"CASE WHEN NOT expected_vulnerability THEN {q(NEGATIVE_TIER)} "
          + " ".join(f"WHEN category = {q(c)} THEN {q(n)}" for c, n in TIERS.items())
          + f" ELSE {q(OTHER_TIER)} END")
 
-# At these sizes every scan fits one part of a report.
 _BADGE = case_of("severity", BADGES)
 _BAND = (f"CASE WHEN risk_score > {HIGH_RISK} THEN {q(BANDS['high'])} WHEN risk_score > "
          f"{MODERATE_RISK} THEN {q(BANDS['moderate'])} ELSE {q(BANDS['safe'])} END")
-_TABLE_HEAD = (")</b></summary>\n\n| Severity | Rule | Line | Description | Suggested Remediation |\n"
-               "| :--- | :--- | :---: | :--- | :--- |\n")
 
 
-def markdown_sql() -> str:
-    cell = "'| ' || {} || ' | **' || title || '** | `' || line || '` | ' || {} || ' | ' || {} || ' |'"
-    row = cell.format(_BADGE, "replace(description, '|', '\\|')",
-                      "coalesce(replace(nullif(fix, ''), '|', '\\|'), 'None')")
-    head = q(f"## 🛡️ {TOOL} security report\n\n")
-    metrics = q("\n\n### 📊 Summary\n\n| Metric | Status |\n| :--- | :--- |\n| **Risk Score** | `")
+def document_sql(extra: Sequence[str], row: str, header: str, footer: str, scans: str = "totals") -> str:
+    """Pieces of a document per scan: numbers by one window over each whole scan."""
+    size = registered.PIECE
     return with_(
-        [*SCAN_TOTALS,
-         f"""sections AS (
-           SELECT scan_id, file, {q('<details open>' + chr(10) + '<summary><b>📄 ')} || file || ' ('
-             || count(*) || CASE WHEN count(*) > 1 THEN ' issues' ELSE ' issue' END
-             || {q(_TABLE_HEAD)} || string_agg({row}, {NL} ORDER BY ro, xo, k)
-             || {q(chr(10) * 2 + '</details>' + chr(10))} AS section
-           FROM found WHERE NOT suppressed GROUP BY scan_id, file)""",
-         f"""bodies AS (SELECT scan_id, string_agg(section, {NL} ORDER BY file) AS sections
-           FROM sections GROUP BY scan_id)"""],
-        f"""SELECT scan_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
-          {head} || CASE WHEN passed THEN '**PASSED**' ELSE '**ACTION REQUIRED**' END
-          || {metrics} || risk_score || '/100` (' || {_BAND} || ') |' || {NL}
-          || '| **Files Scanned** | ' || scanned_files || ' |' || {NL}
-          || '| **Findings Breakdown** | 🔴 ' || critical || ' Critical · 🟠 ' || high
-          || ' High · 🟡 ' || medium || ' Medium · 🔵 ' || low || {q(' Low |' + chr(10) * 2)}
-          || coalesce({q('### 🔍 Detailed Findings' + chr(10) * 2)} || sections
-               || {q(chr(10) + '---' + chr(10) + '💡 *Resolve critical and high findings before merging.*' + chr(10))},
-               {q('---' + chr(10) + '🎉 **No security vulnerabilities or secret leaks detected!**' + chr(10))})
-            AS markdown
-        FROM totals LEFT JOIN bodies USING (scan_id)""",
+        [
+            *SCAN_TOTALS,
+            *extra,
+            f"""numbered AS (
+              SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file, ro, xo, k) - 1 AS number,
+                row_number() OVER (PARTITION BY scan_id, file ORDER BY ro, xo, k) AS in_file,
+                count(*) OVER (PARTITION BY scan_id, file) AS n_file,
+                count(*) OVER (PARTITION BY scan_id) AS n_scan
+              FROM found WHERE NOT suppressed)""",
+            f"""texts_of AS (
+              SELECT scan_id, number // {size} + 1 AS piece, string_agg({row}, {NL} ORDER BY number) AS text
+              FROM numbered GROUP BY ALL)""",
+            f"""ends AS (SELECT *, (findings_count + {size - 1}) // {size} + 1 AS final FROM {scans})""",
+            f"""documents_of AS (
+              SELECT scan_id, 0 AS piece, {header} AS text FROM ends
+              UNION ALL SELECT scan_id, final, {footer} FROM ends
+              UNION ALL SELECT scan_id, piece, text FROM texts_of)""",
+        ],
+        """SELECT scan_id, CAST(d.piece AS INTEGER) AS piece, CAST(final + 1 AS INTEGER) AS n_pieces, d.text
+           FROM documents_of d JOIN (SELECT scan_id, final FROM ends) USING (scan_id)""",
     )
 
 
+def comma(row: str) -> str:
+    return f"{row} || CASE WHEN number < n_scan - 1 THEN ',' ELSE '' END"
+
+
+def markdown_sql() -> str:
+    cell = "'| ' || line || ' | ' || {} || ' | ' || {} || ' | ' || {} || ' | ' || {} || ' |'"
+    row = cell.format(_BADGE, "replace(title, '|', '\\|')", "replace(description, '|', '\\|')",
+                      f"coalesce(replace(nullif(fix, ''), '|', '\\|'), {q(NO_FIX)})")
+    head = f"{NL} || {filled(FILE_HEAD, 'file', 'n_file')} || {q(chr(10) * 2 + TABLE_HEAD + chr(10))}"
+    header = f"""concat_ws({NL}, {q(REPORT_TITLE + chr(10))},
+        CASE WHEN passed THEN {q(GATE_TEXT['passed'])} ELSE {q(GATE_TEXT['failed'])} END || {NL},
+        '* ' || {filled(SCORE_TEXT, 'risk_score', _BAND)}, '* ' || {filled(FILES_TEXT, 'scanned_files')},
+        '* ' || {filled(COUNTS_TEXT, 'critical', 'high', 'medium', 'low')} || {NL},
+        {q(NOTES_TITLE + chr(10) * 2)} || notes || {NL},
+        CASE WHEN findings_count > 0 THEN {q(FINDINGS_TITLE)} END)"""
+    footer = f"{NL} || CASE WHEN findings_count > 0 THEN {q(FOUND_END)} ELSE {q(CLEAN_END)} END"
+    notes = f"""noted AS (
+      SELECT t.*, notes FROM totals t LEFT JOIN (
+        SELECT source AS scan_id, {filled(registered.NOTE, 'count(*)', 'count(*) FILTER (WHERE toxic = 1)')} AS notes
+        FROM labels JOIN documents USING (doc_id) GROUP BY source) USING (scan_id))"""
+    return document_sql([notes], f"CASE WHEN in_file = 1 THEN {head} ELSE '' END || {row}", header, footer, "noted")
+
+
 def json_sql() -> str:
-    return with_(
-        [*SCAN_TOTALS,
-         """listed AS (
-           SELECT scan_id, list({'rule_id': rule_id, 'title': title, 'description': description,
-             'severity': severity, 'category': category, 'file': file, 'line': line,
-             'column': "column", 'snippet': snippet, 'suggested_fix': fix, 'reference_url': url,
-             'entropy': entropy, 'suppressed': suppressed, 'cwe_id': cwe,
-             'owasp_category': owasp} ORDER BY file, ro, xo, k) AS findings
-           FROM found WHERE NOT suppressed GROUP BY scan_id)"""],
-        """SELECT scan_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
-          regexp_replace(CAST(to_json({'scanId': scan_id, 'totalFiles': scanned_files,
-            'scannedFiles': scanned_files, 'findings': coalesce(findings, []),
-            'suppressedCount': suppressed_count, 'riskScore': risk_score,
-            'summary': {'critical': critical, 'high': high, 'medium': medium, 'low': low,
-                        'info': info}, 'passed': passed}) AS VARCHAR),
-            ',"(entropy|owasp_category)":null', '', 'g') AS document
-        FROM totals LEFT JOIN listed USING (scan_id)""",
-    )
+    row = """regexp_replace(CAST(to_json({'rule_id': rule_id, 'title': title, 'description': description,
+      'severity': severity, 'category': category, 'file': file, 'line': line, 'column': "column",
+      'snippet': snippet, 'suggested_fix': fix, 'reference_url': url, 'entropy': entropy,
+      'suppressed': suppressed, 'cwe_id': cwe, 'owasp_category': owasp}) AS VARCHAR),
+      ',"(entropy|owasp_category)":null', '', 'g')"""
+    header = """rtrim(CAST(to_json({'scanId': scan_id, 'totalFiles': scanned_files,
+      'scannedFiles': scanned_files}) AS VARCHAR), '}') || ',"findings":['"""
+    footer = """'],' || substr(CAST(to_json({'suppressedCount': suppressed_count, 'riskScore': risk_score,
+      'summary': {'critical': critical, 'high': high, 'medium': medium, 'low': low, 'info': info},
+      'passed': passed}) AS VARCHAR), 2)"""
+    return document_sql([], comma(row), header, footer)
 
 
 def sarif_sql() -> str:
-    return with_(
-        [*SCAN_TOTALS,
-         f"seen AS ({SARIF_RULES})",
-         """rule_docs AS (
-           SELECT scan_id, list({'id': rule_id, 'name': name, 'shortDescription': {'text': name},
-             'fullDescription': {'text': description},
-             'help': {'text': help_text, 'markdown': help_markdown}, 'helpUri': help_uri,
-             'defaultConfiguration': {'level': level},
-             'properties': {'tags': string_split(tags, ','), 'precision': 'high',
-                            'problem': {'severity': severity}}} ORDER BY rule_id) AS rules
-           FROM seen GROUP BY scan_id)""",
-         f"""result_docs AS (
-           SELECT scan_id, count(*) AS n, list({{'ruleId': rule_id,
-             'level': {case_of('severity', LEVELS)},
-             'message': {{'text': title || ': ' || description || CASE WHEN coalesce(fix, '') <> ''
-                THEN ' (Suggested Fix: ' || fix || ')' ELSE '' END}},
-             'locations': [{{'physicalLocation': {{
-               'artifactLocation': {{'uri': replace(file, '\\', '/'), 'uriBaseId': {q(SARIF_ROOT)}}},
-               'region': {{'startLine': line, 'startColumn': "column",
-                           'snippet': {{'text': snippet}}}}}}}}]}} ORDER BY file, ro, xo, k) AS results
-           FROM found WHERE NOT suppressed GROUP BY scan_id)"""],
-        f"""SELECT scan_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
-          CAST(coalesce(n, 0) AS INTEGER) AS n_results,
-          CAST(to_json({{'$schema': {q(SARIF_SCHEMA)}, 'version': {q(SARIF_VERSION)},
-            'runs': [{{'tool': {{'driver': {{'name': {q(TOOL)}, 'version': {q(VERSION)},
-              'rules': coalesce(rules, [])}}}}, 'results': coalesce(results, [])}}]}}) AS VARCHAR) AS document
-        FROM totals LEFT JOIN result_docs USING (scan_id) LEFT JOIN rule_docs USING (scan_id)""",
-    )
+    rules = [
+        f"seen AS ({SARIF_RULES})",
+        """rule_docs AS (
+          SELECT scan_id, list({'id': rule_id, 'name': name, 'shortDescription': {'text': name},
+            'fullDescription': {'text': description},
+            'help': {'text': help_text, 'markdown': help_markdown}, 'helpUri': help_uri,
+            'defaultConfiguration': {'level': level},
+            'properties': {'tags': string_split(tags, ','), 'precision': 'high',
+                           'problem': {'severity': severity}}} ORDER BY rule_id) AS rules
+          FROM seen GROUP BY scan_id)""",
+        "ruled AS (SELECT t.*, rules FROM totals t LEFT JOIN rule_docs USING (scan_id))",
+    ]
+    row = f"""CAST(to_json({{'ruleId': rule_id, 'level': {case_of('severity', LEVELS)},
+      'message': {{'text': title || ': ' || description || CASE WHEN coalesce(fix, '') <> ''
+         THEN ' (fix: ' || fix || ')' ELSE '' END}},
+      'locations': [{{'physicalLocation': {{
+        'artifactLocation': {{'uri': replace(file, '\\', '/'), 'uriBaseId': {q(SARIF_ROOT)}}},
+        'region': {{'startLine': line, 'startColumn': "column",
+                    'snippet': {{'text': snippet}}}}}}}}]}}) AS VARCHAR)"""
+    header = f"""rtrim(CAST(to_json({{'$schema': {q(SARIF_SCHEMA)}, 'version': {q(SARIF_VERSION)}}}) AS VARCHAR), '}}')
+      || ',"runs":[{{"tool":' || CAST(to_json({{'driver': {{'name': {q(TOOL)}, 'version': {q(VERSION)},
+        'informationUri': {q(INFORMATION_URI)}, 'rules': coalesce(rules, [])}}}}) AS VARCHAR) || ',"results":['"""
+    return document_sql(rules, comma(row), header, "']}]}'", "ruled")
 
 
 ORACLES: dict[str, str] = {
@@ -1112,14 +1122,14 @@ ORACLES: dict[str, str] = {
     "review_gate": review_gate_sql(),
     "sarif_results": with_(SCAN, f"""SELECT scan_id, rule_id, {case_of('severity', LEVELS)} AS level,
         title || ': ' || description || CASE WHEN coalesce(fix, '') <> ''
-          THEN ' (Suggested Fix: ' || fix || ')' ELSE '' END AS message,
+          THEN ' (fix: ' || fix || ')' ELSE '' END AS message,
         replace(file, '\\', '/') AS uri, line AS start_line, "column" AS start_column,
         nullif(snippet, '') AS snippet FROM found WHERE NOT suppressed"""),
     "sarif_rules": with_(SCAN, SARIF_RULES),
     "annotations": with_(SCAN, """SELECT scan_id,
         CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, file,
         line AS start_line, "column" AS start_column, '[' || rule_id || '] ' || title AS title,
-        description || CASE WHEN coalesce(fix, '') <> '' THEN ' | Suggested Fix: ' || fix
+        description || CASE WHEN coalesce(fix, '') <> '' THEN ' | Fix: ' || fix
           ELSE '' END AS message FROM found WHERE NOT suppressed"""),
     "review_comments": with_(SCAN, f"""SELECT scan_id, replace(file, '\\', '/') AS path, line,
         {COMMENT_BODY} AS body, 'RIGHT' AS side FROM found WHERE NOT suppressed"""),

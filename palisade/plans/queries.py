@@ -23,7 +23,7 @@ from palisade.functions.text import SPACE_CHARS, java_regex, lines_of
 from palisade.operators import diff, evaluate, scan, score, suppress, verdicts
 from palisade.operators.detect import is_python
 from palisade.plans import reports
-from palisade.plans.store import materialise, shared_folder
+from palisade.plans.store import shared_folder
 from palisade.settings import PREFIX, ScanConfig
 from palisade.sources import corpus, derived
 from palisade.streaming import pushes as streaming
@@ -90,6 +90,9 @@ BY_FUNCTION = ScanConfig(
     severity_overrides={"FUNCTION-1": "low"},
 )
 BUDGET = 3000
+#: Findings to a piece of a report, small enough for several pieces of each scan.
+PIECE = 25
+NOTE = "{} texts were reviewed, {} of them are doubtful."
 THRESHOLDS = ("info", "medium", "high", "critical")
 
 
@@ -106,8 +109,8 @@ def _described(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Scan results and described findings from one pass, kept as a small table."""
-    rows = materialise(_rows(spark, folder))
+    """Scan results and described findings from one pass, kept in order as a small table."""
+    rows = reports.in_order(_rows(spark, folder))
     found = rows.where(F.col("rule_id").isNotNull()).drop("first_row")
     return score.scan_result(rows), scan.describe(found)
 
@@ -484,9 +487,8 @@ def review_gate(spark, folder):
 
 def json_report(spark, folder):
     results, described = _stored(spark, folder)
-    return reports.json_documents(
-        results, described.withColumn("entropy", F.round("entropy", 6))
-    )
+    rounded = described.withColumn("entropy", F.round("entropy", 6))
+    return reports.json_documents(results, rounded, PIECE)
 
 
 def sarif_results(spark, folder):
@@ -498,11 +500,18 @@ def sarif_rules(spark, folder):
 
 
 def sarif_report(spark, folder):
-    return reports.sarif_documents(*_stored(spark, folder))
+    return reports.sarif_documents(*_stored(spark, folder), PIECE)
 
 
 def markdown_report(spark, folder):
-    return reports.markdown_documents(*_stored(spark, folder))
+    """With notes on the scans of which documents have been labelled."""
+    results, described = _stored(spark, folder)
+    labels = derived.table(spark, folder, "labels").join(derived.table(spark, folder, "documents"), "doc_id")
+    counted = labels.groupBy(F.col("source").alias("scan_id")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("bad")
+    )
+    notes = counted.select("scan_id", reports.worded(NOTE, "n", "bad").alias("notes"))
+    return reports.markdown_documents(results, described, notes, PIECE)
 
 
 def annotations(spark, folder):

@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,8 +24,22 @@ def scanned(spark):
     return scan_result(rows), describe(found).cache()
 
 
+def joined(pieces):
+    """Whole documents by scan: pieces in order, none missing."""
+    texts = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.scan_id, r.piece)):
+        texts.setdefault(r.scan_id, []).append(r)
+    for own in texts.values():
+        assert [r.piece for r in own] == list(range(own[0].n_pieces))
+    return {scan: "\n".join(r.text for r in own) for scan, own in texts.items()}
+
+
+def parsed(pieces):
+    return {scan: json.loads(text) for scan, text in joined(pieces).items()}
+
+
 def test_sarif(scanned):
-    docs = {r.scan_id: json.loads(r.document) for r in reports.sarif_documents(*scanned).collect()}
+    docs = parsed(reports.sarif_documents(*scanned))
     run = docs["s"]["runs"][0]
     assert docs["s"]["version"] == "2.1.0"
     empty = docs["clean"]["runs"][0]
@@ -41,41 +56,48 @@ def test_sarif(scanned):
     assert rules["AIS-002"]["defaultConfiguration"]["level"] == "error"
 
 
-def test_a_large_scan_is_dealt_to_whole_parts(scanned):
-    rows = [r for r in reports.sarif_documents(*scanned, limit=20).collect() if r.scan_id == "big"]
-    assert len(rows) == 3 == rows[0].n_parts and all(r.n_results < 60 for r in rows)
-    uris = [x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"]
-            for r in rows for x in json.loads(r.document)["runs"][0]["results"]]
-    assert sorted(uris) == sorted(f"src/{i}.ts" for i in range(60))
+@pytest.mark.parametrize("size", [1, 20])
+def test_one_form_at_every_size(scanned, size):
+    """The same documents, whatever the number of findings to a piece."""
+    results, found = scanned
+    for build in (reports.sarif_documents, reports.json_documents, reports.markdown_documents):
+        whole = joined(build(results, found))
+        assert joined(build(results, found, size=size)) == whole
+        pieces = build(results, found, size=size).collect()
+        counts = {r.scan_id: r.n_pieces for r in pieces}
+        assert counts == {"s": 2 + math.ceil(4 / size), "clean": 2, "big": 2 + math.ceil(60 / size)}
 
 
-def test_a_file_beyond_the_limit_is_split_and_no_part_is_missing(spark):
-    code = "\n".join(["eval(aiOutput);"] * 25)
-    data = [("s", "src/a.ts", code), ("s", "src/b.ts", "eval(aiOutput);"), ("t", "src/a.ts", code)]
+def test_a_file_with_very_many_findings(spark):
+    """12,000 findings in one file of one scan: numbered and cut like any other, in order."""
+    code = "eval(aiOutput);\n" * 12_000
+    data = [("s", "src/b.ts", code), ("s", "src/a.ts", "eval(msg);"), ("s", "src/c.ts", "eval(msg);"), ("t", "x.ts", code[:160])]
     files = spark.createDataFrame(data, "scan_id string, file_path string, content string")
-    rows = scan_files(files, keep_clean=True).cache()
-    results = scan_result(rows)
-    found = describe(rows.where(F.col("rule_id").isNotNull()).drop("first_row")).cache()
-    want = sorted((r.scan_id, r.file, r.line, r.rule_id) for r in found.collect())
-    n = {s: sum(w[0] == s for w in want) for s in "st"}
-    assert min(n.values()) >= 25
-    parts = sorted((s, k, -(-n[s] // 10)) for s in "st" for k in range(-(-n[s] // 10)))
-
-    def placed(docs):
-        assert sorted((r.scan_id, r.part, r.n_parts) for r in docs) == parts
-        return sorted(docs, key=lambda r: (r.scan_id, r.part))
-
-    docs = placed(reports.json_documents(results, found, limit=10).collect())
-    listed = [[(r.scan_id, f["file"], f["line"], f["rule_id"]) for f in json.loads(r.document)["findings"]] for r in docs]
-    assert sorted(x for own in listed for x in own) == want and max(map(len, listed)) == 10
-    sarif = placed(reports.sarif_documents(results, found, limit=10).collect())
-    assert [r.n_results for r in sarif] == [len(own) for own in listed]
-    lines = [r.markdown.count("| **") for r in placed(reports.markdown_documents(results, found, limit=10).collect())]
-    assert sum(lines) - 3 * len(lines) == len(want)  # three rows of each summary begin so
+    rows = reports.in_order(scan_files(files, keep_clean=True))
+    results, found = scan_result(rows), describe(rows.where(F.col("rule_id").isNotNull()).drop("first_row"))
+    docs = parsed(reports.json_documents(results, found, size=500))
+    want = [("src/a.ts", 1), *(("src/b.ts", n + 1) for n in range(12_000)), ("src/c.ts", 1)]
+    assert [(f["file"], f["line"]) for f in docs["s"]["findings"]] == want
+    assert [f["line"] for f in docs["t"]["findings"]] == list(range(1, 11))
+    sizes = [r.text.count("\n") + 1 for r in reports.json_documents(results, found, size=500).where("scan_id = 's'").orderBy("piece").collect()]
+    assert sizes == [1, *[500] * 24, 2, 1]
+    text = joined(reports.markdown_documents(results, found, size=500))["s"]
+    assert text.count("### `src/b.ts` (12000)") == 1 and text.count("\n| ") == 12_002 + 2 * 3
+    sarif = parsed(reports.sarif_documents(results, found, size=999))["s"]["runs"][0]
+    assert len(sarif["results"]) == 12_002 and len(sarif["tool"]["driver"]["rules"]) == 1
+
+
+def test_documents_are_written_in_order(scanned, tmp_path):
+    results, found = scanned
+    pieces = reports.json_documents(results, found, size=3)
+    reports.write_documents(pieces, str(tmp_path / "out"))
+    for scan, text in joined(pieces).items():
+        files = sorted((tmp_path / "out" / f"scan_id={scan}").glob("part-*"))
+        assert "".join(f.read_text() for f in files) == text + "\n"
 
 
 def test_json(scanned):
-    docs = {r.scan_id: json.loads(r.document) for r in reports.json_documents(*scanned).collect()}
+    docs = parsed(reports.json_documents(*scanned))
     assert docs["clean"]["findings"] == [] and docs["clean"]["passed"] is True
     assert docs["s"]["summary"] == {"critical": 0, "high": 3, "medium": 1, "low": 0, "info": 0}
     assert docs["s"]["suppressedCount"] == 1 and docs["s"]["scannedFiles"] == 3
@@ -84,17 +106,17 @@ def test_json(scanned):
 
 def test_markdown(spark, scanned):
     notes = spark.createDataFrame([("s", "look here")], "scan_id string, notes string")
-    docs = {r.scan_id: r.markdown for r in reports.markdown_documents(*scanned, notes=notes).collect()}
-    assert "No security vulnerabilities" in docs["clean"] and "✅ Safe" in docs["clean"]
-    assert "`70/100` (🚨 High Risk)" in docs["s"] and "look here" in docs["s"]
-    assert "(3 issues)" in docs["s"] and "(1 issue)" in docs["s"]
+    docs = joined(reports.markdown_documents(*scanned, notes=notes))
+    assert reports.CLEAN_END in docs["clean"] and "✅ Safe" in docs["clean"]
+    assert "Risk score 70 of 100, 🚨 High Risk" in docs["s"] and "look here" in docs["s"]
+    assert "### `src\\a.ts` (3)" in docs["s"] and "### `src/c.ts` (1)" in docs["s"]
 
 
 def test_comments_and_annotations(scanned):
     comments = reports.review_comments(scanned[1]).where("scan_id = 's'").collect()
     assert len(comments) == 4 and {c.path for c in comments} == {"src/a.ts", "src/c.ts"}
     assert all(c.side == "RIGHT" and c.line >= 1 for c in comments)
-    assert "**Severity:** `HIGH` | **Category:** `ai-safety`" in comments[0].body or "mcp" in comments[0].body
+    assert all("high, ai-safety" in c.body or "high, mcp" in c.body or "medium, " in c.body for c in comments)
     levels = {r.title[1:8]: r.level for r in reports.annotations(scanned[1]).collect()}
     assert levels["AIS-004"] == "warning" and levels["AIS-002"] == "error"
 
