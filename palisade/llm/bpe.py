@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
 from palisade.llm.batches import byte_texts, slices
-from palisade.llm.vocabulary import Words, default_path, loaded, shared
+from palisade.llm.caches import held
+from palisade.llm.vocabulary import Words, default_path, shared
 
-CACHE_SIZE = 250_000
+CACHE_SIZE = 100_000
 LONGEST_KEPT = 64
-_BUILT: dict[str, FragmentEncoder] = {}
 
 
 class FragmentEncoder(dict):
@@ -106,10 +106,16 @@ def keep(cache: dict, key, value, size: int) -> None:
 
 
 def encoder(text: str) -> FragmentEncoder:
-    if text not in _BUILT:
-        _BUILT.clear()
-        _BUILT[text] = FragmentEncoder(text)
-    return _BUILT[text]
+    return held("bpe", text, lambda: FragmentEncoder(text))
+
+
+def token_strings(text: str) -> list[str | None]:
+    """Token strings by id, added tokens too; None where an id is free."""
+    spec = json.loads(text)
+    if spec.get("decoder") is not None:
+        raise ValueError("only vocabularies without a decoder of their own are known here")
+    table = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [table.get(i) for i in range(max(table) + 1)]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -147,12 +153,8 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     others = [c for c in encoded.columns if c != "ids"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = loaded(vocabulary.value)
-        if tokenizer.decoder is not None:
-            raise ValueError("only vocabularies without a decoder of their own are known here")
-        table = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-        size = max(table) + 1
-        names = [table.get(i) for i in range(size)]
+        names = held("bpe", "names" + vocabulary.value, lambda: token_strings(vocabulary.value))
+        size = len(names)
         for batch in slices(batches, 1 << 20):
             texts = []
             for ids in batch.column(len(others)):

@@ -35,16 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.batches import slices
+from palisade.llm.caches import held
 from palisade.llm.vocabulary import MAX_FILE_BYTES
 
-CACHE_SIZE = 400_000
+CACHE_SIZE = 300_000
 LONGEST_KEPT = 64
 BLOCK_BYTES = 4 << 20
 SEGMENT_CHARS = 1 << 20
 GAP, GONE = -1, -2
 #: Between a letter and a blank before a letter every splitting pattern known here ends a match.
 SAFE_CUT = regex.compile("(?<=[A-Za-z])(?= [A-Za-z])")
-_BUILT: dict[tuple[bytes, str], ReplayEncoder] = {}
 
 
 def default_ranks() -> str:
@@ -190,10 +190,7 @@ def segments(text: str, limit: int = SEGMENT_CHARS) -> Iterator[str]:
 
 
 def encoder(data: bytes, pattern: str) -> ReplayEncoder:
-    if (data, pattern) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[data, pattern] = ReplayEncoder(data, pattern)
-    return _BUILT[data, pattern]
+    return held("byte_bpe", (data, pattern), lambda: ReplayEncoder(data, pattern))
 
 
 def shared_ranks(spark: SparkSession, path: str) -> Broadcast:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.batches import byte_texts, slices
+from palisade.llm.caches import only
 
 BITS = 17
 LONGEST = 4
@@ -207,6 +208,34 @@ def best_paths(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndar
     return labels
 
 
+def constant_paths(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """For each text the language of its best path where that path never changes, else -1.
+
+    Let k be the best single language and g the most that any run of words gains in another single
+    language over k. A path leaving k for m runs gains at most m g and changes at least m times, or
+    m - 1 times if it never visits k and m > 1. With g below half the penalty none is better.
+    """
+    out = np.full(len(sizes), -1, dtype=np.int64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return np.zeros(len(sizes), dtype=np.int64)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    owner = np.repeat(np.arange(len(some)), sizes[some])
+    best = np.add.reduceat(scores, starts, axis=0, dtype=np.float64).argmax(axis=1)
+    base = scores[np.arange(len(scores)), best[owner]].astype(np.float64)
+    # each text is let down below the one before, so that a running minimum begins anew
+    fall = owner * (2.0 * (np.abs(scores).sum(dtype=np.float64) + 1))
+    gain = np.zeros(len(scores))
+    for k in range(scores.shape[1]):
+        over = scores[:, k] - base
+        ends = np.cumsum(over)
+        np.maximum(gain, ends - fall - np.minimum.accumulate(ends - over - fall), out=gain)
+    sure = np.maximum.reduceat(gain, starts) < penalty / 2
+    out[some[sure]] = best[sure]
+    out[sizes == 0] = 0
+    return out
+
+
 def texts_in_strips(texts: list[list[str]]) -> Iterator[slice]:
     """Runs of texts of about ``STRIP_WORDS`` words."""
     at = words = 0
@@ -251,7 +280,14 @@ class Labeller:
         """(labels, scores, lengths) of all words, texts end to end."""
         words = [w for t in texts for w in t]
         scores = self.scores(words)
-        labels = best_paths(scores, np.array([len(t) for t in texts], dtype=np.int64), self.penalty)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        constant = constant_paths(scores, sizes, self.penalty)
+        labels = np.repeat(constant, sizes)
+        mixed = constant < 0
+        if mixed.any():
+            labels[np.repeat(mixed, sizes)] = best_paths(
+                scores[np.repeat(mixed, sizes)], sizes[mixed], self.penalty
+            )
         return labels, scores, np.fromiter(map(len, words), np.int64, len(words))
 
 
@@ -298,6 +334,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         labeller = Labeller(shared.value, penalty)
         langs = shared.value.langs
         for batch in slices(batches):
@@ -336,6 +373,7 @@ def kept(docs: DataFrame, model: Model, least: float, penalty: float = PENALTY)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         labeller = Labeller(shared.value, penalty)
         for batch in slices(batches):
             texts = byte_texts(batch.column(batch.schema.get_field_index("text")))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
 from palisade.llm.batches import byte_texts, slices
+from palisade.llm.caches import held
 from palisade.llm.vocabulary import Words, default_path, shared
 
 TABLE_SIZE = 32_768
@@ -31,7 +32,6 @@ PER_TASK = 4_096
 CACHE_SIZE = 250_000
 LONGEST_KEPT = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
-_BUILT: dict[str, Lengths] = {}
 
 
 class Lengths(dict):
@@ -71,10 +71,7 @@ class Lengths(dict):
 
 
 def lengths(text: str) -> Lengths:
-    if text not in _BUILT:
-        _BUILT.clear()
-        _BUILT[text] = Lengths(text)
-    return _BUILT[text]
+    return held("token_counts", text, lambda: Lengths(text))
 
 
 def frequent_pretokens(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:

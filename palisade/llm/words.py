@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
+from palisade.llm.caches import shared_cache
+
 SHINGLE = 5
 CACHE_SIZE = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -28,7 +30,7 @@ class WordHash(dict):
         return value
 
 
-CACHE = WordHash()
+CACHE = shared_cache(WordHash())
 
 
 def word_hashes(text: bytes) -> np.ndarray:
