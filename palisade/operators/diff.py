@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.blocks import BLOCK_START, FILE_MARKER, block_array
 from palisade.functions.paths import is_ignored
 from palisade.functions.text import LINE_BREAK, let, lines_of, trim
 from palisade.operators.scan import FINDING_COLUMNS, all_hits
@@ -17,7 +18,6 @@ from palisade.operators.suppress import is_suppressed
 from palisade.settings import ScanConfig
 
 # Unified diff syntax and the budgeting texts.
-FILE_MARKER = "diff --git "
 NO_FILE = "/dev/null"
 DEFAULT_BUDGET = 32000
 LEAST_PARTIAL = 500
@@ -26,20 +26,10 @@ OMITTED = "\n\n[... Additional non-critical files omitted for token budget ...]"
 
 # The first character comes before the test of what precedes it: the regex engine then
 # skips from candidate to candidate instead of looking behind at every position.
-_BLOCK_START = r"d(?<=\Ad|[\n\r\x{2028}\x{2029}]d)iff --git "
 _FILE_NAME = r"\+(?<=\A\+|\n\+)\+\+ (?:b/)?([^\n]*?)\r?(?:\n|\z)"
 _HUNK_HEADER = r"@(?<=\A@|\n@)@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
-def _block_array(diff_text: Column) -> Column:
-    """Non-blank blocks with their position in the diff."""
-    numbered = F.transform(
-        F.split(diff_text, _BLOCK_START, -1),
-        lambda b, i: F.struct(i.alias("block_ord"), b.alias("block")),
-    )
-    return F.filter(numbered, lambda x: trim(x["block"]) != "")
-
-
 def _named(name: Column) -> Column:
     return (name != "") & (name != NO_FILE)
 
@@ -47,7 +37,7 @@ def _named(name: Column) -> Column:
 def diff_blocks(diffs: DataFrame, diff_text: str = "diff_text", outer: bool = False) -> DataFrame:
     expand = F.inline_outer if outer else F.inline
     rest = [c for c in diffs.columns if c != diff_text]
-    return diffs.select(*rest, expand(_block_array(F.col(diff_text))))
+    return diffs.select(*rest, expand(block_array(F.col(diff_text))))
 
 
 def diff_files(diffs: DataFrame) -> DataFrame:
@@ -143,8 +133,16 @@ def raw_diff_findings(
     ``keep_clean`` keeps a null row for what yields nothing (a diff, a file, a hunk), so
     that files and clean diffs can be counted in the same pass.
     """
+    blocks = diff_blocks(diffs.select("scan_id", "diff_text"), outer=keep_clean)
+    return raw_block_findings(blocks, config, keep_clean)
+
+
+def raw_block_findings(
+    blocks: DataFrame, config: ScanConfig | None = None, keep_clean: bool = False
+) -> DataFrame:
+    """``raw_diff_findings`` from ``blocks(scan_id, block_ord, block)``."""
     config = config or ScanConfig()
-    blocks = diff_blocks(diffs.select("scan_id", "diff_text"), outer=keep_clean).withColumn(
+    blocks = blocks.select("scan_id", "block_ord", "block").withColumn(
         "file", F.regexp_extract("block", _FILE_NAME, 1)
     )
     scanned = _named(F.col("file")) & ~is_ignored(F.col("file"), config.ignore_paths)
@@ -192,10 +190,17 @@ def scan_diff(
     return dedupe_findings(raw_diff_findings(diffs, config, keep_clean))
 
 
+def scan_blocks(
+    blocks: DataFrame, config: ScanConfig | None = None, keep_clean: bool = False
+) -> DataFrame:
+    """``scan_diff`` of blocks, as ``read_history`` gives them."""
+    return dedupe_findings(raw_block_findings(blocks, config, keep_clean))
+
+
 def _budgeted(diff_text: Column, targets: Column, limit: int) -> Column:
     """The whole walk in one row: targeted blocks, then the others, until one overflows."""
     blocks = F.transform(
-        F.filter(F.split(diff_text, _BLOCK_START, -1), lambda b: trim(b) != ""),
+        F.filter(F.split(diff_text, BLOCK_START, -1), lambda b: trim(b) != ""),
         lambda b: F.concat(F.lit(FILE_MARKER), b),
     )
     flagged = F.transform(

@@ -14,6 +14,7 @@ TIERS = {
     "secret": "Tier 1: Secrets & Shannon Entropy",
     "mcp": "Tier 3: Model Context Protocol (MCP)",
 }
+ALL_TIERS = "all"
 OTHER_TIER = "Tier 2: OWASP Top 10 for LLM"
 PASSING_F1 = 90
 
@@ -51,12 +52,20 @@ def confusion(detected: DataFrame) -> DataFrame:
 
 
 def tiers(detected: DataFrame) -> DataFrame:
-    """Per tier counts; a tier passes without false negatives and positives."""
+    """Counts per tier and of all (``ALL_TIERS``), by grouping sets in one aggregation.
+
+    A tier passes without false negatives and positives."""
     tier = F.when(~F.col("expected_vulnerability"), F.lit(NEGATIVE_TIER))
     for category, name in TIERS.items():
         tier = tier.when(F.col("category") == category, F.lit(name))
-    grouped = detected.groupBy(tier.otherwise(F.lit(OTHER_TIER)).alias("tier")).agg(*_matrix())
-    return grouped.withColumn("passed", (F.col("fp") == 0) & (F.col("fn") == 0))
+    named = detected.withColumn("tier", tier.otherwise(F.lit(OTHER_TIER)))
+    key = F.col("tier")
+    grouped = named.groupingSets([[key], []], key).agg(F.grouping("tier").alias("_all"), *_matrix())
+    return grouped.select(
+        F.when(F.col("_all") == 1, F.lit(ALL_TIERS)).otherwise(F.col("tier")).alias("tier"),
+        *[c for c in grouped.columns if c not in ("tier", "_all")],
+        ((F.col("fp") == 0) & (F.col("fn") == 0)).alias("passed"),
+    )
 
 
 def _share(part: Column, whole: Column) -> Column:

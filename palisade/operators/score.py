@@ -41,6 +41,11 @@ def scan_result(
     """One row per scan from findings that include clean files (``keep_clean=True``)."""
     if scanned_files is None:
         scanned_files = F.count_if(F.col("first_row"))
+    return score_rows(rows, scanned_files, F.lit(threshold_rank(threshold)))
+
+
+def score_rows(rows: DataFrame, scanned_files: Column, threshold: Column) -> DataFrame:
+    """``scan_result`` with the rank of the threshold as an aggregate column."""
     found = F.col("rule_id").isNotNull()
     live = found & ~F.col("suppressed")
     severity = F.col("severity")
@@ -51,6 +56,7 @@ def scan_result(
         *[F.count_if(live & (severity == s)).alias(s) for s in reversed(SEVERITIES)],
         F.coalesce(F.sum(F.when(live, severity_points(severity))), F.lit(0)).alias("_points"),
         F.coalesce(F.max(F.when(live, severity_rank(severity))), F.lit(-1)).alias("_worst"),
+        threshold.alias("_threshold"),
     )
     return totals.select(
         "scan_id",
@@ -59,7 +65,7 @@ def scan_result(
         "suppressed_count",
         *reversed(SEVERITIES),
         F.least(F.lit(MAX_SCORE), F.col("_points")).cast("int").alias("risk_score"),
-        (F.col("_worst") < threshold_rank(threshold)).alias("passed"),
+        (F.col("_worst") < F.col("_threshold")).alias("passed"),
     )
 
 

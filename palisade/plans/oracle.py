@@ -22,7 +22,9 @@ from palisade.functions.prompts import (
 )
 from palisade.functions.text import SPACE_CHARS, re2_regex
 from palisade.operators.diff import LEAST_PARTIAL, OMITTED, TRUNCATED
-from palisade.operators.evaluate import NEGATIVE_TIER, OTHER_TIER, PASSING_F1, TIERS
+from palisade.operators.evaluate import (
+    ALL_TIERS, NEGATIVE_TIER, OTHER_TIER, PASSING_F1, TIERS,
+)
 from palisade.operators.score import HIGH_RISK, MAX_SCORE, MODERATE_RISK, WEIGHTS
 from palisade.operators.suppress import directive_patterns
 from palisade.operators.verdicts import (
@@ -38,7 +40,7 @@ from palisade.plans.reports import (
 )
 from palisade.settings import DEFAULT_IGNORES, IGNORE_FILES, PREFIX, TEST_WORDS
 from palisade.sources.labelled import CASES
-from palisade.sources.planted import FOLDERS, PLANTED
+from palisade.sources.planted import CONFIGS, FOLDERS, PLANTED
 
 
 def q(text: str | None) -> str:
@@ -617,30 +619,30 @@ def listed_patterns() -> str:
             FROM files) WHERE src IS NOT NULL)"""
 
 
-def ignore_files_sql() -> str:
-    """Each path against each pattern of its scan, as the test is worded."""
+def covered_ctes(more: str = "") -> list[str]:
+    """``open_files``: those that no pattern of their scan covers, each path against each pattern
+    as the test is worded. ``more`` adds (scan_id, pattern) rows."""
     norm = "regexp_replace(replace(file_path, '\\', '/'), '^\\./', '')"
-    return with_(
-        [
-            *FILES,
-            listed_patterns(),
-            f"""worded AS (
-              SELECT scan_id, clean, regexp_replace(regexp_replace(clean, '/\\*\\*$', ''), '/$', '') AS folder
-              FROM (SELECT DISTINCT scan_id, trim(regexp_replace(replace(pattern, '\\', '/'), '^\\./', ''), {SPACES}) AS clean
-                    FROM listed WHERE pattern <> '' AND NOT starts_with(pattern, '#'))
-              WHERE clean <> '')""",
-            f"""covered AS (
-              SELECT DISTINCT scan_id, file_path
-              FROM (SELECT scan_id, file_path, {norm} AS norm FROM files) JOIN worded USING (scan_id)
-              WHERE starts_with(clean, '*.') AND ends_with(norm, substr(clean, 2))
-                OR norm = folder OR starts_with(norm, folder || '/')
-                OR contains(norm, '/' || folder || '/') OR ends_with(norm, '/' || folder))""",
-            "open_files AS (SELECT * FROM files ANTI JOIN covered USING (scan_id, file_path))",
-            texts_from("open_files"),
-            *finding_ctes(),
-        ],
-        f"SELECT {FINDING}, suppressed FROM found",
-    )
+    return [
+        listed_patterns(),
+        f"""worded AS (
+          SELECT scan_id, clean, regexp_replace(regexp_replace(clean, '/\\*\\*$', ''), '/$', '') AS folder
+          FROM (SELECT DISTINCT scan_id, trim(regexp_replace(replace(pattern, '\\', '/'), '^\\./', ''), {SPACES}) AS clean
+                FROM (SELECT scan_id, pattern FROM listed WHERE pattern <> '' AND NOT starts_with(pattern, '#') {more}))
+          WHERE clean <> '')""",
+        f"""covered AS (
+          SELECT DISTINCT scan_id, file_path
+          FROM (SELECT scan_id, file_path, {norm} AS norm FROM files) JOIN worded USING (scan_id)
+          WHERE starts_with(clean, '*.') AND ends_with(norm, substr(clean, 2))
+            OR norm = folder OR starts_with(norm, folder || '/')
+            OR contains(norm, '/' || folder || '/') OR ends_with(norm, '/' || folder))""",
+        "open_files AS (SELECT * FROM files ANTI JOIN covered USING (scan_id, file_path))",
+        texts_from("open_files"),
+    ]
+
+
+def ignore_files_sql() -> str:
+    return with_([*FILES, *covered_ctes(), *finding_ctes()], f"SELECT {FINDING}, suppressed FROM found")
 
 
 # Fixed width patterns for the rules that look around: what they find must be the same.
@@ -709,6 +711,74 @@ def function_diff_sql() -> str:
     )
 
 
+def history_sql() -> str:
+    """Whole histories as one text per source, cut as any diff; the commit is the last one named."""
+    commit = "list_extract(regexp_extract_all(p, '(?m)^commit ([0-9a-f]{7,64})', 1), -1)"
+    return with_(
+        [
+            *DIFFS,
+            f"""histories AS (
+              SELECT source AS scan_id, string_agg(CASE WHEN doc_id % 2 = 0 THEN 'commit ' || md5('h' || doc_id)
+                || {NL} ELSE '' END || diff_text || {NL}, '' ORDER BY doc_id) AS t
+              FROM (SELECT scan_id AS sid, diff_text FROM diffs) JOIN documents ON sid = source || '/' || doc_id
+              GROUP BY source)""",
+            """cut AS (
+              SELECT scan_id, unnest(ss) AS p, unnest(range(0, len(ss))) AS block_ord
+              FROM (SELECT scan_id, string_split_regex(t, '(?m)^diff --git ') AS ss FROM histories))""",
+            f"""told AS (
+              SELECT *, last_value({commit} IGNORE NULLS) OVER (PARTITION BY scan_id ORDER BY block_ord
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS commit FROM cut)""",
+        ],
+        f"""SELECT scan_id, CAST(block_ord AS INTEGER) AS block_ord, coalesce(commit, '') AS commit,
+              CAST(length(p) AS INTEGER) AS n_chars, md5(p) AS digest
+            FROM told WHERE trim(p, {SPACES}) <> ''""",
+    )
+
+
+def configs_sql() -> str:
+    """Every scan under the settings that its configuration is known to mean."""
+    rows = ",\n".join(
+        f"({i}, {q(','.join(c.disabled))}, {q(c.severity_rule)}, {q(c.severity)}, "
+        f"{'NULL' if c.min_entropy is None else c.min_entropy}, {q(c.threshold or 'high')}, {q(','.join(c.ignores))})"
+        for i, c in enumerate(CONFIGS)
+    )
+    known = f"known(k, off, changed, severity, least, threshold, folders) AS (VALUES {rows})"
+    own = values("own", "rule_id, own_least", [(r.rule_id, str(r.min_entropy)) for r in RULES if r.min_entropy is not None])
+    open_rules = tuple(replace(r, min_entropy=0.0) if r.min_entropy is not None else r for r in RULES)
+    points = " ".join(f"WHEN {q(s)} THEN {w}" for s, w in WEIGHTS.items())
+    rank = " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(SEVERITIES))
+    return with_(
+        [
+            *FILES,
+            known,
+            own,
+            f"""settings AS (
+              SELECT scan_id, known.* FROM (SELECT source AS scan_id, min(doc_id) AS d FROM documents GROUP BY source)
+              JOIN known ON d % {len(CONFIGS)} = k)""",
+            *covered_ctes("UNION ALL SELECT scan_id, unnest(string_split(folders, ',')) FROM settings"),
+            *finding_ctes(open_rules),
+            f"""effective AS (
+              SELECT f.scan_id, CASE WHEN s.changed = f.rule_id THEN s.severity ELSE f.severity END AS severity, f.suppressed
+              FROM found f JOIN settings s USING (scan_id) LEFT JOIN own USING (rule_id)
+              WHERE NOT list_contains(string_split(s.off, ','), f.rule_id)
+                AND (own_least IS NULL OR f.entropy >= coalesce(s.least, CAST(own_least AS DOUBLE))))""",
+            values("written", "k, n_files", [(i, len(c.files)) for i, c in enumerate(CONFIGS)]),
+            """counted AS (
+              SELECT s.scan_id, coalesce(n, 0) + n_files AS scanned_files FROM settings s JOIN written USING (k)
+              LEFT JOIN (SELECT scan_id, count(*) AS n FROM texts GROUP BY scan_id) USING (scan_id))""",
+        ],
+        f"""SELECT scan_id, coalesce(scanned_files, 0) AS scanned_files,
+              count(*) FILTER (WHERE NOT suppressed) AS findings_count,
+              count(*) FILTER (WHERE suppressed) AS suppressed_count,
+              {', '.join(f"count(*) FILTER (WHERE NOT suppressed AND e.severity = {q(s)}) AS {s}" for s in reversed(SEVERITIES))},
+              CAST(least({MAX_SCORE}, coalesce(sum(CASE WHEN NOT suppressed THEN CASE e.severity {points} END END), 0)) AS INTEGER) AS risk_score,
+              coalesce(max(CASE WHEN NOT suppressed THEN CASE e.severity {rank} END END), -1)
+                < any_value(CASE s.threshold {rank} END) AS passed
+            FROM settings s LEFT JOIN counted USING (scan_id) LEFT JOIN effective e USING (scan_id)
+            GROUP BY scan_id, scanned_files""",
+    )
+
+
 def ignore_patterns() -> str:
     fixed = [(p, 0, i) for i, p in enumerate(DEFAULT_IGNORES)]
     fixed += [(p, 1, i) for i, p in enumerate(("docs/", "dist/**"))]
@@ -1042,6 +1112,10 @@ ORACLES: dict[str, str] = {
     "include_tests": with_(FILES, "SELECT scan_id, file_path FROM files WHERE NOT "
                            + ignored("file_path", _WITHOUT_TESTS)),
     "scan_with_ignore_files": ignore_files_sql(),
+    "scan_configs": configs_sql(),
+    "history_blocks": history_sql(),
+    "findings_table": with_(SCAN, f"""SELECT {FINDING}, suppressed FROM found
+        WHERE category = 'secret' OR category = 'mcp' AND NOT suppressed"""),
     "disable_rules": with_(SCAN, f"SELECT {FINDING} FROM found WHERE rule_id NOT IN ({_DISABLED})"),
     "scan_files": with_(SCAN, f"SELECT {FINDING}, entropy, suppressed FROM found"),
     "active_findings": with_(SCAN, f"SELECT {FINDING} FROM found WHERE NOT suppressed"),
@@ -1112,7 +1186,8 @@ ORACLES: dict[str, str] = {
         FROM found WHERE NOT suppressed GROUP BY scan_id, file"""),
     "detector_confusion": with_(DETECTED, f"SELECT {MATRIX} FROM detected"),
     "detector_tiers": with_(DETECTED, f"""SELECT *, fp = 0 AND fn = 0 AS passed FROM (
-        SELECT {_TIER} AS tier, {MATRIX} FROM detected GROUP BY 1)"""),
+        SELECT {_TIER} AS tier, {MATRIX} FROM detected GROUP BY 1
+        UNION ALL SELECT {q(ALL_TIERS)}, {MATRIX} FROM detected)"""),
     "detector_metrics": with_(DETECTED, f"""SELECT total, tp, fp, tn, fn, round(p, 1) AS "precision",
         round(r, 1) AS recall, round(f, 1) AS f1, round(f, 1) >= {PASSING_F1} AS passed
       FROM (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM (

@@ -20,7 +20,7 @@ from palisade.functions.prompts import (
     is_safe_expression, is_untrusted_expression, placeholders,
 )
 from palisade.functions.text import SPACE_CHARS, java_regex, lines_of
-from palisade.operators import diff, evaluate, scan, score, suppress, verdicts
+from palisade.operators import configured, diff, evaluate, scan, score, suppress, verdicts
 from palisade.operators.detect import is_python
 from palisade.plans import reports
 from palisade.plans.store import shared_folder
@@ -181,6 +181,18 @@ def parse_verdicts(spark, folder):
     )
 
 
+def history_blocks(spark, folder):
+    """Histories written as one text file per source and read back in as many tasks as they are long."""
+    base = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    texts = derived.histories(spark, folder).repartition("scan_id").sortWithinPartitions("scan_id", "doc_id")
+    texts.select("scan_id", "text").write.partitionBy("scan_id").text(base)
+    scan = F.regexp_extract("_metadata.file_path", "/scan_id=([^/]*)/", 1)
+    return corpus.read_history(spark, base, F.url_decode(scan)).select(
+        "scan_id", "block_ord", F.coalesce("commit", F.lit("")).alias("commit"),
+        F.length("block").alias("n_chars"), F.md5("block").alias("digest"),
+    )
+
+
 # --- diffs --------------------------------------------------------------------
 
 
@@ -252,6 +264,12 @@ def scan_with_ignore_files(spark, folder):
     return found.select(*FINDING_COLUMNS, "suppressed")
 
 
+def scan_configs(spark, folder):
+    """Totals and gate of each scan under its own configuration."""
+    files = derived.files(spark, folder).unionByName(derived.config_files(spark, folder))
+    return configured.configured_result(configured.scan_configured(files))
+
+
 def include_tests(spark, folder):
     files = derived.files(spark, folder)
     return scan.filter_ignored(files, IGNORING.including_tests()).select("scan_id", "file_path")
@@ -514,6 +532,16 @@ def markdown_report(spark, folder):
     return reports.markdown_documents(results, described, notes, PIECE)
 
 
+def findings_table(spark, folder):
+    """The stored findings of two categories, one of which has been written again without what is
+    suppressed."""
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    found = _findings(spark, folder)
+    reports.write_findings(found, path)
+    reports.write_findings(scan.active(found).where(F.col("category") == "mcp"), path)
+    return reports.read_findings(spark, path, "secret", "mcp").select(*FINDING_COLUMNS, "suppressed")
+
+
 def annotations(spark, folder):
     return reports.annotations(_described(spark, folder))
 
@@ -580,6 +608,8 @@ QUERIES: dict[str, Query] = {
     "budget_diff": budget_diff,
     "filter_ignored": filter_ignored,
     "scan_with_ignore_files": scan_with_ignore_files,
+    "scan_configs": scan_configs,
+    "history_blocks": history_blocks,
     "include_tests": include_tests,
     "disable_rules": disable_rules,
     "scan_files": scan_files,
@@ -617,6 +647,7 @@ QUERIES: dict[str, Query] = {
     "sarif_rules": sarif_rules,
     "sarif_report": sarif_report,
     "markdown_report": markdown_report,
+    "findings_table": findings_table,
     "annotations": annotations,
     "review_comments": review_comments,
     "verdict_comments": verdict_comments,

@@ -54,6 +54,9 @@ class ScanConfig:
             self.function_rules, (), self.disabled_rules, self.severity_overrides, None
         )
 
+    def with_least_entropy(self, bits: float) -> ScanConfig:
+        return replace(self, min_entropy=bits)
+
     def including_tests(self) -> ScanConfig:
         kept = tuple(p for p in self.ignore_paths if not any(w in p for w in TEST_WORDS))
         return replace(self, ignore_paths=kept)

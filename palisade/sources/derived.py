@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade.sources.corpus import spread
 from palisade.sources.labelled import CASES
-from palisade.sources.planted import FOLDERS, PLANTED
+from palisade.sources.planted import CONFIGS, FOLDERS, PLANTED
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,27 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def config_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Configuration files of the scans, as rows of ``files``."""
+    first = table(spark, folder, "documents").groupBy(F.col("source").alias("scan_id")).agg(
+        F.min("doc_id").alias("d")
+    )
+    texts = [[{"file_path": n, "content": t} for n, t in c.files] for c in CONFIGS]
+    listed = F.from_json(F.lit(json.dumps(texts)), "array<array<struct<file_path:string,content:string>>>")
+    return first.select("scan_id", F.inline(F.get(listed, (F.col("d") % len(CONFIGS)).cast("int"))))
+
+
+def histories(spark: SparkSession, folder: str) -> DataFrame:
+    """``(scan_id, doc_id, text)``: the diffs of a source in order, every other one with a commit line."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    doc = F.col("doc_id")
+    commit = F.concat(F.lit("commit "), F.md5(F.concat(F.lit("h"), doc.cast("string"))), F.lit("\n"))
+    return docs.select(
+        F.col("source").alias("scan_id"), "doc_id",
+        F.concat(F.when(doc % 2 == 0, commit).otherwise(F.lit("")), diff_text(doc, F.col("text"))).alias("text"),
+    )
+
+
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """A labelled case per document: its code followed by the document's text."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))

@@ -111,3 +111,35 @@ PLANTED: tuple[Planted, ...] = tuple(Planted(c.file_path, "", c.code) for c in C
 
 # Leading folders, by document: some are pruned or ignored, most are not.
 FOLDERS = ("", "pkg/", "dist/", "", "web/vendor/", "", ".cache/", "", "tests/", "", "benchmark/")
+
+
+@dataclass(frozen=True)
+class Config:
+    """Configuration files of a scan, (name, text) each, and the settings that they mean."""
+
+    files: tuple[tuple[str, str], ...]
+    disabled: tuple[str, ...] = ()
+    severity_rule: str | None = None
+    severity: str | None = None
+    min_entropy: float | None = None
+    threshold: str | None = None
+    ignores: tuple[str, ...] = ()
+
+
+_RC, _PLAIN, _LAST = f".{PREFIX}rc.json", f".{PREFIX}rc", f"{PREFIX}.config.json"
+CONFIGS = (
+    Config(()),
+    Config(((_RC, '{"disabledRules": ["AIS-002", "SEC-001"], "failThreshold": "critical"}'),),
+           disabled=("AIS-002", "SEC-001"), threshold="critical"),
+    # broken, so the next one counts; the last is never looked at
+    Config(((_RC, '{"disabledRules": ["AIS-003"'), (_PLAIN, '{"minEntropy": 4.5, "ignorePaths": ["pkg/**", "tools"]}'),
+            (_LAST, '{"minEntropy": 1}')),
+           min_entropy=4.5, ignores=("pkg", "tools")),
+    Config(((_LAST, '{"severityOverrides": {"MCP-004": "info", "nothing": "low"}, "disabledRules": "AIS-002"}'),),
+           severity_rule="MCP-004", severity="info"),
+    # parsable but no object: nothing is set, and the next one is not looked at
+    Config(((_RC, "3"), (_PLAIN, '{"disabledRules": ["AIS-002"]}'))),
+    Config(((_PLAIN, '{"minEntropy": 2, "failThreshold": "info", "disabledRules": ["MCP-001", 7], "ignorePaths": null}'),),
+           disabled=("MCP-001",), min_entropy=2.0, threshold="info"),
+    Config(((_PLAIN, '{"minEntropy": "3", "failThreshold": "", "severityOverrides": null}'),)),
+)
