@@ -10,8 +10,8 @@ texts every ``<``, backslashes, ``|`` gets one more backslash, so no control str
 and taking one away gives the text back. (Roles are escaped in the same way, and a newline or
 backslash inside a role as ``\\n`` and ``\\\\``.)
 
-Null text or role counts as empty. Turns are ordered by (turn, role, text), null turns first; rows
-without a ``conv_id`` form one conversation of their own. Other columns are ignored; an empty table
+Null text or role counts as empty. Turns are ordered by (turn, role, text), null turns first; each row
+without a ``conv_id`` is a conversation of its own. Other columns are ignored; an empty table
 gives an empty result. A conversation is one value by the nature of the task; nothing larger than
 one conversation is gathered.
 """
@@ -121,9 +121,12 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> D
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(
+    key = F.col("conv_id").cast("long").alias("conv_id")
+    grouped = conversations.where(F.col("conv_id").isNotNull()).groupBy(key).agg(
         F.array_sort(F.collect_list(turn)).alias("turns")
     )
+    alone = conversations.where(F.col("conv_id").isNull()).select(key, F.array(turn).alias("turns"))
+    grouped = grouped.unionByName(alone)
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(vocabulary.value)

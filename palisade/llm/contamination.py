@@ -5,8 +5,9 @@ MinHash signature of ``SPREAD`` * 2^p bins (documents are partitioned by this si
 item has one signature for each class). A document is a candidate for an item when any bin agrees.
 A shingle of a document of n shingles stays in its signature with a chance of at least
 exp(-n / bins) >= exp(-1 / SPREAD) = 0.88, however long the document is; an item of eleven shingles
-of which three quarters occur is missed with a chance below 10^-7. Verification: the exact share
-of the item's shingles that the document has.
+of which three quarters occur is missed with a chance below 10^-7. Items of ``FEW`` shingles or
+fewer need no luck: all their shingles are looked up in the whole set of the document. Verification:
+the exact share of the item's shingles that the document has.
 
 Items are read in blocks of at most ``block_shingles`` shingles (or one item); each block is
 broadcast, so its size is bounded, and held against all documents in one scan. Texts are never
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.batches import byte_texts, slices
-from palisade.llm.store import saved, text_key
+from palisade.llm.store import private, saved, text_key
 from palisade.llm.words import shingle_set, word_hashes
 
 PERCENT = 75
 SPREAD_BITS = 3
+#: Items with so few shingles are found by each of them.
+FEW = 12
 BLOCK_SHINGLES = 1_000_000
 SCHEMA = "doc_id long, row long, item_id long, n_item_shingles long, n_shared long"
 
@@ -54,6 +57,11 @@ class Items:
     def __init__(self, ids: list[int | None], sets: list[np.ndarray]):
         self.ids, self.sets = ids, sets
         self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        few = [i for i, s in enumerate(sets) if len(s) <= FEW]
+        owners = np.repeat(np.array(few, dtype=np.int64), [len(sets[i]) for i in few])
+        values = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in few)])
+        order = np.argsort(values, kind="stable")
+        self.short = values[order], owners[order]
 
     def signatures(self, klass: int) -> tuple[np.ndarray, np.ndarray]:
         if klass not in self.index:
@@ -70,8 +78,12 @@ class Items:
         own = signature(shingles, klass)
         first = np.searchsorted(values, own, side="left")
         last = np.searchsorted(values, own, side="right")
-        hit = np.flatnonzero(last > first)
-        return np.unique(np.concatenate([owners[first[i] : last[i]] for i in hit])) if len(hit) else hit
+        found = [owners[first[i] : last[i]] for i in np.flatnonzero(last > first)]
+        values, owners = self.short
+        if len(values):
+            at = np.minimum(np.searchsorted(shingles, values), len(shingles) - 1)
+            found.append(owners[shingles[at] == values])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
 
     def found(self, shingles: np.ndarray) -> list[tuple[int | None, int, int]]:
         """(item id, its shingles, how many of them occur) of items that occur in full measure."""
@@ -155,6 +167,7 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, block_shingles: int = B
 
 def without_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents in which no item was ``found`` (by ``contaminated_rows``); id and text tell rows apart."""
-    hits = found.select(F.col("doc_id").alias("hit"), F.col("row").alias("hit_row")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("hit")) & (text_key() == F.col("hit_row"))
+    hit, hit_row = private("hit", "row")
+    hits = found.select(F.col("doc_id").alias(hit), F.col("row").alias(hit_row)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(hit)) & text_key().eqNullSafe(F.col(hit_row))
     return docs.join(hits, same, "left_anti")

@@ -64,4 +64,60 @@ SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_l
 FROM linked JOIN subtree USING (path)
 """
 
-ORACLES = {"op11_hard_negatives": HARD_NEGATIVES, "op12_prefix_trie": PREFIX_TRIE}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def shingle_rows(name: str, table: str, key: str) -> str:
+    """CTEs: ``name`` (key, n, g) has a row for each distinct 5-word shingle of each text."""
+    return f"""
+{name}_words AS (
+  SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM {table}
+), {name}_sets AS (
+  SELECT {key}, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM {name}_words
+), {name} AS (SELECT {key}, len(s) AS n, unnest(s) AS g FROM {name}_sets)"""
+
+
+DECONTAMINATION = f"""
+WITH {shingle_rows("held", "documents", "doc_id")}, {shingle_rows("asked", "benchmark", "item_id")}
+SELECT doc_id, item_id, any_value(a.n)::BIGINT AS n_item_shingles, count(*) AS n_shared
+FROM held h JOIN asked a USING (g) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(a.n)
+"""
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE {shingle_rows("held", "documents", "doc_id")}, links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM held a JOIN held b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM held_sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) USING (doc_id)
+"""
+
+CHAT_FORMAT = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), told AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*\|')) AS text_chars,
+    length(marked) + len(regexp_extract_all(marked, '<\\*\|')) AS role_chars
+  FROM (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS marked FROM given)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|turn|>') + role_chars + 1 + text_chars + length('<|end|>') + 1)::BIGINT AS formatted_chars
+FROM told GROUP BY conv_id
+"""
+
+ORACLES = {
+    "op1_decontamination": DECONTAMINATION,
+    "op3_ngram_jaccard": NGRAM_JACCARD,
+    "op4_chat_format": CHAT_FORMAT,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_prefix_trie": PREFIX_TRIE,
+}

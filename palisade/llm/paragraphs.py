@@ -1,7 +1,8 @@
 """Substring dedup: paragraphs that come again in other documents.
 
-Near paragraphs. A paragraph is what stands between newlines; those of at least ``MIN_WORDS`` words
-are reduced to a set of 5-word shingles and a MinHash of ``BANDS`` x ``ROWS`` values. Paragraphs
+Near paragraphs. A paragraph is what stands between newlines; those of at least ``least`` words
+(``MIN_WORDS``: shorter ones are headings, stock phrases and list items, which clean texts share) are
+reduced to a set of 5-word shingles and a MinHash of ``BANDS`` x ``ROWS`` values. Paragraphs
 that agree in a band are joined and verified by exact Jaccard (0.75 or more): a pair at the
 threshold meets in some band with a chance of 99.6 %. Colliding pairs are first held against a
 lower bound of their difference: where the parities of two sets, counted over ``64 * PARITIES``
@@ -12,11 +13,7 @@ different classes against each other, so that no colliding pair is left out and
 linear work. Components of the links are the clusters; in each, the paragraphs of the first
 document (least id) stay and those of later documents go.
 
-Passages inside paragraphs. What is left is cut at sentence ends; equal sentences form groups, in
-which those of the first document stay. A run of neighbouring sentences that all came before, of
-at least ``MIN_WORDS`` words, goes; shorter runs (stock phrases, licence lines) stay.
-
-Passages across layout. The words of a whole text, newlines ignored, are looked at in every run of
+Passages. The words of a whole text, newlines ignored, are looked at in every run of
 ``PASSAGE`` words; a run that an earlier document has goes, wherever its lines and sentences end, and
 runs that overlap or touch are one span. So every equal passage of at least ``PASSAGE`` words is
 found to its full length. To compare so many runs, each gets an *anchor*: of the 26 runs of
@@ -25,29 +22,28 @@ runs have equal anchors; so only runs whose anchor came in more than one documen
 which may let others through) are compared, by 64-bit hash. A run that meets a paragraph cut as a
 near copy is not what stays of a passage.
 
-Repeats inside one document are left alone. Texts are never shuffled by the search; sentences,
-anchors and the runs of shared anchors are, as one hash each. Null or empty texts have no paragraphs. A document is an id with a
+Repeats inside one document are left alone. Texts are never shuffled by the search; paragraphs,
+anchors and the runs of shared anchors are, as hashes. Null or empty texts have no paragraphs. A document is an id with a
 text: equal rows count as one, rows of one id with different texts as several, in order of a hash of the
 text; rows without an id come last of all. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from palisade.llm import blocks
 from palisade.llm.batches import byte_texts, slices
 from palisade.llm.components import components
 from palisade.llm.jaccard import crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified
-from palisade.llm.store import release, saved, text_key
+from palisade.llm.store import private, release, saved, text_key
 from palisade.llm.words import CACHE, SHINGLE, distinct, mixed, windows, word_hashes
 
 MIN_WORDS = 25
@@ -61,11 +57,10 @@ LATER = "(doc > first OR row <> first_row)"
 #: Words of 64 bits in which a paragraph's bucket parities are kept.
 PARITIES = 8
 PARITY = [f"parity{k}" for k in range(PARITIES)]
-SENTENCE_END = re.compile(r"(?<=[.!?])[^\S\n]+")
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-UNIT = "doc long, row long, paragraph int, sentence int, start int, end int, n_words int, hash long, n int, " + ", ".join(
+UNIT = "doc long, row long, paragraph int, start int, end int, n_words int, hash long, n int, bands array<long>, " + ", ".join(
     f"{c} long" for c in PARITY
 )
 
@@ -78,30 +73,21 @@ def lines(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
-def sentences(line: str) -> Iterator[tuple[int, int]]:
-    at = 0
-    for found in SENTENCE_END.finditer(line):
-        yield at, found.start()
-        at = found.end()
-    if at < len(line):
-        yield at, len(line)
-
-
-def line_sets(text: bytes) -> Iterator[tuple[int, np.ndarray | None]]:
-    """(words, shingle set) of each line; no set for one of fewer than ``MIN_WORDS`` words."""
+def line_sets(text: bytes, least: int = MIN_WORDS) -> Iterator[tuple[int, np.ndarray | None]]:
+    """(words, shingle set) of each line; no set for one of fewer than ``least`` words."""
     words = [line.split() for line in text.lower().split(b"\n")]
     hashes = np.fromiter(map(CACHE.__getitem__, chain.from_iterable(words)), np.uint64)
     shingles = windows(hashes, SHINGLE)
     at = 0
     for line in words:
         n = len(line)
-        yield n, distinct(shingles[at : at + n - SHINGLE + 1]) if n >= MIN_WORDS else None
+        yield n, distinct(shingles[at : at + n - SHINGLE + 1]) if n >= max(least, SHINGLE) else None
         at += n
 
 
-def paragraph_sets(text: bytes) -> list[np.ndarray]:
-    """Shingle sets of the paragraphs of at least ``MIN_WORDS`` words."""
-    return [s for _, s in line_sets(text) if s is not None]
+def paragraph_sets(text: bytes, least: int = MIN_WORDS) -> list[np.ndarray]:
+    """Shingle sets of the paragraphs of at least ``least`` words."""
+    return [s for _, s in line_sets(text, least) if s is not None]
 
 
 def joined_runs(values: np.ndarray, step: int, times: int) -> np.ndarray:
@@ -158,23 +144,25 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """Paragraphs (sentence null; hash: their node, n: shingles), sentences (hash of words), anchors (hash only)."""
+def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """Paragraphs (hash: their node) and anchors (hash only) of each text.
+
+    What hangs on a paragraph's words alone (n: shingles, bands, parities) is given with the first
+    copy in a task and is null with the others.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches):
             out: list[tuple] = []
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                sets = line_sets((text or "").encode())
+                sets = line_sets((text or "").encode(), least)
                 for p, ((at, line), (n_words, s)) in enumerate(zip(lines(text or ""), sets)):
                     if s is not None:
-                        found = (at, at + len(line), n_words, node_of(s), len(s), *parities(s))
-                        out.append((doc, row, p, None, *found))
-                    for k, (start, end) in enumerate(sentences(line)):
-                        own = line[start:end].encode().lower().split()
-                        if own:
-                            value = xxh3_64_intdigest(b" ".join(own)) - (1 << 63)
-                            out.append((doc, row, p, k, at + start, at + end, len(own), value, None, *NO_PARITY))
+                        node = node_of(s)
+                        own = KNOWN if node in seen else (len(s), bands(s), *parities(s))
+                        seen.add(node)
+                        out.append((doc, row, p, at, at + len(line), n_words, node, *own))
             columns = list(zip(*out)) or [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
             yield anchor_rows(batch)
@@ -206,35 +194,6 @@ def in_many(rows: DataFrame, *keys: str) -> DataFrame:
     return met.join(least, [*keys])
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """(shingle: band value, node, n, place): bands of paragraphs, each node once in a task."""
-
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches):
-            keys, nodes, sizes = [], [], []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                for s in paragraph_sets(text or b""):
-                    node = node_of(s)
-                    if node not in seen:
-                        seen.add(node)
-                        keys.append(bands(s))
-                        nodes.append(node)
-                        sizes.append(len(s))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys)),
-                        pa.array(np.repeat(np.array(nodes, dtype=np.int64), BANDS)),
-                        pa.array(np.repeat(np.array(sizes, dtype=np.int32), BANDS)),
-                        pa.array(np.zeros(len(keys) * BANDS, dtype=np.int32)),
-                    ],
-                    ["shingle", "node", "n", "place"],
-                )
-
-    return docs.select("text").mapInArrow(band, "shingle long, node long, n int, place int")
-
-
 def plausible(pairs: DataFrame, parity: DataFrame) -> DataFrame:
     """The ``pairs`` that pass the parity bound."""
     columns = [F.struct("n", *PARITY).alias(c) for c in "xy"]
@@ -242,52 +201,38 @@ def plausible(pairs: DataFrame, parity: DataFrame) -> DataFrame:
     return saved(pairs.join(one, "a").join(two, "b").where(may_repeat("x", "y")).select("a", "b"))
 
 
-def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def paragraph_classes(docs: DataFrame, paragraphs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(node, root) of the paragraphs that have a near one."""
     nodes = saved(
         paragraphs.groupBy(F.col("hash").alias("node")).agg(
-            (-F.count("*")).alias("rank"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in PARITY)
+            (-F.count("*")).alias("rank"), F.max("n").alias("n"), F.max("bands").alias("bands"),
+            *(F.max(c).alias(c) for c in PARITY),
         )
     )
-    parity = nodes.drop("rank")
-    shared = saved(shared_prefixes(band_rows(docs)).join(nodes.select("node", "rank"), "node"))
+    parity = nodes.select("node", "n", *PARITY)
+    banded = nodes.select(F.explode("bands").alias("shingle"), "node", "n", F.lit(0).alias("place"), "rank")
+    shared = saved(shared_prefixes(banded))
     release()
+    sets = partial(paragraph_sets, least=least)
     near = saved(nearest_pairs(shared, ("rank", "n"), same_length))
     hopeful = plausible(near, parity)
-    links = verified(hopeful, docs, paragraph_sets)
+    links = verified(hopeful, docs, sets)
     met = crossing_pairs(shared, components(links), may_repeat, lambda rows: rows.join(parity.drop("n"), "node"))
     crossing = saved(met.join(near, ["a", "b"], "left_anti"))
     release(nodes, shared, near, hopeful, met)
-    return components(links.union(verified(crossing, docs, paragraph_sets)))
+    return components(links.union(verified(crossing, docs, sets)))
 
 
-def repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """Paragraph rows of clusters that lie in more than one document, with ``first`` of them."""
-    classes = paragraph_classes(docs, paragraphs)
+    classes = paragraph_classes(docs, paragraphs, least)
     labelled = saved(
-        paragraphs.drop(*PARITY).join(classes.withColumnRenamed("node", "hash"), "hash", "left")
+        paragraphs.drop("n", "bands", *PARITY).join(classes.withColumnRenamed("node", "hash"), "hash", "left")
         .withColumn("root", F.coalesce("root", "hash"))
     )
     return in_many(labelled, "root").select("doc", "row", "paragraph", "start", "end", "n_words", "first", "first_row")
 
 
-def repeated_sentences(rows: DataFrame) -> DataFrame:
-    """Runs (doc, row, paragraph, start, end, n_words, first) of sentences that earlier documents have."""
-    later = in_many(rows, "hash", "n_words").where(LATER)
-    # a sentence's number in its paragraph tells its neighbours; runs do not cross paragraphs
-    island = F.col("sentence") - F.row_number().over(Window.partitionBy("doc", "row", "paragraph").orderBy("sentence"))
-    runs = later.dropDuplicates(["doc", "row", "start"]).withColumn("island", island)
-    return (
-        runs.groupBy("doc", "row", "paragraph", "island")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"),
-            F.sum("n_words").cast("int").alias("n_words"), F.min("first").alias("first"),
-        )
-        .where(F.col("n_words") >= MIN_WORDS)
-        .drop("island")
-    )
-
-
 def anchor_filter(shared: DataFrame) -> np.ndarray:
     """Bits of the anchors in ``shared`` (hash)."""
     least, most = FILTER_BITS
@@ -360,75 +305,78 @@ def repeated_passages(docs: DataFrame, anchor: DataFrame, gone: DataFrame) -> Da
     )
 
 
-def outside(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """The spans of ``inner`` that lie in none of ``outer``'s."""
-    spans = outer.select(F.col("doc").alias("d"), F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
-    same = (F.col("doc") == F.col("d")) & (F.col("row") == F.col("r"))
-    inside = same & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))
-    return inner.join(spans, inside, "left_anti")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, paragraph, start, end, n_words, first_doc_id, kind, removed, row) of repeated passages.
 
     ``removed`` is false for the paragraphs of a cluster's first document. Spans are in code points.
-    ``row`` is the ``text_key`` of the text in which the span lies.
+    ``row`` is the ``text_key`` of the text in which the span lies. Paragraphs of fewer than
+    ``least`` words (``SHINGLE`` at least) are not compared as paragraphs.
     """
-    found = saved(units(docs))
-    paragraphs = found.where("paragraph IS NOT NULL AND sentence IS NULL").drop("sentence")
-    near = saved(repeated_paragraphs(docs, paragraphs))
+    found = saved(units(docs, least))
+    paragraphs = found.where("paragraph IS NOT NULL")
+    near = saved(repeated_paragraphs(docs, paragraphs, least))
     gone = near.where(LATER).select("doc", "row", "paragraph").distinct()
-    left = found.where("sentence IS NOT NULL").join(gone, ["doc", "row", "paragraph"], "left_anti")
     anchor = found.where("paragraph IS NULL").select("doc", "row", "hash")
-    passages = saved(repeated_passages(docs, anchor, gone))
-    runs = outside(repeated_sentences(left), passages).select(passages.columns).union(passages)
+    passages = repeated_passages(docs, anchor, gone)
     key = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     columns = [
         key("doc").alias("doc_id"), "paragraph", "start", "end", "n_words", key("first").alias("first_doc_id"),
     ]
     return near.select(*columns, F.lit("paragraph").alias("kind"), F.expr(LATER).alias("removed"), "row").union(
-        runs.select(*columns, F.lit("passage").alias("kind"), F.lit(True).alias("removed"), "row")
+        passages.select(*columns, F.lit("passage").alias("kind"), F.lit(True).alias("removed"), "row")
     )
 
 
 def cut_text(text: str | None, spans: list | None) -> str | None:
     if not spans:  # Spark calls the function before it looks at the condition
         return text
-    pieces, at = [], 0
-    for span in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if span["start"] > at:
-            pieces.append(text[at : span["start"]])
-        at = max(at, span["end"])
-    pieces.append(text[at:])
-    return re.sub(r"\n{2,}", "\n", "".join(pieces)).strip("\n")
+    merged: list[list[int]] = []
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    pieces, at, last = [], 0, "\n"
+    for start, end in merged:
+        pieces.append(text[at:start])
+        last = text[start - 1] if start > at else last
+        # a cut that takes whole lines takes the end of the last of them along
+        at = end + 1 if last == "\n" and text[end : end + 1] == "\n" else end
+    left = "".join(pieces) + text[at:]
+    return left.removesuffix("\n") if merged[-1][1] == len(text) and last == "\n" else left
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with removed spans cut out; documents of which no word is left are left out.
 
+    Nothing outside the spans is changed, but that a cut of whole lines takes one line end along.
+
     ``n_chars``, where there is one, is counted anew for texts that were cut.
     """
+    cut_id, cut_row, cut_spans = private("id", "row", "spans")
     spans = (
         found.where("removed")
-        .groupBy(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row"))
-        .agg(F.collect_set(F.struct("start", "end")).alias("cut_spans"))
+        .groupBy(F.col("doc_id").alias(cut_id), F.col("row").alias(cut_row))
+        .agg(F.collect_set(F.struct("start", "end")).alias(cut_spans))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (text_key() == F.col("cut_row"))
+    same = F.col("doc_id").eqNullSafe(F.col(cut_id)) & (text_key() == F.col(cut_row))
     joined = docs.join(spans, same, "left")
     cut = F.udf(cut_text, "string", useArrow=True)
-    text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cut("text", "cut_spans"))
-    edited = joined.withColumn("text", text).where("cut_spans IS NULL OR text RLIKE '\\\\S'")
+    whole = F.col(cut_spans).isNull()
+    text = F.when(whole, F.col("text")).otherwise(cut("text", cut_spans))
+    edited = joined.withColumn("text", text).where(whole | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        n = F.when(F.col("cut_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        n = F.when(whole, F.col("n_chars")).otherwise(F.length("text"))
         edited = edited.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
     return edited.select(docs.columns)
 
 
-NO_PARITY = (None,) * PARITIES
+#: What a copy of a known paragraph leaves out.
+KNOWN = (None,) * (2 + PARITIES)
 FIELDS = pa.schema(
     [
-        ("doc", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("sentence", pa.int32()), ("start", pa.int32()),
-        ("end", pa.int32()), ("n_words", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()),
+        ("doc", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+        ("n_words", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())),
         *((c, pa.int64()) for c in PARITY),
     ]
 )

@@ -87,7 +87,9 @@ def op8_byte_shards(spark, folder):
 
 
 def held_out():
-    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(3)) == 1
+    """Rows that are not learned from; a row without an id is none of them."""
+    part = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(3))
+    return F.coalesce(part == 1, F.lit(False))
 
 
 def op9_language_id(spark, folder):

@@ -36,6 +36,12 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
+def private(*names: str) -> list[str]:
+    """Column names that no table has, for what is joined to tables of any columns."""
+    mark = uuid.uuid4().hex
+    return [f"__{mark}_{name}" for name in names]
+
+
 def release(*tables: DataFrame) -> None:
     """Delete ``saved`` tables that nothing reads any more, and the shuffles that made them.
 

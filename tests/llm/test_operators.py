@@ -170,6 +170,36 @@ def test_decontamination_matches_brute_force(spark):
         assert {tuple(r) for r in contamination.contaminated(docs, bench, limit).collect()} == want
 
 
+def test_short_items_in_long_documents(spark):
+    """Items of 1 to 14 words, each verbatim in a long document: none is missed."""
+    rng = np.random.default_rng(12)
+    docs, items, want = [], [], set()
+    for i in range(80):
+        own = [f"w{x}" for x in rng.integers(0, 1 << 30, rng.integers(1_500, 5_000))]
+        for n in range(1, 15):
+            at = int(rng.integers(0, len(own) - n))
+            items.append((100 * i + n, " ".join(own[at : at + n])))
+            if n >= 5:
+                want.add((i, 100 * i + n))
+        docs.append((i, " ".join(own)))
+    docs.append((80, items[2][1]))  # nothing but an item of three words
+    want.add((80, items[2][0]))
+    found = contamination.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_rows_without_a_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 0, "user", "a"), (1, None, "user", "c"), (1, 0, "assistant", "d")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_conversations(given)).collect()
+    got = sorted((r.conv_id or 0, [(t.role, t.text) for t in r.turns], r.loss_text) for r in back)
+    assert got == [
+        (0, [("assistant", "b")], "b"), (0, [("user", "a")], ""), (0, [("user", "a")], ""), (1, [("user", "c"), ("assistant", "d")], "d"),
+    ]
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "one"), (None, PASSAGE), (4, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contamination.contaminated(odd, items).collect()}

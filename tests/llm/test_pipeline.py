@@ -16,13 +16,16 @@ def shingles_of(text):
 def test_stages(spark):
     items = [shingles_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # columns that the stages might use themselves
+    for n, name in enumerate(("node", "first_id", "first_row", "cut_id", "cut_row", "cut_spans", "hit", "hit_row", "root", "row", "shingle", "doc", "hash")):
+        docs = docs.withColumn(name, docs.doc_id + n)
     columns = docs.columns
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, SF))
         kept[name] = docs.collect()
         if name != "bpe":
-            assert docs.columns == columns
+            assert docs.columns == columns and all(r.node == r.doc_id and r.hash == r.doc_id + 12 for r in kept[name])
     assert len(kept["language_id"]) >= 0.98 * spark.read.parquet(f"{SF}/documents.parquet").count()
     sets = [shingles_of(r.text) for r in kept["ngram_jaccard"]]
     for i, a in enumerate(sets):
@@ -71,6 +74,57 @@ def test_rows_of_one_id_or_none_are_told_apart(spark, tmp_path):
     }
 
 
+def test_run_against_the_library_on_what_should_be_left(spark, tmp_path):
+    """All stages by ``run``: kept rows by hand, their tokens by the tokenizer library."""
+    import hashlib
+    import struct
+    from collections import Counter
+
+    from palisade.llm.vocabulary import default_path, loaded, tokenizer_text
+
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    item, passage = words("item", 20), words("p", 60)
+    rows = [
+        (1, words("a", 90), "en"), (2, f"{words('b', 30)} {item}", "en"), (3, passage, "en"),
+        (4, f"{passage}\n\n\n{words('c', 90)}", "en"), (5, words("a", 90) + " more", "en"), (6, None, "en"), (7, "123 !", None),
+        (8, f"Title\n\n\n{words('d', 30)}\n{words('e', 30)}", None), (9, f"{words('f', 40)}\n{words('e', 30)}\n\nend", None),
+        (None, words("g", 80), "en"), (None, f"{words('h', 30)} {item}", "en"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, first_id long, hit long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [
+        (1, words("a", 90)), (3, passage), (4, f"\n\n{words('c', 90)}"), (8, rows[7][1]), (9, f"{words('f', 40)}\n\nend"),
+        (None, words("g", 80)),
+    ]
+    library = loaded(tokenizer_text(default_path()))
+    want = Counter()
+    for doc, text in left:
+        ids = library.encode(text, add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        want[doc, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_only_whole_lines_take_a_line_end_along():
+    from palisade.llm.paragraphs import cut_text
+
+    def cut(text, *spans):
+        return cut_text(text, [{"start": a, "end": b} for a, b in spans])
+
+    text = "Title\n\n\nVerse one\n\nVerse two\n\nend\n"
+    at = text.index("Verse two")
+    assert cut(text, (at, at + 9)) == "Title\n\n\nVerse one\n\n\nend\n"
+    assert cut(text, (at, at + 5)) == "Title\n\n\nVerse one\n\n two\n\nend\n"
+    assert cut(text, (at, at + 5), (at + 3, at + 9)) == "Title\n\n\nVerse one\n\n\nend\n"
+    assert cut("a\nb\nc", (0, 1), (2, 3)) == "c" and cut("a\nb\nc", (2, 3), (4, 5)) == "a"
+    assert cut("a\nb", (2, 3)) == "a" and cut("a b", (2, 3)) == "a " and cut("a", (0, 1)) == ""
+    assert cut("a\n", (0, 1)) == "" and cut(None) is None and cut("x") == "x"
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
