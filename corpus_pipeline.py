@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import bpe, contamination, jaccard, langid, paragraphs
 from palisade.llm.queries import held_out
-from palisade.llm.store import saved, text_key
+from palisade.llm.store import private, saved, text_key
 
 #: A document goes when less than half of it, by letters and by chance, is in one language.
 MIN_LANGUAGE_SCORE = 0.5
@@ -27,8 +27,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates; rows without an id come last in it."""
-    first = jaccard.first_rows(docs).select(F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"))
-    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key() == F.col("first_row"))
+    first_id, first_row = private("id", "row")
+    first = jaccard.first_rows(docs).select(F.col("doc_id").alias(first_id), F.col("row").alias(first_row))
+    same = F.col("doc_id").eqNullSafe(F.col(first_id)) & (text_key() == F.col(first_row))
     return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 

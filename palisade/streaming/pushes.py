@@ -1,18 +1,22 @@
 """Continuous diff scan: push events in, findings out, each event once.
 
-Events carry the id of their diff; the texts stay in a table. Redelivered events are dropped by
-id, however late they come: the state keeps the ids of all events (in RocksDB, not in memory),
-and nothing is dropped for its time. A user who can bound redeliveries in time gives a
-``watermark``, which bounds the state and, as Spark does, leaves out events older than it.
-
-Each micro-batch scans its distinct diffs once by the ordinary batch plan, joins the findings (not
-the texts) to its events and is written under its batch id, so a retried batch replaces its own
-output and nothing is counted twice.
+Events carry the id of their diff; the texts stay in a table. The stream keeps no state of its
+own. What has been seen is two tables beside the output, written batch by batch:
+
+* ``ids``: the ids of all events, partitioned by the day of the event. A redelivery has the time
+  of its event, so a batch is compared with the ids of its own days only, by an anti-join: an event
+  that comes again a year later is told, a late event is kept, and the work of a batch does not
+  grow with the age of the stream.
+* ``diffs``: which diffs have been scanned, and their findings. A batch scans the diffs that are
+  new to the stream, once, and joins stored findings (not texts) to its events.
+
+Every table is written under the batch id and a batch reads only what earlier ones wrote, so a
+retried batch replaces its own rows and nothing is counted twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,13 +24,41 @@ from palisade.operators.diff import scan_diff
 from palisade.operators.score import MAX_SCORE, severity_points
 from palisade.settings import ScanConfig
 
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Files of scanned diffs per batch are few; their findings are kept in so many buckets by id.
+BUCKETS = 64
 
 
-def distinct_pushes(pushes: DataFrame, watermark: str | None = None) -> DataFrame:
-    if watermark is None:
-        return pushes.dropDuplicates(["event_id"])
-    return pushes.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+def _written(spark: SparkSession, path: str, ddl: str, batch_id: int) -> DataFrame:
+    """Rows that earlier batches wrote to a table (none before the first)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return spark.createDataFrame([], f"{ddl}, batch_id long")
+    return spark.read.schema(f"{ddl}, batch_id long").parquet(path).where(F.col("batch_id") < batch_id)
+
+
+def _write(frame: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    """Write a batch's rows; a retry replaces them, other batches are left alone."""
+    (
+        frame.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partitions, "batch_id").parquet(path)
+    )
+
+
+def event_day(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def unseen(batch: DataFrame, ids: DataFrame) -> DataFrame:
+    """Events of ``batch`` (event_id, ts, diff_id, day), each once, that are not in ``ids``.
+
+    Only the days of the batch are read: their list is as short as the batch's spread in time.
+    """
+    events = batch.dropDuplicates(["event_id"])
+    days = [r.day for r in events.select("day").distinct().collect()]
+    known = ids.where(F.col("day").isin(days)).select("day", "event_id")
+    return events.join(known, ["day", "event_id"], "left_anti")
 
 
 def scan_pushes(batch: DataFrame, diffs: DataFrame, config: ScanConfig | None = None) -> DataFrame:
@@ -37,8 +69,12 @@ def scan_pushes(batch: DataFrame, diffs: DataFrame, config: ScanConfig | None =
     """
     events = batch.select("event_id", "ts", "diff_id")
     wanted = diffs.join(events.select("diff_id").distinct(), "diff_id", "left_semi")
-    found = scan_diff(wanted.select(F.col("diff_id").alias("scan_id"), "diff_text"), config)
-    return events.join(found.withColumnRenamed("scan_id", "diff_id"), "diff_id").drop("diff_id")
+    return events.join(scan_diffs(wanted, config), "diff_id").drop("diff_id")
+
+
+def scan_diffs(diffs: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    found = scan_diff(diffs.select(F.col("diff_id").alias("scan_id"), "diff_text"), config)
+    return found.withColumnRenamed("scan_id", "diff_id")
 
 
 def start_push_scan(
@@ -47,21 +83,33 @@ def start_push_scan(
     output: str,
     checkpoint: str,
     config: ScanConfig | None = None,
-    watermark: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Write findings of a push stream to ``output/batch_id=N``."""
+    """Write findings of a push stream to ``output/batch_id=N``; what has been seen goes to
+    ``checkpoint/seen``."""
+    spark = pushes.sparkSession
+    seen = f"{checkpoint}/seen"
+    found_ddl = ", ".join(
+        f"{name} {kind}" for name, kind in scan_diffs(diffs, config).dtypes
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = scan_pushes(batch, diffs, config)
-        found.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-
-    pushes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    writer = (
-        distinct_pushes(pushes, watermark)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-    )
+        events = batch.select("event_id", "ts", "diff_id", event_day(F.col("ts")).alias("day"))
+        ids = _written(spark, f"{seen}/ids", "event_id long, day string", batch_id)
+        fresh = unseen(events, ids).persist()
+        bucket = F.pmod(F.col("diff_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        scanned = _written(spark, f"{seen}/diffs", "diff_id long, bucket int", batch_id)
+        new = fresh.select("diff_id").distinct().join(scanned.select("diff_id"), "diff_id", "left_anti")
+        found = scan_diffs(diffs.join(new, "diff_id", "left_semi"), config)
+        _write(found.withColumn("bucket", bucket), f"{seen}/findings", batch_id, "bucket")
+        stored = _written(spark, f"{seen}/findings", f"{found_ddl}, bucket int", batch_id + 1)
+        joined = fresh.drop("day").join(stored.drop("bucket", "batch_id"), "diff_id").drop("diff_id")
+        joined.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        _write(new.withColumn("bucket", bucket), f"{seen}/diffs", batch_id, "bucket")
+        _write(fresh.select("event_id", "day"), f"{seen}/ids", batch_id, "day")
+        fresh.unpersist()
+
+    writer = pushes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -69,7 +117,7 @@ def daily_risk(findings: DataFrame) -> DataFrame:
     """Active findings, points and capped risk score per (session time zone) day."""
     return (
         findings.where(~F.col("suppressed"))
-        .groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
+        .groupBy(event_day(F.col("ts")).alias("day"))
         .agg(F.count("*").alias("findings"), F.sum(severity_points(F.col("severity"))).alias("points"))
         .select(
             "day",

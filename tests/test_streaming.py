@@ -1,6 +1,7 @@
-from datetime import datetime
+from datetime import datetime, timedelta
+from pathlib import Path
 
-from palisade.streaming.pushes import daily_risk, scan_pushes, start_push_scan
+from palisade.streaming.pushes import daily_risk, scan_pushes, start_push_scan, unseen
 
 DIFF = "diff --git a/a.ts b/a.ts\n+++ b/a.ts\n@@ -1 +1 @@\n+eval(aiOutput)\n"
 DDL = "event_id long, ts timestamp, diff_id long"
@@ -29,3 +30,27 @@ def test_stream_equals_batch_and_drops_redeliveries(spark, tmp_path):
     # a second run finds nothing new
     start_push_scan(stream, diffs, out, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(out).count() == found.count()
+
+
+def test_no_state_grows_and_only_the_days_of_a_batch_are_read(spark, tmp_path):
+    start = datetime(2020, 1, 1, 12)
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "state"
+    diffs = spark.createDataFrame([(i, DIFF) for i in range(9)], "diff_id long, diff_text string")
+    # five years of one event a day and one day, then all of the first hundred again, years late
+    days = [(i, start + timedelta(days=i), i // 18 % 9) for i in range(0, 1800, 18)]
+    for part in (days[:50], days[50:], days[:100]):
+        spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(source)
+    start_push_scan(stream, diffs, out, str(state)).awaitTermination()
+    found = spark.read.parquet(out)
+    assert found.count() == found.select("event_id").distinct().count() == 100
+    assert not (state / "state").exists()  # nothing in a state store
+    ids = spark.read.parquet(str(state / "seen" / "ids"))
+    assert ids.count() == 100  # each id once, whatever was delivered
+    scanned = spark.read.parquet(str(state / "seen" / "diffs"))
+    assert scanned.count() == 9  # each diff once, though three batches named it
+    batch = spark.createDataFrame(days[3:5], DDL).selectExpr("*", "date_format(ts, 'yyyy-MM-dd') AS day")
+    text = unseen(batch, ids)._jdf.queryExecution().executedPlan().toString()
+    filters = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "day" in filters and str(days[3][1].date()) in filters
+    assert len(list(Path(state / "seen" / "ids").glob("day=*"))) == 100
