@@ -11,6 +11,10 @@ feed, return), lower-cased; fewer words: the whole sequence as one. Likeness: co
 the hashes of the smaller fingerprint; both empty: 1, one empty: 0. As text, a fingerprint is its
 hashes in order as 16 hexadecimal digits each.
 
+The likeness is an estimate from one hash in ``SCALE``: with n shingles in the smaller text its
+error is about sqrt(SCALE / n) / 2. Below some fifty shingles it says little (a fingerprint of one
+hash gives 0 or 1), and texts as short as that need the exact sets.
+
 The next document is found in blocks of ``BLOCK`` ids, one shuffle of the texts by block; only the
 first document of each block is looked up across blocks. Rows with equal ids are ordered by text.
 Null text counts as empty. A row without an id has no place in the order and no next document: the

@@ -73,21 +73,25 @@ def lines(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
-def line_sets(text: bytes, least: int = MIN_WORDS) -> Iterator[tuple[int, np.ndarray | None]]:
-    """(words, shingle set) of each line; no set for one of fewer than ``least`` words."""
+def hashed_lines(text: bytes) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of a text, and the number of words in each line."""
     words = [line.split() for line in text.lower().split(b"\n")]
     hashes = np.fromiter(map(CACHE.__getitem__, chain.from_iterable(words)), np.uint64)
+    return hashes, [len(line) for line in words]
+
+
+def line_sets(hashes: np.ndarray, sizes: list[int], least: int = MIN_WORDS) -> Iterator[np.ndarray | None]:
+    """Shingle set of each line; none for one of fewer than ``least`` words."""
     shingles = windows(hashes, SHINGLE)
     at = 0
-    for line in words:
-        n = len(line)
-        yield n, distinct(shingles[at : at + n - SHINGLE + 1]) if n >= max(least, SHINGLE) else None
+    for n in sizes:
+        yield distinct(shingles[at : at + n - SHINGLE + 1]) if n >= max(least, SHINGLE) else None
         at += n
 
 
 def paragraph_sets(text: bytes, least: int = MIN_WORDS) -> list[np.ndarray]:
     """Shingle sets of the paragraphs of at least ``least`` words."""
-    return [s for _, s in line_sets(text, least) if s is not None]
+    return [s for s in line_sets(*hashed_lines(text), least) if s is not None]
 
 
 def joined_runs(values: np.ndarray, step: int, times: int) -> np.ndarray:
@@ -122,11 +126,13 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points[starts], points[ends], np.cumsum(raw == 10)[starts]
 
 
-def parities(shingles: np.ndarray) -> list[int]:
-    """Whether each bucket of hashes holds an odd number of shingles, as bits."""
-    buckets = (shingles & np.uint64(64 * PARITIES - 1)).astype(np.int64)
-    odd = np.bincount(buckets, minlength=64 * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether each bucket of hashes holds an odd number of a set's shingles, as bits: a row for each set."""
+    size = 64 * PARITIES
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket = (np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64)
+    odd = np.bincount(owner * size + bucket, minlength=len(sets) * size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), PARITIES)
 
 
 def may_repeat(one: str, two: str) -> Column:
@@ -135,12 +141,17 @@ def may_repeat(one: str, two: str) -> Column:
     return same_length(one, two) & (7 * differ <= F.col(f"{one}.n") + F.col(f"{two}.n"))
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """The band values of each set: a row for each set. All sets are taken function by function."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    least = np.empty((len(sets), BANDS * ROWS), dtype=np.uint64)
+    value = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), 1))
     with np.errstate(over="ignore"):
-        least = (shingles[:, None] * FACTORS + SHIFTS).min(axis=0).reshape(BANDS, ROWS)
-        value = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for k in range(BANDS * ROWS):
+            least[:, k] = np.minimum.reduceat(flat * FACTORS[k] + SHIFTS[k], starts)
         for k in range(ROWS):
-            value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+            value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
     return value.view(np.int64)
 
 
@@ -155,24 +166,36 @@ def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         seen: set[int] = set()
         for batch in slices(batches):
             out: list[tuple] = []
+            new: list[np.ndarray] = []
+            hashes = []
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                sets = line_sets((text or "").encode(), least)
-                for p, ((at, line), (n_words, s)) in enumerate(zip(lines(text or ""), sets)):
+                own, sizes = hashed_lines((text or "").encode())
+                hashes.append(own)
+                for p, ((at, line), n, s) in enumerate(zip(lines(text or ""), sizes, line_sets(own, sizes, least))):
                     if s is not None:
                         node = node_of(s)
-                        own = KNOWN if node in seen else (len(s), bands(s), *parities(s))
-                        seen.add(node)
-                        out.append((doc, row, p, at, at + len(line), n_words, node, *own))
-            columns = list(zip(*out)) or [()] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
-            yield anchor_rows(batch)
+                        out.append((doc, row, p, at, at + len(line), n, node, None if node in seen else len(new)))
+                        if node not in seen:
+                            seen.add(node)
+                            new.append(s)
+            if out:
+                *told, place = zip(*out)
+                place = pa.array(place, pa.int64())
+                columns = [pa.array(c, f.type) for c, f in zip(told, FIELDS)]
+                if new:
+                    banded = pa.ListArray.from_arrays(np.arange(len(new) + 1, dtype=np.int32) * BANDS, pa.array(bands(new).ravel()))
+                    known = [pa.array([len(s) for s in new], pa.int32()), banded, *map(pa.array, np.ascontiguousarray(parities(new).T))]
+                    columns += [c.take(place) for c in known]
+                columns += [pa.nulls(len(out), f.type) for f in list(FIELDS)[len(columns):]]
+                yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
+            yield anchor_rows(batch, hashes)
 
     return keyed(docs).mapInArrow(cut, UNIT)
 
 
-def anchor_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The anchors of each text, each hash once."""
-    found = [distinct(runs[np.unique(anchors(runs))]) for runs in (anchor_runs(word_hashes(t)) for t in byte_texts(batch.column(2)))]
+def anchor_rows(batch: pa.RecordBatch, words: list[np.ndarray]) -> pa.RecordBatch:
+    """The anchors of each text, of which ``words`` has the word hashes; each anchor once."""
+    found = [distinct(runs[np.unique(anchors(runs))]) for runs in map(anchor_runs, words)]
     docs, rows = (np.repeat(batch.column(k).to_numpy(), [len(f) for f in found]) for k in (0, 1))
     hashes = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
     given = {"doc": pa.array(docs), "row": pa.array(rows), "hash": pa.array(hashes)}
@@ -371,8 +394,6 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     return edited.select(docs.columns)
 
 
-#: What a copy of a known paragraph leaves out.
-KNOWN = (None,) * (2 + PARITIES)
 FIELDS = pa.schema(
     [
         ("doc", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),

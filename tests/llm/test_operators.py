@@ -259,6 +259,61 @@ def test_fingerprint_query(spark):
     assert np.mean([got[i].near_edited for i in long_texts]) > 0.3 > np.mean([got[i].near_next for i in long_texts])
 
 
+def brute_hashes(text):
+    """Spark's own 64-bit hash of each shingle: of words, then of five word hashes in a chain."""
+    from xxhash import xxh64_intdigest
+
+    def chained(*values):
+        seed = 42
+        for value in values:
+            seed = xxh64_intdigest((value % (1 << 64)).to_bytes(8, "little"), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    h = [(v - (1 << 64) if v >> 63 else v) for v in (xxh64_intdigest(w.encode(), 42) for w in words)]
+    if 0 < len(h) < 5:
+        value = 0
+        for x in h:
+            value = chained(value, x)
+        return {value}
+    return {chained(*h[i : i + 5]) for i in range(len(h) - 4)}
+
+
+def brute_kept(hashes):
+    below = {h for h in hashes if h < fingerprints.LIMIT}
+    return sorted(below or ([min(hashes)] if hashes else []))
+
+
+def brute_likeness(one, two):
+    if not one or not two:
+        return float(not one and not two)
+    return len(set(one) & set(two)) / min(len(one), len(two))
+
+
+def test_fingerprints_likeness_and_merge_match_brute_force(spark):
+    table = texts()
+    got = {r.doc_id: r for r in QUERIES["op5_fingerprints"](spark, SF).collect()}
+    order = sorted(table, reverse=True)
+    errors = []
+    for i, after in zip(order, [*order[1:], order[0]]):
+        text, other = table[i] or "", table[after] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        sets = [brute_hashes(t) for t in (text, edited, other)]
+        own, changed, following = map(brute_kept, sets)
+        assert got[i].fingerprint == "".join(f"{h % (1 << 64):016x}" for h in own)
+        assert got[i].edited_fingerprint == "".join(f"{h % (1 << 64):016x}" for h in changed)
+        assert got[i].near_edited == brute_likeness(own, changed) and got[i].near_next == brute_likeness(own, following)
+        if sets[0] and sets[1]:
+            errors.append((len(sets[0]), abs(got[i].near_edited - brute_likeness(sets[0], sets[1]))))
+    # an estimate from n / SCALE hashes: usable for long texts, rough for short ones
+    assert np.mean([e for n, e in errors if n >= 800]) < 0.1
+    rows = spark.createDataFrame([(table[a], table[b]) for a, b in zip(order, order[7:])], "a string, b string")
+    merged = rows.select("a", "b", fingerprints.merge(fingerprints.fingerprint(rows.a), fingerprints.fingerprint(rows.b)).alias("m"))
+    for r in merged.collect():
+        assert r.m == brute_kept(brute_hashes(r.a) | brute_hashes(r.b))
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     got = fingerprints.fingerprint_pairs(odd).collect()
     assert len(got) == len(ODD) and {r.near_next for r in got if r.doc_id == 2} <= {0.0, 1.0}
@@ -285,6 +340,19 @@ def test_url_model_learns_its_rules(spark):
     assert right / len(ruled) > 0.95
 
 
+def test_url_model_on_rows_that_it_was_not_fitted_on(spark):
+    judged = QUERIES["op6_url_filter"](spark, "/root/testdata/sf0.1").where("rule IS NOT NULL")
+    rows = sorted({(r.host, r.path, r.verdict == "block") for r in judged.collect()})
+    fitted, held = rows[::2], rows[1::2]
+    weights, bias = urls.fit(fitted)
+    right = 0
+    for host, path, blocked in held:
+        codes = urls.features(host, path)
+        right += (bias + weights[codes].sum() / np.sqrt(max(len(codes), 1)) > 0) == blocked
+    most = max(sum(b for *_, b in held), sum(not b for *_, b in held))
+    assert right / len(held) > 0.85 and right > most
+
+
 def test_repeats(odd, empty):
     got = paragraphs.repeats(odd).collect()
     removed = {r.doc_id for r in got if r.removed}
@@ -397,7 +465,7 @@ def test_parities_never_differ_more_than_the_sets():
         whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         for share in (0.1, 0.5, 0.9):
             a, b = (whole[rng.random(len(whole)) < share] for _ in range(2))
-            pairs = zip(paragraphs.parities(a), paragraphs.parities(b))
+            pairs = zip(paragraphs.parities([a])[0].tolist(), paragraphs.parities([b])[0].tolist())
             differ = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in pairs)
             assert differ <= len(np.setxor1d(a, b))
 
