@@ -808,7 +808,8 @@ def budget() -> str:
     return with_(
         [
             *DIFF_SCAN,
-            f"""targets AS (SELECT DISTINCT scan_id, replace(file, '\\', '/') AS f FROM diff_found)""",
+            f"""targets AS (SELECT DISTINCT scan_id, replace(file, '\\', '/') AS f FROM diff_found
+              WHERE NOT suppressed)""",
             f"""ranked AS MATERIALIZED (
               SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY targeted DESC, block_ord) AS i
               FROM (SELECT scan_id, block_ord, 'diff --git ' || block AS block,

@@ -243,8 +243,9 @@ def diff_dedupe(spark, folder):
 
 
 def budget_diff(spark, folder):
+    """Blocks of files with active findings come first."""
     diffs = derived.diffs(spark, folder)
-    fitted = diff.budget_diff(diffs, diff.scan_diff(diffs), BUDGET)
+    fitted = diff.budget_diff(diffs, scan.active(diff.scan_diff(diffs)), BUDGET)
     return fitted.select(
         "scan_id", F.length("budgeted").alias("n_chars"), F.md5("budgeted").alias("digest")
     )
