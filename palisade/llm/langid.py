@@ -19,6 +19,7 @@ other columns are ignored; ties go to the first language in order of name.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,14 +51,14 @@ SCRIPTS = (
     (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"), (0xFF21, "latin"),
     (0xFF5B, "other"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x32000, "other"),
 )
-STARTS = np.array([s for s, _ in SCRIPTS])
+STARTS = [s for s, _ in SCRIPTS]
 NAMES = [n for _, n in SCRIPTS]
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def script_of(word: str) -> str:
     """The script of the word's first letter."""
-    return NAMES[int(np.searchsorted(STARTS, ord(word[0]), side="right")) - 1]
+    return NAMES[bisect_right(STARTS, ord(word[0])) - 1]
 
 
 def gram_slots(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,10 +168,13 @@ class Model:
         for slots, owner in gram_slots([w.lower() for w in words]):
             for i in range(n_langs):
                 score[:, i] += np.bincount(owner, self.scores[slots, i], len(words))
-        for i, word in enumerate(words):
-            allowed = self.scripts.get(script_of(word))
-            if allowed is not None and allowed.any() and not allowed.all():
-                score[i] = np.where(allowed, score[i], score[i].min() - OUTSIDE)
+        first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+        script = np.array(NAMES)[np.searchsorted(STARTS, first, side="right") - 1]
+        for name, allowed in self.scripts.items():
+            if allowed.any() and not allowed.all():
+                own = np.flatnonzero(script == name)
+                part = score[own]
+                score[own] = np.where(allowed, part, part.min(axis=1, keepdims=True) - OUTSIDE)
         return (score - score.max(axis=1, keepdims=True)).astype(np.float32)
 
 
