@@ -138,7 +138,7 @@ def read_history(spark: SparkSession, path: str, scan_id: Column | None = None)
 
     A file is cut at its file markers by the reader itself, so one file of many gigabytes is
     many splits, and no text is shuffled: the number of a block and the commit it belongs to are
-    those in its split plus what the splits before it hold, one row per split, which is joined.
+    those in its split plus what the splits before it hold, one row per split, which is broadcast.
     The rows are those of ``diff_blocks`` over the whole texts. ``scan_id`` names a file; by
     default that is its path.
     """
@@ -161,7 +161,8 @@ def read_history(spark: SparkSession, path: str, scan_id: Column | None = None)
         F.last("named", ignorenulls=True).over(earlier).alias("_commit"),
         F.when(F.lead("start").over(file).isNull(), F.col("last")).alias("_final"),
     )
-    placed = records.drop("named", "markers").join(offsets, ["scan_id", "start"])
+    # one row per split: no more than the driver holds anyway to schedule the tasks of this read
+    placed = records.drop("named", "markers").join(F.broadcast(offsets), ["scan_id", "start"])
     # the reader takes the newline before a marker as well
     text = F.when(F.col("nth").eqNullSafe(F.col("_final")), F.col("text")).otherwise(
         F.concat("text", F.lit("\n"))

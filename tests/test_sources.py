@@ -117,6 +117,14 @@ def test_a_history_is_read_in_many_tasks(spark, tmp_path, opening):
     assert [c for _, _, c in got if c] and {c for _, _, c in got} == {c for c in said.values()} | ({None} if got[0][0] == 0 else set())
 
 
+def test_a_history_is_not_shuffled(spark, tmp_path):
+    (tmp_path / "one.patch").write_text(history(random.Random(0), 20))
+    lines = plan(read_history(spark, str(tmp_path))).split("\n")
+    assert any("BroadcastExchange" in line for line in lines)
+    shuffles = [line for line in lines if " Exchange " in line]
+    assert all("scan_id" in line for line in shuffles) and not any("SortMergeJoin" in line for line in lines)
+
+
 def test_blocks_of_a_history_are_scanned_like_diffs(spark, tmp_path):
     (tmp_path / "one.patch").write_text("diff --git a/x.ts b/x.ts\n+++ b/x.ts\n@@ -1 +5 @@\n+eval(msg);\n" * 2)
     found = diff.scan_blocks(read_history(spark, str(tmp_path))).collect()
