@@ -38,9 +38,11 @@ def marker_template(template: str = TEMPLATE, groups: Sequence[int] = ()) -> str
 
 def mark_matches(content: Column, pattern: Column, template: Column | None = None) -> Column:
     template = F.lit(marker_template()) if template is None else template
-    used = (MARK, END, GROUP)
-    taken = F.exists(F.array(*[F.lit(c) for c in used]), lambda c: F.contains(content, c))
-    safe = F.when(taken, F.translate(content, "".join(used), STAND_IN * 3)).otherwise(content)
+    taken = (
+        F.contains(content, F.lit(MARK)) | F.contains(content, F.lit(END))
+        | F.contains(content, F.lit(GROUP))
+    )
+    safe = F.when(taken, F.translate(content, MARK + END + GROUP, STAND_IN * 3)).otherwise(content)
     return F.regexp_replace(safe, pattern, template)
 
 
@@ -49,9 +51,15 @@ def _plain(marked: Column) -> Column:
 
 
 def _columns(marked_line: Column) -> Column:
-    pieces = F.split(_plain(marked_line), MARK, -1)
-    starts = running_sums(F.transform(pieces, lambda p: F.length(p)))
-    return F.transform(F.slice(starts, F.lit(2), F.size(starts)), lambda s: (s + 1).cast("int"))
+    def placed(pieces: Column) -> Column:
+        starts = running_sums(F.transform(pieces, lambda p: F.length(p)))
+        several = F.transform(
+            F.slice(starts, F.lit(2), F.size(starts)), lambda s: (s + 1).cast("int")
+        )
+        # nearly all lines have one match
+        return F.when(F.size(pieces) == 2, F.array(F.length(F.get(pieces, F.lit(0))) + 1)).otherwise(several)
+
+    return let(F.split(_plain(marked_line), MARK, -1), placed)
 
 
 def without_groups(marked: Column) -> Column:
