@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.batches import byte_texts, slices
 from palisade.llm.store import private, saved, text_key
-from palisade.llm.words import shingle_set, word_hashes
+from palisade.llm.words import shingle_sets
 
 PERCENT = 75
 SPREAD_BITS = 3
@@ -102,7 +102,7 @@ def item_sets(items: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(word_hashes(t)) for t in byte_texts(batch.column(1))]
+            sets = shingle_sets(byte_texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -150,8 +150,8 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, block_shingles: int = B
             block_items = shared.value
             for batch in slices(batches):
                 out = []
-                for doc, row, text in zip(*(c.to_pylist() for c in batch.columns[:2]), byte_texts(batch.column(2))):
-                    shingles = shingle_set(word_hashes(text))
+                sets = shingle_sets(byte_texts(batch.column(2)))
+                for doc, row, shingles in zip(*(c.to_pylist() for c in batch.columns[:2]), sets):
                     if len(shingles):
                         out += [(doc, row, *f) for f in block_items.found(shingles)]
                 columns = list(zip(*out)) or [()] * 5

@@ -26,7 +26,7 @@ id is null in the result where it is the only one. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +38,14 @@ from palisade.llm import blocks
 from palisade.llm.batches import byte_texts, slices
 from palisade.llm.components import components
 from palisade.llm.store import release, saved, text_key
-from palisade.llm.words import shingle_set, word_hashes
+from palisade.llm.words import shingle_sets
 
 PERCENT = 75
-SKETCH = 1 << 20
-BLOOM_BITS = 1 << 23
+SKETCH = 1 << 23
 SUFFIX_PARTS = 16
 #: How many shared shingles before its own a prefix row knows, to tell a pair's first one.
 BEFORE = 3
-Units = Callable[[bytes], list[np.ndarray]]
+Units = Callable[[list[bytes]], Iterable[np.ndarray]]
 Rule = Callable[[str, str], Column]
 PROFILE = "doc_id long, row long, n_shingles long, node long, part int, piece binary"
 
@@ -59,15 +58,23 @@ def slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def count(counts: np.ndarray, at: np.ndarray) -> None:
+    """Add one to ``counts`` for each time a place is in ``at``; a full counter stays full."""
+    at = np.sort(at)
+    ends = np.flatnonzero(np.concatenate([at[1:] != at[:-1], [True]])) if len(at) else at
+    times = np.diff(ends, prepend=-1)
+    room = np.iinfo(counts.dtype).max - counts[at[ends]]
+    counts[at[ends]] += np.minimum(times, room).astype(counts.dtype)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, row, n_shingles, node); per task the pieces of its shingle counters."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.uint64)
+        counts = np.zeros(SKETCH, dtype=np.uint16)
         for batch in slices(batches):
-            sets = [shingle_set(word_hashes(t)) for t in byte_texts(batch.column(2))]
-            for s in sets:
-                np.add.at(counts, slots(s), 1)
+            sets = shingle_sets(byte_texts(batch.column(2)))
+            count(counts, slots(np.concatenate(sets)))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -80,7 +87,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 ],
                 ["doc_id", "row", "n_shingles", "node", "part", "piece"],
             )
-        found = blocks.pieces(counts)
+        found = blocks.pieces(counts, np.uint32)
         n = found.num_rows
         yield pa.RecordBatch.from_arrays(
             [*(pa.nulls(n, pa.int64()) for _ in range(4)), found.column(0), found.column(1)],
@@ -93,8 +100,8 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def rarity(counts: np.ndarray) -> np.ndarray:
     """Level of each counter: 0 up to twice the mean, then one more with each doubling."""
-    mean = max(1.0, float(counts.mean()))
-    return np.floor(np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8)
+    times = counts.astype(np.float32) / np.float32(max(1.0, float(counts.mean())))
+    return np.log2(np.maximum(times, 1, out=times), out=times).astype(np.uint8)
 
 
 def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -106,8 +113,7 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
         level = shared.value
         for batch in slices(batches):
             keys, nodes, sizes, places = [], [], [], []
-            for text in byte_texts(batch.column(0)):
-                s = shingle_set(word_hashes(text))
+            for s in shingle_sets(byte_texts(batch.column(0))):
                 n = len(s)
                 node = node_of(s) if n else None
                 if node is None or node in seen:
@@ -244,47 +250,38 @@ def plausible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     return saved(met.where(7 * most >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
-def node_filter(pairs: DataFrame) -> np.ndarray:
-    """Bits of the nodes of ``pairs``, ``BLOOM_BITS`` in all; nodes are hashes already."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            for column in batch.columns:
-                at = column.to_numpy() & (BLOOM_BITS - 1)
-                np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield blocks.pieces(found)
-
-    return blocks.merged(pairs.select("a", "b").mapInArrow(bits, blocks.SCHEMA), BLOOM_BITS // 8, "u1", "bitwise_or")
+def homes(rows: DataFrame) -> DataFrame:
+    """(node, row): of each node the key of one text that holds it; ``rows`` has (node, row)."""
+    return rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
 
 
-def whole_text(text: bytes) -> list[np.ndarray]:
-    return [shingle_set(word_hashes(text))]
+def sets_of(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
+    """(node, shingles) of the nodes ``wanted`` (node, row); the filters let some others through.
 
-
-def sets_of(docs: DataFrame, wanted: np.ndarray, units: Units) -> DataFrame:
-    """(node, shingles) of nodes that may be wanted; the filter lets some others through."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    Texts are told by their keys, so only those that hold a wanted node are cut into words.
+    """
+    filters = [blocks.bit_filter(wanted.select(c).distinct()) for c in ("row", "node")]
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        bits = shared.value
-        for batch in slices(batches):
-            nodes, sets = [], []
-            for s in (s for text in byte_texts(batch.column(0)) for s in units(text)):
-                node = node_of(s) if len(s) else None
-                if node is None or node in seen:
-                    continue
-                at = node & (BLOOM_BITS - 1)
-                if bits[at >> 3] >> (at & 7) & 1:
+        rows, wanted_nodes = shared.value
+        for batch in batches:
+            hit = pa.array(blocks.passing(rows, batch.column(0).to_numpy()))
+            for part in slices([batch.filter(hit)]):
+                nodes, sets = [], []
+                for s in units(byte_texts(part.column(1))):
+                    node = node_of(s) if len(s) else None
+                    if node is None or node in seen or not blocks.passing(wanted_nodes, node):
+                        continue
                     seen.add(node)
                     nodes.append(node)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"]
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"]
+                )
 
-    found = docs.select("text").mapInArrow(fetch, "node long, shingles binary")
+    found = docs.select(text_key().alias("row"), "text").mapInArrow(fetch, "node long, shingles binary")
     return found.dropDuplicates(["node"])  # its one shuffle serves both sides of the pairs
 
 
@@ -304,9 +301,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, units: Units = whole_text) -> DataFrame:
-    """The pairs (u, v) that link; ``units`` gives the sets that a text holds."""
-    sets = sets_of(docs, node_filter(pairs), units)
+def verified(pairs: DataFrame, docs: DataFrame, home: DataFrame, units: Units = shingle_sets) -> DataFrame:
+    """The pairs (u, v) that link; ``units`` gives the sets that texts hold, ``home`` a text of each (``homes``)."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = saved(named.join(home, "node"))
+    sets = sets_of(docs, wanted, units)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -320,24 +319,24 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Units = whole_text) -> Da
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     whole = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
     found = saved(whole.mapInArrow(verify, "u long, v long"))
-    release()
+    release(wanted)
     return found
 
 
-def node_classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(node, root) of every node with a link."""
+def node_classes(docs: DataFrame, levels: np.ndarray, home: DataFrame) -> DataFrame:
+    """(node, root) of every node with a link; ``home`` has a text of each node (``homes``)."""
     shared = saved(shared_prefixes(prefix_rows(docs, levels)))
     release()
     keys = prefix_keys(shared)
     near = saved(nearest_pairs(shared))
     hopeful = plausible(near, keys)
     release()
-    links = verified(hopeful, docs)
+    links = verified(hopeful, docs, home)
     first = components(links)
     met = crossing_pairs(shared, first)
     crossing = plausible(met.join(near, ["a", "b"], "left_anti"), keys)
     release(shared, keys, near, hopeful, met)
-    return components(links.union(verified(crossing, docs)))
+    return components(links.union(verified(crossing, docs, home)))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -356,10 +355,12 @@ def first_rows(docs: DataFrame) -> DataFrame:
 def labelled_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n_shingles, root, component_id) for every row of ``docs`` (doc_id, text)."""
     found = saved(profiles(docs))
-    counts = blocks.merged(found.where("part IS NOT NULL").select("part", "piece"), SKETCH, "u8", "add")
-    rows = found.where("part IS NULL").select("doc_id", "row", "n_shingles", "node")
-    classes = node_classes(docs, rarity(counts))
+    counts = blocks.merged(found.where("part IS NOT NULL").select("part", "piece"), SKETCH, "u4", "add")
+    rows = saved(found.where("part IS NULL").select("doc_id", "row", "n_shingles", "node"))
+    release(found)  # the counters of all tasks, and their shuffle
+    classes = node_classes(docs, rarity(counts), homes(rows))
     labelled = saved(rows.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    release(rows)
     least = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     columns = ["doc_id", "row", "n_shingles", "root", "component_id"]
     joined = labelled.where("root IS NOT NULL").join(least, "root").select(columns)

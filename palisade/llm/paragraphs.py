@@ -32,7 +32,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +41,13 @@ from pyspark.sql import functions as F
 from palisade.llm import blocks
 from palisade.llm.batches import byte_texts, slices
 from palisade.llm.components import components
-from palisade.llm.jaccard import crossing_pairs, nearest_pairs, node_of, same_length, shared_prefixes, verified
+from palisade.llm.jaccard import crossing_pairs, homes, nearest_pairs, node_of, same_length, shared_prefixes, verified
 from palisade.llm.store import private, release, saved, text_key
-from palisade.llm.words import CACHE, SHINGLE, distinct, mixed, windows, word_hashes
+from palisade.llm.words import SHINGLE, distinct, hashed_lines, hashed_texts, mixed, windows
 
 MIN_WORDS = 25
 #: Words of a passage that goes whatever its layout, and of the runs from which its anchors are taken.
 PASSAGE, ANCHOR = 50, 25
-#: Least and most bits of the filter of shared anchors; in between, eight for each.
-FILTER_BITS = 1 << 20, 1 << 27
 BANDS, ROWS = 10, 3
 NO_ID = (1 << 63) - 1
 LATER = "(doc > first OR row <> first_row)"
@@ -73,25 +70,18 @@ def lines(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
-def hashed_lines(text: bytes) -> tuple[np.ndarray, list[int]]:
-    """Hashes of the words of a text, and the number of words in each line."""
-    words = [line.split() for line in text.lower().split(b"\n")]
-    hashes = np.fromiter(map(CACHE.__getitem__, chain.from_iterable(words)), np.uint64)
-    return hashes, [len(line) for line in words]
-
-
-def line_sets(hashes: np.ndarray, sizes: list[int], least: int = MIN_WORDS) -> Iterator[np.ndarray | None]:
+def line_sets(hashes: np.ndarray, sizes: np.ndarray, least: int = MIN_WORDS) -> Iterator[np.ndarray | None]:
     """Shingle set of each line; none for one of fewer than ``least`` words."""
     shingles = windows(hashes, SHINGLE)
     at = 0
-    for n in sizes:
+    for n in sizes.tolist():
         yield distinct(shingles[at : at + n - SHINGLE + 1]) if n >= max(least, SHINGLE) else None
         at += n
 
 
-def paragraph_sets(text: bytes, least: int = MIN_WORDS) -> list[np.ndarray]:
+def paragraph_sets(texts: list[bytes], least: int = MIN_WORDS) -> list[np.ndarray]:
     """Shingle sets of the paragraphs of at least ``least`` words."""
-    return [s for s in line_sets(*hashed_lines(text), least) if s is not None]
+    return [s for hashes, sizes in hashed_lines(texts) for s in line_sets(hashes, sizes, least) if s is not None]
 
 
 def joined_runs(values: np.ndarray, step: int, times: int) -> np.ndarray:
@@ -167,11 +157,9 @@ def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         for batch in slices(batches):
             out: list[tuple] = []
             new: list[np.ndarray] = []
-            hashes = []
-            for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own, sizes = hashed_lines((text or "").encode())
-                hashes.append(own)
-                for p, ((at, line), n, s) in enumerate(zip(lines(text or ""), sizes, line_sets(own, sizes, least))):
+            hashed = hashed_lines(byte_texts(batch.column(2)))
+            for doc, row, text, (own, sizes) in zip(*(c.to_pylist() for c in batch.columns), hashed):
+                for p, ((at, line), n, s) in enumerate(zip(lines(text or ""), sizes.tolist(), line_sets(own, sizes, least))):
                     if s is not None:
                         node = node_of(s)
                         out.append((doc, row, p, at, at + len(line), n, node, None if node in seen else len(new)))
@@ -188,7 +176,7 @@ def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     columns += [c.take(place) for c in known]
                 columns += [pa.nulls(len(out), f.type) for f in list(FIELDS)[len(columns):]]
                 yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
-            yield anchor_rows(batch, hashes)
+            yield anchor_rows(batch, [hashes for hashes, _ in hashed])
 
     return keyed(docs).mapInArrow(cut, UNIT)
 
@@ -237,13 +225,14 @@ def paragraph_classes(docs: DataFrame, paragraphs: DataFrame, least: int = MIN_W
     shared = saved(shared_prefixes(banded))
     release()
     sets = partial(paragraph_sets, least=least)
+    home = homes(paragraphs.select(F.col("hash").alias("node"), "row"))
     near = saved(nearest_pairs(shared, ("rank", "n"), same_length))
     hopeful = plausible(near, parity)
-    links = verified(hopeful, docs, sets)
+    links = verified(hopeful, docs, home, sets)
     met = crossing_pairs(shared, components(links), may_repeat, lambda rows: rows.join(parity.drop("n"), "node"))
     crossing = saved(met.join(near, ["a", "b"], "left_anti"))
     release(nodes, shared, near, hopeful, met)
-    return components(links.union(verified(crossing, docs, sets)))
+    return components(links.union(verified(crossing, docs, home, sets)))
 
 
 def repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -256,68 +245,95 @@ def repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame, least: int = MIN
     return in_many(labelled, "root").select("doc", "row", "paragraph", "start", "end", "n_words", "first", "first_row")
 
 
-def anchor_filter(shared: DataFrame) -> np.ndarray:
-    """Bits of the anchors in ``shared`` (hash)."""
-    least, most = FILTER_BITS
-    n_bits = min(max(1 << (8 * shared.count()).bit_length(), least), most)
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(n_bits // 8, dtype=np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy() & (n_bits - 1)
-            np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield blocks.pieces(found)
-
-    return blocks.merged(shared.mapInArrow(bits, blocks.SCHEMA), n_bits // 8, "u1", "bitwise_or")
-
-
 def passage_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc, row, at, start, end, line, last_line, hash): runs of ``PASSAGE`` words whose anchor is in ``bits``."""
+    """Per text the runs of ``PASSAGE`` words whose anchor is in ``bits``: lists of ``RUN_LISTS``."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in slices(batches):
-            for doc, row, text in zip(*(c.to_pylist() for c in batch.columns[:2]), byte_texts(batch.column(2))):
-                runs = anchor_runs(word_hashes(text))
-                slot = (runs[anchors(runs)] & np.uint64(8 * len(wanted) - 1)).astype(np.int64)
-                at = np.flatnonzero(wanted[slot >> 3] >> (slot & 7) & 1)
+            texts = byte_texts(batch.column(2))
+            out: list[tuple] = []
+            for doc, row, text, hashes in zip(*(c.to_pylist() for c in batch.columns[:2]), texts, hashed_texts(texts)):
+                runs = anchor_runs(hashes)
+                at = np.flatnonzero(blocks.passing(wanted, runs[anchors(runs)].view(np.int64)))
                 if len(at):
                     starts, ends, line = word_places(text)
                     last = at + PASSAGE - 1
-                    columns = (
-                        np.full(len(at), doc), np.full(len(at), row), at, starts[at], ends[last], line[at], line[last],
-                        joined_runs(runs, ANCHOR, PASSAGE // ANCHOR)[at].view(np.int64),
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c).cast(f.type) for c, f in zip(columns, RUN_FIELDS)], schema=RUN_FIELDS
-                    )
+                    whole = joined_runs(runs, ANCHOR, PASSAGE // ANCHOR)[at].view(np.int64)
+                    out.append((doc, row, at, starts[at], ends[last], line[at], line[last], whole))
+            if out:
+                doc, row, *lists = zip(*out)
+                stops = pa.array(np.cumsum([0, *map(len, lists[0])]), pa.int32())
+                flat = [pa.array(np.concatenate(c)).cast(RUN_LISTS.field(k).type) for k, c in enumerate(lists)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, pa.int64()), pa.array(row, pa.int64()), *(pa.ListArray.from_arrays(stops, c) for c in flat)],
+                    ["doc", "row", *RUN_LISTS.names],
+                )
 
-    return keyed(docs).mapInArrow(search, RUN)
+    lists = ", ".join(f"{f.name} array<{'long' if f.type == pa.int64() else 'int'}>" for f in RUN_LISTS)
+    return keyed(docs).mapInArrow(search, f"doc long, row long, {lists}")
 
 
-def repeated_passages(docs: DataFrame, anchor: DataFrame, gone: DataFrame) -> DataFrame:
+def told_runs(found: DataFrame) -> DataFrame:
+    """Runs of ``found`` (``passage_runs`` with the ``lost`` paragraphs of their texts), one by one.
+
+    What lies whole in paragraphs that go needs no second cut and is left out; a run ``stands`` if
+    it meets none of them.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            owner = np.repeat(np.arange(batch.num_rows), batch.column("at").value_lengths().to_numpy())
+            lists = {name: batch.column(name).flatten().to_numpy() for name in RUN_LISTS.names}
+            lost = batch.column("lost")
+            times = lost.value_lengths().fill_null(0).to_numpy()
+            gone = np.sort((np.repeat(np.arange(batch.num_rows), times) << 32) + lost.flatten().to_numpy())
+            place = owner << 32
+            n_lost = np.searchsorted(gone, place + lists["last_line"], "right") - np.searchsorted(gone, place + lists["line"])
+            left = np.flatnonzero(n_lost < lists["last_line"] - lists["line"] + 1)
+            owner = owner[left]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(batch.column(c).to_numpy()[owner]) for c in ("doc", "row")),
+                    *(pa.array(lists[c][left]) for c in ("at", "start", "end", "line", "hash")),
+                    pa.array(n_lost[left] == 0),
+                ],
+                ["doc", "row", "at", "start", "end", "line", "hash", "stands"],
+            )
+
+    return found.mapInArrow(tell, RUN)
+
+
+def repeated_passages(docs: DataFrame, shared: DataFrame, gone: DataFrame) -> DataFrame:
     """Spans (doc, row, paragraph, start, end, n_words, first) of words that earlier documents have too.
 
-    ``gone`` has the paragraphs (doc, row, paragraph) that are cut as near copies.
+    ``shared`` has the anchors (hash) of more than one document, ``gone`` the paragraphs (doc, row,
+    paragraph) that are cut as near copies.
     """
-    ends = [f(c).alias(f"{c}_{k}") for c in ("doc", "row") for k, f in (("lo", F.min), ("hi", F.max))]
-    groups = anchor.groupBy("hash").agg(*ends)
-    shared = saved(groups.where("doc_lo <> doc_hi OR row_lo <> row_hi").select("hash"))
     lost = gone.groupBy("doc", "row").agg(F.collect_list("paragraph").alias("lost"))
-    met = F.filter("lost", lambda p: p.between(F.col("line"), F.col("last_line")))
-    n_lost = F.when(F.col("lost").isNull(), 0).otherwise(F.size(met))
-    found = passage_runs(docs, anchor_filter(shared)).join(lost, ["doc", "row"], "left").withColumn("n_lost", n_lost)
-    # what lies whole in paragraphs that go needs no second cut
-    rows = saved(found.where("n_lost < last_line - line + 1").drop("lost", "last_line"))
-    standing = rows.where("n_lost = 0")
-    first = standing.groupBy("hash").agg(F.min("doc").alias("first"))
-    least = standing.join(first, "hash").where("doc = first").groupBy("hash").agg(F.min("row").alias("first_row"))
+    rows = saved(told_runs(passage_runs(docs, blocks.bit_filter(shared)).join(lost, ["doc", "row"], "left")))
+    release(shared)
+    groups = rows.groupBy("hash").agg(
+        F.min(F.when(F.col("stands"), F.col("doc"))).alias("first"), F.max("doc").alias("last"),
+        F.min("row").alias("row_lo"), F.max("row").alias("row_hi"),
+    )
     # a run that does not stand may come before the first that does: it is not cut for a later one
-    later = rows.join(first, "hash").join(least, "hash").where("doc > first OR (doc = first AND row > first_row)")
+    first = saved(groups.where("last > first OR (last = first AND row_lo <> row_hi)").select("hash", "first"))
+    release()
+    met = saved(rows.join(first, "hash").where("doc >= first"))
+    release(rows, first)
+    # one id may have several texts: those behind the least of them are later too
+    texts = met.where("doc = first").groupBy("hash").agg(
+        F.min(F.when(F.col("stands"), F.col("row"))).alias("first_row"), F.max("row").alias("last_row")
+    )
+    tied = texts.where("last_row > first_row").select("hash", "first_row")
+    behind = met.where("doc = first").join(tied, "hash").where("row > first_row").select(met.columns)
+    later = saved(met.where("doc > first").union(behind).select("doc", "row", "at", "start", "end", "line", "first"))
+    release(met)
     along = Window.partitionBy("doc", "row").orderBy("at")
     new = F.coalesce(F.col("at") - F.lag("at").over(along) > PASSAGE, F.lit(True)).cast("int")
-    runs = later.dropDuplicates(["doc", "row", "at"]).withColumn("new", new).withColumn("island", F.sum("new").over(along))
+    runs = later.withColumn("new", new).withColumn("island", F.sum("new").over(along))
     return (
         runs.groupBy("doc", "row", "island")
         .agg(
@@ -328,6 +344,12 @@ def repeated_passages(docs: DataFrame, anchor: DataFrame, gone: DataFrame) -> Da
     )
 
 
+def shared_anchors(anchor: DataFrame) -> DataFrame:
+    """(hash) of the anchors that lie in more than one document."""
+    ends = [f(c).alias(f"{c}_{k}") for c in ("doc", "row") for k, f in (("lo", F.min), ("hi", F.max))]
+    return saved(anchor.groupBy("hash").agg(*ends).where("doc_lo <> doc_hi OR row_lo <> row_hi").select("hash"))
+
+
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, paragraph, start, end, n_words, first_doc_id, kind, removed, row) of repeated passages.
 
@@ -339,8 +361,9 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     paragraphs = found.where("paragraph IS NOT NULL")
     near = saved(repeated_paragraphs(docs, paragraphs, least))
     gone = near.where(LATER).select("doc", "row", "paragraph").distinct()
-    anchor = found.where("paragraph IS NULL").select("doc", "row", "hash")
-    passages = repeated_passages(docs, anchor, gone)
+    shared = shared_anchors(found.where("paragraph IS NULL").select("doc", "row", "hash"))
+    release(found)
+    passages = repeated_passages(docs, shared, gone)
     key = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     columns = [
         key("doc").alias("doc_id"), "paragraph", "start", "end", "n_words", key("first").alias("first_doc_id"),
@@ -401,10 +424,10 @@ FIELDS = pa.schema(
         *((c, pa.int64()) for c in PARITY),
     ]
 )
-RUN = "doc long, row long, at int, start int, end int, line int, last_line int, hash long"
-RUN_FIELDS = pa.schema(
+RUN_LISTS = pa.schema(
     [
-        ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+        ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
         ("line", pa.int32()), ("last_line", pa.int32()), ("hash", pa.int64()),
     ]
 )
+RUN = "doc long, row long, at int, start int, end int, line int, hash long, stands boolean"

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from palisade.llm import (
-    bpe, chat, contamination, fingerprints, jaccard, langid, paragraphs, shards, token_counts, urls,
+    bpe, chat, contamination, fingerprints, jaccard, langid, paragraphs, shards, store, token_counts, urls,
 )
 from palisade.llm.queries import QUERIES, URL_RULES
 from palisade.llm.vocabulary import Words, default_path, tokenizer_text
@@ -483,3 +483,52 @@ def test_near_paragraphs_of_a_large_group(spark):
     roots = brute_classes(dict(rows))
     near = {i for i, root in roots.items() if list(roots.values()).count(root) > 1}
     assert {r.doc_id: r.first_doc_id for r in found.collect()} == {i: roots[i] for i in near}
+
+
+def test_words_of_a_batch_are_hashed_as_those_of_each_text():
+    from palisade.llm import words
+
+    long = b"x" * (words.CHUNK - 3)
+    batch = [b"", b" a B\n\nb\tA\x0bb ", b"\n", long + b" " + "漢字é".encode() + b" cut " + b"Q" * 65, b"q" * 65 + b" CUT"]
+    seen = {}
+    for text, (hashes, sizes) in zip(batch, words.hashed_lines(batch)):
+        assert sizes.tolist() == [len(line.split()) for line in text.split(b"\n")]
+        assert len(hashes) == len(text.split()) and (hashes == words.word_hashes(text)).all()
+        for word, value in zip(text.lower().split(), hashes.tolist()):
+            assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_only_texts_that_hold_a_wanted_set_are_cut_into_words(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of a few words") for i in range(40)], "doc_id long, text string")
+    wanted = docs.where("doc_id < 2").select(jaccard.text_key().alias("row"))
+    nodes = [jaccard.node_of(s) for s in jaccard.shingle_sets([b"text 0 of a few words", b"text 1 of a few words"])]
+    wanted = wanted.crossJoin(spark.createDataFrame([(n,) for n in nodes], "node long"))
+
+    def cut(texts):
+        assert len(texts) <= 4, "a filter of 1 MBit lets hardly any other text through"
+        return jaccard.shingle_sets(texts)
+
+    assert {r.node for r in jaccard.sets_of(docs.coalesce(1), wanted, cut).collect()} == set(nodes)
+
+
+def test_rare_shingles_are_told_apart_in_a_large_corpus():
+    # 50 million counts of shingles of one text each; one shingle is in ten texts
+    counts = np.full(jaccard.SKETCH, 50_000_000 // jaccard.SKETCH, dtype=np.uint32)
+    counts[7] += 10
+    levels = jaccard.rarity(counts)
+    assert levels[7] == 1 and levels[8] == 0
+    full = np.array([65_535, 3, 0], dtype=np.uint16)
+    jaccard.count(full, np.array([2, 0, 2, 1]))
+    assert full.tolist() == [65_535, 4, 2]
+
+
+def test_passages_leave_few_tables_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_folder", lambda spark: f"file://{tmp_path}")
+    line = " ".join(f"w{i}" for i in range(80))
+    rows = [(2, f"x {line} y"), (1, line), (1, f"other {line}"), (None, f"z\n{line}"), (3, line)]
+    found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    # the tables of paragraphs, anchors and runs are gone before the result is written
+    names = [spark.read.parquet(str(p)).columns for p in tmp_path.glob("palisade-*")]
+    assert not any("bands" in n or "line" in n and "hash" in n for n in names)
+    assert {r.doc_id for r in found.collect() if r.removed} >= {2, 3}
