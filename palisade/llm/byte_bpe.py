@@ -12,7 +12,7 @@ such a pair, the other places of that word wait until the lower rank has been ap
 word sees its merges in the order of the library: lowest rank first, leftmost first among equals.
 
 Words that a worker has met keep their ids in a cache of bounded size, so a block replays its new
-words only. No pre-token is shuffled. A word of any length takes time in proportion to its length
+words only, a thousand at a time. No pre-token is shuffled. A word of any length takes time in proportion to its length
 (times a logarithm); long texts are cut between two words where no match can reach across.
 
 Null text counts as empty: no ids, empty bytes. Equal rows give equal rows, other columns are left
@@ -41,6 +41,8 @@ from palisade.llm.vocabulary import MAX_FILE_BYTES
 CACHE_SIZE = 300_000
 LONGEST_KEPT = 64
 BLOCK_BYTES = 4 << 20
+#: Words of one replay: few enough that its lists stay in the processor's caches.
+REPLAY_WORDS = 1000
 SEGMENT_CHARS = 1 << 20
 GAP, GONE = -1, -2
 #: Between a letter and a blank before a letter every splitting pattern known here ends a match.
@@ -90,6 +92,11 @@ class ReplayEncoder:
         self.known: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word, ``REPLAY_WORDS`` words at a time."""
+        parts = (words[at : at + REPLAY_WORDS] for at in range(0, len(words), REPLAY_WORDS))
+        return [ids for part in parts for ids in self.replayed(part)]
+
+    def replayed(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word: all merges of all words, rank by rank."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
@@ -110,6 +117,8 @@ class ReplayEncoder:
 
     def _merged(self, token: list[int], word: list[int], first: np.ndarray) -> list[int]:
         width, rank_of = self.width, self.pairs.get
+        #: Rank of the pair that starts at each place; the width where there is none.
+        now = first.tolist()
         left, right = list(range(-1, len(token) - 1)), list(range(1, len(token) + 1))
         places = np.flatnonzero(first < width)
         places = places[np.argsort(first[places], kind="stable")]
@@ -122,27 +131,37 @@ class ReplayEncoder:
             at.sort()
             waiting, held = -1, []
             for here in at:
-                if word[here] == waiting:
+                if now[here] != rank:
+                    continue
+                if waiting >= 0 and word[here] == waiting:
                     held.append(here)
                     continue
                 there = right[here]
-                if token[here] < 0 or rank_of(token[here] * width + token[there]) != rank:
-                    continue
                 token[here], token[there] = rank, GONE
+                now[there] = width
                 after = right[here] = right[there]
                 left[after] = here
-                before = left[here]
-                for place, key in ((before, token[before] * width + rank), (here, rank * width + token[after])):
-                    new = rank_of(key)
-                    if new is None:
-                        continue
+                behind, before = token[after], left[here]
+                new = rank_of(rank * width + behind, width) if behind >= 0 else width
+                now[here] = new
+                if new < width:
                     if new in index:
-                        index[new].append(place)
+                        index[new].append(here)
                     else:
-                        index[new] = [place]
+                        index[new] = [here]
                         heappush(heap, new)
                     if new < rank:
                         waiting = word[here]
+                if before >= 0 and token[before] >= 0:
+                    new = now[before] = rank_of(token[before] * width + rank, width)
+                    if new < width:
+                        if new in index:
+                            index[new].append(before)
+                        else:
+                            index[new] = [before]
+                            heappush(heap, new)
+                        if new < rank:
+                            waiting = word[here]
             if held:
                 if rank in index:
                     index[rank] += held

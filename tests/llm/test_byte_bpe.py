@@ -100,3 +100,14 @@ def test_decoding_foreign_ids(spark):
     names = model(byte_bpe.default_ranks()).names
     got = {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode_documents(rows).collect()}
     assert got == {1: names[72] + names[71], 2: b""}
+
+
+def test_many_words_are_replayed_in_parts(monkeypatch):
+    with open(byte_bpe.default_ranks(), "rb") as file:
+        model = byte_bpe.ReplayEncoder(file.read(), byte_bpe.default_pattern())
+    words = [f"{i * 7919}word{i % 97}ing".encode() for i in range(2 * byte_bpe.REPLAY_WORDS + 1)]
+    alone = [model.replayed([w])[0] for w in words]
+    sizes, replayed = [], model.replayed
+    monkeypatch.setattr(model, "replayed", lambda part: sizes.append(len(part)) or replayed(part))
+    assert model.replay([]) == [] and model.replay(words) == alone
+    assert sizes == [byte_bpe.REPLAY_WORDS, byte_bpe.REPLAY_WORDS, 1]
