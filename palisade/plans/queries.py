@@ -490,7 +490,7 @@ def detector_confusion(spark, folder):
 
 
 def detector_tiers(spark, folder):
-    return evaluate.tiers(evaluate.detections(derived.cases(spark, folder)))
+    return evaluate.tiers(evaluate.detections(derived.cases(spark, folder)), total=True)
 
 
 def detector_metrics(spark, folder):
