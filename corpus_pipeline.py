@@ -46,7 +46,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document as digests, and that of the text decoded from them."""
-    decoded = bpe.decode_documents(bpe.encode_documents(docs))
+    decoded = bpe.round_trip(docs)
     return decoded.select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256")
     )

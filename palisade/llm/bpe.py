@@ -18,10 +18,11 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
@@ -32,6 +33,7 @@ from palisade.llm.vocabulary import Words, default_path, shared
 
 CACHE_SIZE = 100_000
 LONGEST_KEPT = 64
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 class FragmentEncoder(dict):
@@ -118,10 +120,7 @@ def token_strings(text: str) -> list[str | None]:
     return [table.get(i) for i in range(max(table) + 1)]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256) of every row of ``docs`` (doc_id, text)."""
-    vocabulary = shared(docs.sparkSession, path or default_path())
-
+def encoding(vocabulary: Broadcast) -> Batches:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = encoder(vocabulary.value)
         for batch in slices(batches, 1 << 20):
@@ -133,39 +132,66 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["doc_id", "n_tokens", "ids", "ids_sha256"],
+                ["doc_id", "n_tokens", "ids_sha256", "ids"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string")
+    return encode
 
 
-def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encoded`` with ``text`` decoded from ``ids`` instead of them.
-
-    Without a decoder in its file the tokenizer joins token strings with spaces, word-end marks
-    and special tokens kept; ids that are in no vocabulary are passed over.
-    """
-    vocabulary = shared(encoded.sparkSession, path or default_path())
-    others = [c for c in encoded.columns if c != "ids"]
+def decoding(vocabulary: Broadcast) -> Batches:
+    """The last column, ``ids``, becomes ``text``."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = held("bpe", "names" + vocabulary.value, lambda: token_strings(vocabulary.value))
         size = len(names)
         for batch in slices(batches, 1 << 20):
+            *others, last = batch.columns
             texts = []
-            for ids in batch.column(len(others)):
+            for ids in last:
                 known = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int32)
                 known = known[(known >= 0) & (known < size)].tolist()
                 texts.append(" ".join(filter(None, map(names.__getitem__, known))))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(others))), pa.array(texts, pa.string())],
-                [*others, "text"],
-            )
+            yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
+
+    return decode
+
+
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256) of every row of ``docs`` (doc_id, text)."""
+    vocabulary = shared(docs.sparkSession, path or default_path())
+    found = numbered(docs).mapInArrow(encoding(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, ids array<int>")
+    return found.select("doc_id", "n_tokens", "ids", "ids_sha256")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
 
-    frame = encoded.select(*others, "ids")
+def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``encoded`` with ``text`` decoded from ``ids`` instead of them.
+
+    Without a decoder in its file the tokenizer joins token strings with spaces, word-end marks
+    and special tokens kept; ids that are in no vocabulary are passed over.
+    """
+    vocabulary = shared(encoded.sparkSession, path or default_path())
+    frame = encoded.select(*(c for c in encoded.columns if c != "ids"), "ids")
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "ids")
-    return frame.mapInArrow(decode, f"{schema}, text string")
+    return frame.mapInArrow(decoding(vocabulary), f"{schema}, text string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``decode_documents`` of ``encode_documents`` in one pass: (doc_id, n_tokens, ids_sha256, text).
+
+    Two passes in one stage take two workers for each task; workers live on and take turns, so all
+    of them come to hold both tables, and what later stages need beside.
+    """
+    vocabulary = shared(docs.sparkSession, path or default_path())
+    encode, decode = encoding(vocabulary), decoding(vocabulary)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decode(encode(batches))
+
+    return numbered(docs).mapInArrow(both, "doc_id long, n_tokens long, ids_sha256 string, text string")

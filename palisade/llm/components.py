@@ -3,7 +3,8 @@
 Edges stay distributed: each round rewrites them, by two shuffles on a node, into fewer and
 flatter stars, and is written to the shared folder. The number of rounds grows with the logarithm
 of the longest path. Minima of neighbours combine before the shuffle, so a node with very many
-links is no burden; joins on such a node are left to adaptive skew handling.
+links is no burden; joins on such a node are left to adaptive skew handling. Later rounds write as many
+files as their edges call for, not one for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from palisade.llm.store import release, saved
 
+#: Edges to a task and its file; a round writes no more files than that, or than there are cores.
+EDGES = 100_000
+
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of its closed neighbourhood."""
@@ -51,7 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen, last = now, stars
-        stars = saved(small_star(large_star(last)))
+        n_files = max(edges.sparkSession.sparkContext.defaultParallelism, now[0] // EDGES)
+        stars = saved(small_star(large_star(last)).coalesce(n_files))
         release(last)
     roots = stars.select(F.col("v").alias("node")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

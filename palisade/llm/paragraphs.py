@@ -312,7 +312,9 @@ def repeated_passages(docs: DataFrame, shared: DataFrame, gone: DataFrame) -> Da
     paragraph) that are cut as near copies.
     """
     lost = gone.groupBy("doc", "row").agg(F.collect_list("paragraph").alias("lost"))
-    rows = saved(told_runs(passage_runs(docs, blocks.bit_filter(shared)).join(lost, ["doc", "row"], "left")))
+    # merged, not broadcast, however few: both passes in one stage would take two workers for each task
+    marked = passage_runs(docs, blocks.bit_filter(shared)).join(lost.hint("merge"), ["doc", "row"], "left")
+    rows = saved(told_runs(marked))
     release(shared)
     groups = rows.groupBy("hash").agg(
         F.min(F.when(F.col("stands"), F.col("doc"))).alias("first"), F.max("doc").alias("last"),
@@ -407,7 +409,8 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
     same = F.col("doc_id").eqNullSafe(F.col(cut_id)) & (text_key() == F.col(cut_row))
     joined = docs.join(spans, same, "left")
-    cut = F.udf(cut_text, "string", useArrow=True)
+    # the test for words would else be pushed below the cut, and all texts cut twice, by two workers for each task
+    cut = F.udf(cut_text, "string", useArrow=True).asNondeterministic()
     whole = F.col(cut_spans).isNull()
     text = F.when(whole, F.col("text")).otherwise(cut("text", cut_spans))
     edited = joined.withColumn("text", text).where(whole | F.col("text").rlike(r"\S"))

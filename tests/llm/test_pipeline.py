@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from palisade.llm import bpe, components, paragraphs
 from palisade.llm.store import saved
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +131,40 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+def python_passes(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    return len(re.findall(r"\b(?:MapInArrow|ArrowEvalPython)\b", plan))
+
+
+def test_no_stage_takes_two_workers_for_a_task(spark):
+    docs = saved(spark.createDataFrame([(1, "ein Wort\nzwei", 13), (2, "ein Wort", 8), (3, None, 0)], "doc_id long, text string, n_chars int"))
+    assert python_passes(corpus_pipeline.encoded(spark, docs, SF)) == 1
+    spans = docs.where("doc_id = 2").selectExpr("doc_id", "true AS removed", "0 AS start", "8 AS end", "xxhash64(text) AS row")
+    left = paragraphs.without_repeats(docs, spans)
+    assert python_passes(left) == 1
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+    both = bpe.decode_documents(bpe.encode_documents(docs)).select("doc_id", "n_tokens", "ids_sha256", "text")
+    assert sorted(bpe.round_trip(docs).collect()) == sorted(both.collect())
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    files = []
+
+    def counted(frame):
+        table = saved(frame)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components, "saved", counted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v")
+        assert {r.root for r in components.components(edges).collect()} == {0}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism
